@@ -77,7 +77,7 @@ h0 AS (SELECT host, n, b, m FROM h JOIN d1 USING (domain)),
 h1 AS (SELECT host, (b + k * m) / (n + k) AS r, n + k AS t FROM h0, (SELECT {strength("h0", "n", "b", "m")} AS k)),
 v AS (SELECT host, CASE WHEN greatest(r - {z} * sqrt(r * (1 - r) / (t + 1)), 0) >= {limit} THEN 'block' ELSE 'allow' END AS verdict FROM h1),
 u AS (SELECT * FROM (VALUES {rules}) AS t(rule, says, site, start)),
-f AS (SELECT page_id, host, path, (SELECT max_by(rule, length(rule)) FROM u WHERE (host = at OR ends_with(host, '.' || at)) AND starts_with(path, start)) AS rule FROM p)
+f AS (SELECT page_id, host, path, (SELECT max_by(rule, length(rule)) FROM u WHERE (host = site OR ends_with(host, '.' || site)) AND starts_with(path, start)) AS rule FROM p)
 SELECT page_id, host, path, f.rule AS rule, coalesce(says, v.verdict) AS verdict FROM f LEFT JOIN u ON f.rule = u.rule LEFT JOIN v USING (host)
 """
 
