@@ -35,17 +35,32 @@ def _without(text: Column, chars: str) -> Column:
 def repeated_words(words: Column) -> list[tuple[str, Column]]:
     """Steps to the number of words that lie in a 3-word window found at least twice.
 
-    Windows are sorted with their places, so equal ones are neighbours; the union of the
-    places' spans is then a walk over sorted starts. n log n in the length of one text.
+    A window is one long: its hash above its place. Once sorted, equal windows are
+    neighbours, so only longs with a near neighbour can be repeated; for those the words
+    themselves are compared, with two neighbours on either side, so a chance equality of
+    hashes neither adds nor hides a window. The union of the places' spans is a walk over
+    sorted starts. n log n in the length of one text, on primitive arrays.
     """
-    window = lambda w, i: F.struct(F.concat_ws(" ", w, F.get(words, i + 1), F.get(words, i + 2)).alias("g"), i.alias("i"))
-    grams, at = F.col("_grams"), F.col("_at")
-    same = lambda x, y: F.coalesce(x["g"] == y["g"], F.lit(False))
-    twice = lambda x, k: F.when(same(x, F.get(grams, k - 1)) | same(x, F.get(grams, k + 1)), x["i"])
+    spaces = F.when(F.size(words) < 1 << 24, F.lit(1 << 24)).otherwise(F.lit(1 << 31)).cast("long")
+    m, packed, near, at = F.col("_m"), F.col("_packed"), F.col("_near"), F.col("_at")
+    third = lambda i: F.get(words, i + 2)
+    pack = lambda w, i: F.pmod(F.xxhash64(w, F.get(words, i + 1), third(i)), F.expr("9223372036854775807 div _m")) * m + i
+    close = lambda x, k: (x - F.get(packed, k - 1) < m) | (F.get(packed, k + 1) - x < m)
+
+    def same(x: Column, y: Column) -> Column:
+        i, j = (x % m).cast("int"), (y % m).cast("int")
+        return (F.get(words, i) == F.get(words, j)) & (F.get(words, i + 1) == F.get(words, j + 1)) & (third(i) == third(j))
+
+    def twice(x: Column, k: Column) -> Column:
+        equal = [F.coalesce(same(x, F.get(near, k + d)), F.lit(False)) for d in (-1, 1, -2, 2)]
+        return F.when(equal[0] | equal[1] | equal[2] | equal[3], (x % m).cast("int"))
+
     span = lambda d, k: F.least(F.lit(3), F.coalesce(F.get(at, k + 1) - d, F.lit(3)))
     return [
-        ("_grams", F.sort_array(F.transform(F.slice(words, F.lit(1), F.greatest(F.size(words) - 2, F.lit(0))), window))),
-        ("_at", F.sort_array(F.array_compact(F.transform(grams, twice)))),
+        ("_m", spaces),
+        ("_packed", F.sort_array(F.transform(F.slice(words, F.lit(1), F.greatest(F.size(words) - 2, F.lit(0))), pack))),
+        ("_near", F.filter(packed, close)),
+        ("_at", F.sort_array(F.array_compact(F.transform(near, twice)))),
         ("n_repeat_words", F.aggregate(F.transform(at, span), F.lit(0).cast("long"), lambda a, x: a + x)),
     ]
 
@@ -71,7 +86,7 @@ def document_stats(docs: DataFrame, text: str = "text") -> DataFrame:
     )
     for name, column in repeated_words(F.col("_words")):
         df = df.withColumn(name, column)
-    return df.drop("_words", "_lines", "_grams", "_at")
+    return df.drop("_words", "_lines", "_m", "_packed", "_near", "_at")
 
 
 def base_failed() -> Column:
@@ -118,15 +133,29 @@ def host_verdicts(stats: DataFrame, host: str, limits: dict[str, float] | None =
     return out.withColumn("host_rejected", rejected)
 
 
+def _with_verdicts(stats: DataFrame, verdicts: DataFrame, host: str) -> DataFrame:
+    """Only the table of rejected hosts is joined, and Catalyst broadcasts it when its files are small."""
+    bad = materialize(verdicts.filter("host_rejected").select(F.col("host").alias("_bad_host"), F.lit(True).alias("_bad")))
+    out = stats.join(bad, F.col(host).eqNullSafe(F.col("_bad_host")), "left").withColumn("host_rejected", F.coalesce("_bad", F.lit(False)))
+    return out.drop("_bad", "_bad_host").withColumn("base_failed", base_failed()).withColumn("kept", ~F.col("base_failed") & ~F.col("host_rejected"))
+
+
 def judge_documents(docs: DataFrame, text: str = "text", host: str = "source", limits: dict[str, float] | None = None) -> DataFrame:
-    """``docs`` with counts, ``base_failed``, ``host_rejected`` and ``kept``.
+    """The documents' other columns with counts, ``base_failed``, ``host_rejected`` and ``kept``.
 
-    The text is read once for the host counts and once for the verdicts; it is never
-    shuffled. Only the table of rejected hosts meets the documents, and Catalyst broadcasts
-    it when its files are small (otherwise a skew-split sort-merge join).
+    The text is read once; the counts are written as a thin table, which the host figures
+    and the verdicts read.
     """
-    docs = docs.drop("base_failed", "host_rejected", "kept")
-    stats = document_stats(docs, text)
-    bad = materialize(host_verdicts(stats, host, limits).filter("host_rejected").select(F.col("host").alias("_bad_host"), F.lit(True).alias("_bad")))
-    out = stats.join(bad, F.col(host).eqNullSafe(F.col("_bad_host")), "left").withColumn("host_rejected", F.coalesce("_bad", F.lit(False)))
-    return out.drop("_bad", "_bad_host").withColumn("base_failed", base_failed()).withColumn("kept", ~F.col("base_failed") & ~F.col("host_rejected"))
+    stats = materialize(document_stats(docs.drop("base_failed", "host_rejected", "kept"), text).drop(text))
+    return _with_verdicts(stats, host_verdicts(stats, host, limits), host)
+
+
+def keep_documents(docs: DataFrame, text: str = "text", host: str = "source", limits: dict[str, float] | None = None) -> DataFrame:
+    """The rows of ``docs`` that are kept, all columns as they were.
+
+    The text is read twice, for the host figures and for the verdicts, and never shuffled.
+    """
+    columns = docs.columns
+    verdicts = host_verdicts(document_stats(docs, text), host, limits)
+    bare = docs.select(F.struct(*columns).alias("_doc"), F.col(text).alias("text"), F.col(host).alias("source"))
+    return _with_verdicts(document_stats(bare), verdicts, "source").filter("kept").select("_doc.*")

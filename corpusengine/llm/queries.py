@@ -6,9 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+import public_tokenizers
+from pyspark.sql import functions as F
+
 from corpusengine.llm import oracles
+from corpusengine.llm.byte_bpe import ByteBpe, decode_documents, encode_documents
 from corpusengine.llm.exact_dedup import exact_dedup
 from corpusengine.llm.license_scan import scan_licenses
+from corpusengine.llm.mixing import mix
 from corpusengine.llm.quality_rules import judge_documents
 from corpusengine.llm.url_filter import judge_pages
 from corpusengine.session import table
@@ -32,8 +37,22 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def multilingual_bpe(spark: SparkSession) -> ByteBpe:
+    return ByteBpe(spark, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    codec = multilingual_bpe(spark)
+    docs = decode_documents(encode_documents(table(spark, sf_dir, "documents").select("doc_id", "text"), codec), codec)
+    return docs.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("text_key")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_license_scan, op4_exact_dedup, op5_url_filter, op6_quality_rules]
+    found = [op1_license_scan, op4_exact_dedup, op5_url_filter, op6_quality_rules, op9_byte_bpe, op10_mixing]
     return {f.__name__: f for f in found}
 
 
