@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from corpusengine.llm import oracles
 from corpusengine.llm.byte_bpe import ByteBpe, decode_documents, encode_documents
 from corpusengine.llm.exact_dedup import exact_dedup
+from corpusengine.llm.jaccard_join import jaccard_join
 from corpusengine.llm.license_scan import scan_licenses
 from corpusengine.llm.mixing import mix
 from corpusengine.llm.quality_rules import judge_documents
@@ -23,6 +24,10 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(table(spark, sf_dir, "documents")).drop("n_blocks")
 
 
+def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join(table(spark, sf_dir, "documents")).drop("text_key")
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents")).drop("possibly_repeated")
 
@@ -52,7 +57,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_license_scan, op4_exact_dedup, op5_url_filter, op6_quality_rules, op9_byte_bpe, op10_mixing]
+    found = [op1_license_scan, op3_jaccard_join, op4_exact_dedup, op5_url_filter, op6_quality_rules, op9_byte_bpe, op10_mixing]
     return {f.__name__: f for f in found}
 
 
