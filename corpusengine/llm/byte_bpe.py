@@ -24,8 +24,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
+from corpusengine.session import small_batches
+
 #: Bounds of a worker's cache of encoded chunks: entries, and characters of an entry.
-CACHE_ENTRIES, CACHE_CHARS = 400_000, 48
+CACHE_ENTRIES, CACHE_CHARS = 250_000, 48
 #: Texts that are looked up in the cache together.
 BATCH = 256
 BYTE_CHAR = [chr(0x100 + b) for b in range(256)]
@@ -130,6 +132,7 @@ class ByteBpe:
     """
 
     def __init__(self, spark: SparkSession, rank_file: str, pattern: str):
+        small_batches(spark)
         with open(rank_file, "rb") as f:
             content = f.read()
         shared = spark.sparkContext.broadcast((content, pattern))

@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusengine.llm.graphs import components, join_groups
-from corpusengine.session import materialize
+from corpusengine.session import materialize, small_batches
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Most cells of a 0/1 matrix of sets by tokens that a comparison holds at once.
@@ -175,6 +175,7 @@ def jaccard_join(docs: DataFrame, threshold: Fraction = Fraction(4, 5), words: i
     the smallest of the connected ones, ``n_links`` the number of other classes at the
     threshold; one document of each group is kept, the one with the smallest id.
     """
+    small_batches(docs.sparkSession)
     runs = number_of_runs(float(threshold), depth, recall)
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), F.xxhash64(F.col(text)).alias("text_key"))
     rows = with_tokens(rows.withColumn("row", F.monotonically_increasing_id()), words).drop("text")

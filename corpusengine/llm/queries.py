@@ -16,6 +16,7 @@ from corpusengine.llm.jaccard_join import jaccard_join
 from corpusengine.llm.license_scan import scan_licenses
 from corpusengine.llm.mixing import mix
 from corpusengine.llm.quality_rules import judge_documents
+from corpusengine.llm.token_files import documents_of, token_ids, write_files
 from corpusengine.llm.url_filter import judge_pages
 from corpusengine.session import table
 
@@ -42,6 +43,13 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    tokens = token_ids(docs, public_tokenizers.path("word_bpe_49k.json"), end_id=2)
+    files = write_files(tokens, docs.select(F.col("doc_id").cast("long").alias("doc_id")))
+    return documents_of(files).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
 def multilingual_bpe(spark: SparkSession) -> ByteBpe:
     return ByteBpe(spark, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
@@ -57,7 +65,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_license_scan, op3_jaccard_join, op4_exact_dedup, op5_url_filter, op6_quality_rules, op9_byte_bpe, op10_mixing]
+    found = [op1_license_scan, op3_jaccard_join, op4_exact_dedup, op5_url_filter, op6_quality_rules, op7_token_files, op9_byte_bpe, op10_mixing]
     return {f.__name__: f for f in found}
 
 
