@@ -16,6 +16,7 @@ from corpusengine.llm.jaccard_join import jaccard_join
 from corpusengine.llm.license_scan import scan_licenses
 from corpusengine.llm.mixing import mix
 from corpusengine.llm.quality_rules import judge_documents
+from corpusengine.llm.suffix_dedup import suffix_dedup
 from corpusengine.llm.token_files import documents_of, token_ids, write_files
 from corpusengine.llm.url_filter import judge_pages
 from corpusengine.session import table
@@ -50,6 +51,10 @@ def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents_of(files).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup(table(spark, sf_dir, "documents")).drop("kept")
+
+
 def multilingual_bpe(spark: SparkSession) -> ByteBpe:
     return ByteBpe(spark, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
@@ -65,7 +70,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_license_scan, op3_jaccard_join, op4_exact_dedup, op5_url_filter, op6_quality_rules, op7_token_files, op9_byte_bpe, op10_mixing]
+    found = [op1_license_scan, op3_jaccard_join, op4_exact_dedup, op5_url_filter, op6_quality_rules, op7_token_files, op8_suffix_dedup, op9_byte_bpe, op10_mixing]
     return {f.__name__: f for f in found}
 
 
