@@ -82,7 +82,7 @@ def train(docs: DataFrame, sample: DataFrame, text: str = "text", doc_id: str =
     n = [sizes.get(k, 0) for k in range(len(DOMAINS))]
     priors = [math.log((x + 1) / (sum(n) + len(n))) for x in n]
     seen = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).join(F.broadcast(sample), "doc_id")
-    words = seen.select("domain", features(F.col("text")).alias("w")).select("domain", F.explode("w").alias("w")).select("domain", bucket(F.col("w")).alias("b"))
+    words = seen.select("domain", features(F.col("text")).alias("w")).select("domain", F.explode_outer("w").alias("w")).select("domain", bucket(F.col("w")).alias("b"))
     counts = words.groupBy("b").agg(*[F.count_if(F.col("domain") == k).alias(f"c{k}") for k in range(len(DOMAINS))])
     total, weights = sum(F.col(f"c{k}") for k in range(len(DOMAINS))), []
     for k in range(len(DOMAINS)):
@@ -99,7 +99,7 @@ def posteriors(docs: DataFrame, priors: list[float], weights: DataFrame, text: s
     """(row, doc_id, text_key, n_tokens, p_<domain>...) of every document; whole texts, one thin row shuffled each."""
     body = F.col(text)
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(doc_id).alias("doc_id"), F.xxhash64(body).alias("text_key"), F.size(words_of(body)).cast("long").alias("n_tokens"), features(body).alias("w"))
-    rows = rows.select("row", "doc_id", "text_key", "n_tokens", F.explode("w").alias("w"))
+    rows = rows.select("row", "doc_id", "text_key", "n_tokens", F.explode_outer("w").alias("w"))
     met = rows.withColumn("b", bucket(F.col("w"))).drop("w").join(F.broadcast(weights), "b", "left")
     sums = met.groupBy("row", "doc_id", "text_key", "n_tokens").agg(*[F.coalesce(F.sum(f"w{k}"), F.lit(0.0)).alias(f"s{k}") for k in range(len(DOMAINS))])
     score = [F.col(f"s{k}") + priors[k] for k in range(len(DOMAINS))]
