@@ -1,10 +1,74 @@
-"""Corpus pipeline (stages are added as their operators land)."""
+"""Corpus pipeline: what is kept of a document table, stage by stage.
+
+Each stage reads all that its predecessor kept, written as Parquet in between, so a lost
+executor costs no more than the stage at work. Stages but the last return the columns of
+``documents``; the last one adds the token ids of every document that stays.
+
+Defined results are those of the operators: null texts count as empty (and fall to the
+quality rules), rows repeated with id and text are one document, null ids are kept apart.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from corpusengine.llm.byte_bpe import decode_documents, encode_documents
+from corpusengine.llm.exact_dedup import exact_dedup
+from corpusengine.llm.graphs import keep_rows
+from corpusengine.llm.jaccard_join import jaccard_join
+from corpusengine.llm.mixing import mix
+from corpusengine.llm.quality_rules import judge_documents
+from corpusengine.llm.queries import multilingual_bpe
+from corpusengine.session import materialize, table
+
+#: Documents whose fitted rate is below this go.
+MIN_RATE = 0.5
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the rules, or their host's record, reject go."""
+    return keep_rows(docs, judge_documents(docs.withColumn("text_key", F.xxhash64("text"))))
+
+
+def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of equal texts stays."""
+    return keep_rows(docs, exact_dedup(docs, with_text_key=True))
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of connected near duplicates stays."""
+    return keep_rows(docs, jaccard_join(docs))
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the fit to the target weights gives less than half a copy go; others stay once."""
+    return keep_rows(docs, mix(docs, table(spark, sf_dir, "labels")).withColumn("kept", F.col("rate") >= MIN_RATE))
+
+
+def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids, and proof that they decode to the text."""
+    codec = multilingual_bpe(spark)
+    out = decode_documents(encode_documents(docs, codec), codec)
+    return out.select(*[c for c in docs.columns if c not in ("text", "ids", "n_tokens")], "n_tokens", "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+STAGES = [
+    ("quality rules", quality),
+    ("exact dedup", exact_copies),
+    ("n-gram jaccard join", near_copies),
+    ("mixing to target weights", mixing),
+    ("byte-level bpe", encoding),
+]
+
+#: SQL cannot express connected components of near copies, the fit or the encoding; tests compare with brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for k, (_, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            docs = materialize(docs)
+    return docs

@@ -36,11 +36,12 @@ def normalised(text: Column) -> Column:
 
 
 def hashed_rows(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """(doc_id, n_chars, text_sha256, row): a hundredth of the documents' bytes, written once."""
+    """(doc_id, n_chars, text_sha256, text_key, row): a hundredth of the documents' bytes, written once."""
     rows = docs.select(
         F.col(doc_id).cast("long").alias("doc_id"),
         F.coalesce(F.length(text), F.lit(0)).alias("n_chars"),
         F.sha2(normalised(F.col(text)), 256).alias("text_sha256"),
+        F.xxhash64(F.col(text)).alias("text_key"),
     )
     return materialize(rows.withColumn("row", F.monotonically_increasing_id()))
 
@@ -58,8 +59,8 @@ def repeated_bits(hashed: DataFrame, n_bits: int) -> np.ndarray:
     return words.view(np.uint8)
 
 
-def exact_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", bits_per_row: int = 16, max_bits: int = 1 << 28) -> DataFrame:
-    """One row per document: doc_id, keep_id, group_size, kept, text_sha256, possibly_repeated."""
+def exact_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", bits_per_row: int = 16, max_bits: int = 1 << 28, with_text_key: bool = False) -> DataFrame:
+    """One row per document: doc_id, keep_id, group_size, kept, text_sha256, possibly_repeated (and text_key)."""
     hashed = hashed_rows(docs, text, doc_id)
     n_rows = hashed.count()
     n_bits = min(max(1024, bits_per_row * n_rows), max_bits)
@@ -74,7 +75,8 @@ def exact_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", bit
 
     probed = hashed.withColumn("possibly_repeated", possibly_repeated(bit_places(F.col("text_sha256"), n_bits)))
     rows = materialize(probed)
-    alone = rows.filter(~F.col("possibly_repeated")).select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "text_sha256", "possibly_repeated")
+    more = ["text_key"] if with_text_key else []
+    alone = rows.filter(~F.col("possibly_repeated")).select(*more, "doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "text_sha256", "possibly_repeated")
 
     suspects = rows.filter("possibly_repeated")
     # longest first, then smallest id with nulls last, then first row
@@ -84,7 +86,7 @@ def exact_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", bit
     limit = max(n_rows // 1000, 16)
     hot, cold = groups.filter(F.col("group_size") >= limit), groups.filter(F.col("group_size") < limit)
     is_hot = suspects.join(F.broadcast(hot), "text_sha256", "left")
-    columns = ["doc_id", F.col("best.doc_id").alias("keep_id"), "group_size", (F.col("row") == F.col("best.row")).alias("kept"), "text_sha256", "possibly_repeated"]
+    columns = [*more, "doc_id", F.col("best.doc_id").alias("keep_id"), "group_size", (F.col("row") == F.col("best.row")).alias("kept"), "text_sha256", "possibly_repeated"]
     of_hot = is_hot.filter("best is not null").select(*columns)
     of_cold = is_hot.filter("best is null").drop("best", "group_size").join(cold, "text_sha256").select(*columns)
     return alone.unionByName(of_hot).unionByName(of_cold)

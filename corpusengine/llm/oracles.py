@@ -18,6 +18,22 @@ FROM d
 """
 
 
+TOOL_CALLS = r"""
+WITH RECURSIVE c AS (
+  SELECT conv_id, 'c' || turn AS call_id, min_by({'turn': turn, 'text': text}, turn) AS r, 'c' || (min(turn) - 2) AS after
+  FROM conversations WHERE role = 'user' AND conv_id IS NOT NULL AND turn IS NOT NULL GROUP BY conv_id, turn),
+a AS (SELECT conv_id, 'c' || (turn - 1) AS call_id, min_by(coalesce(text, ''), coalesce(text, '')) AS content, turn AS result_turn, count(*) AS n FROM conversations WHERE role = 'assistant' AND conv_id IS NOT NULL AND turn IS NOT NULL GROUP BY conv_id, turn),
+l AS (SELECT conv_id, call_id, 0 AS level FROM c WHERE NOT EXISTS (SELECT 1 FROM c d WHERE d.conv_id = c.conv_id AND d.call_id = c.after)
+  UNION ALL SELECT c.conv_id, c.call_id, level + 1 FROM l JOIN c ON c.conv_id = l.conv_id AND c.after = l.call_id),
+q AS (SELECT conv_id, call_id, r.turn AS turn, level, after, CASE WHEN trim(r.text, ' ') <> '' THEN to_json(r.text)::VARCHAR END AS t, length(r.text) AS len, result_turn, coalesce(n, 0) AS n_results, content
+  FROM c JOIN l USING (conv_id, call_id) LEFT JOIN a USING (conv_id, call_id))
+SELECT conv_id, call_id, turn, level::BIGINT AS level, after, 'reply' AS name, t IS NOT NULL AS valid, CASE WHEN len IS NULL THEN 'missing length; missing text' WHEN t IS NULL THEN 'missing text' ELSE '' END AS errors, result_turn, n_results::BIGINT AS n_results,
+  CASE WHEN t IS NULL THEN 'invalid' WHEN n_results = 0 THEN 'pending' ELSE 'linked' END AS status,
+  '{"after":"' || after || '","arguments":{"length":' || coalesce(len::VARCHAR, 'null') || ',"text":' || coalesce(t, 'null') || ',"turn":' || turn || '},"id":"' || call_id || '","name":"reply","result":' || coalesce(to_json(content)::VARCHAR, 'null') || '}' AS json
+FROM q
+"""
+
+
 def quoted(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 

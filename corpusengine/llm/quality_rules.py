@@ -144,18 +144,8 @@ def judge_documents(docs: DataFrame, text: str = "text", host: str = "source", l
     """The documents' other columns with counts, ``base_failed``, ``host_rejected`` and ``kept``.
 
     The text is read once; the counts are written as a thin table, which the host figures
-    and the verdicts read.
+    and the verdicts read. (A filter on counts that are not written yet would be pushed
+    below their projections and evaluate the words once a window.)
     """
     stats = materialize(document_stats(docs.drop("base_failed", "host_rejected", "kept"), text).drop(text))
     return _with_verdicts(stats, host_verdicts(stats, host, limits), host)
-
-
-def keep_documents(docs: DataFrame, text: str = "text", host: str = "source", limits: dict[str, float] | None = None) -> DataFrame:
-    """The rows of ``docs`` that are kept, all columns as they were.
-
-    The text is read twice, for the host figures and for the verdicts, and never shuffled.
-    """
-    columns = docs.columns
-    verdicts = host_verdicts(document_stats(docs, text), host, limits)
-    bare = docs.select(F.struct(*columns).alias("_doc"), F.col(text).alias("text"), F.col(host).alias("source"))
-    return _with_verdicts(document_stats(bare), verdicts, "source").filter("kept").select("_doc.*")

@@ -18,6 +18,7 @@ from corpusengine.llm.mixing import mix
 from corpusengine.llm.quality_rules import judge_documents
 from corpusengine.llm.suffix_dedup import suffix_dedup
 from corpusengine.llm.token_files import documents_of, token_ids, write_files
+from corpusengine.llm.tool_calls import REPLY, calls_of_turns, link_calls
 from corpusengine.llm.url_filter import judge_pages
 from corpusengine.session import table
 
@@ -26,6 +27,10 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(table(spark, sf_dir, "documents")).drop("n_blocks")
 
 
+def op2_chat_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return link_calls(*calls_of_turns(table(spark, sf_dir, "conversations")), REPLY)
+
+
 def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join(table(spark, sf_dir, "documents")).drop("text_key")
 
@@ -70,13 +75,14 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_license_scan, op3_jaccard_join, op4_exact_dedup, op5_url_filter, op6_quality_rules, op7_token_files, op8_suffix_dedup, op9_byte_bpe, op10_mixing]
+    found = [op1_license_scan, op2_chat_tool_calls, op3_jaccard_join, op4_exact_dedup, op5_url_filter, op6_quality_rules, op7_token_files, op8_suffix_dedup, op9_byte_bpe, op10_mixing]
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_license_scan": oracles.license_scan(),
+        "op2_chat_tool_calls": oracles.TOOL_CALLS,
         "op4_exact_dedup": oracles.EXACT_DEDUP,
         "op5_url_filter": oracles.url_filter(),
         "op6_quality_rules": oracles.quality_rules(),
