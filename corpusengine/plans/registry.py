@@ -1,4 +1,4 @@
-"""All registered queries of the engine's own operators."""
+"""All registered queries of the engine's own operators: name -> (query, SQL or None)."""
 
 from __future__ import annotations
 
@@ -6,16 +6,22 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from corpusengine.plans import corpus, runlog
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    return corpus.keyword_topk(spark, sf_dir)
+
+
+def _all() -> dict[str, tuple[Query, str | None]]:
+    return {**corpus.QUERIES, **runlog.QUERIES}
 
 
 def queries() -> dict[str, Query]:
-    return {}
+    return {k: q for k, (q, _) in _all().items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {k: s for k, (_, s) in _all().items() if s is not None}
