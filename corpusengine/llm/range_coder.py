@@ -90,12 +90,15 @@ def encode_blocks(blocks: list[np.ndarray]) -> list[bytes]:
     ids = np.zeros((k, n), np.uint16)
     for i, b in enumerate(blocks):
         ids[i, : len(b)] = b
-    model, rows = Model(k, n), np.arange(k)
+    model, rows, lengths = Model(k, n), np.arange(k), np.array(list(map(len, blocks)))
     low, size = np.zeros(k, np.uint64), np.full(k, FULL)
-    digits, used = np.zeros((k, 2 * n + 3), np.uint32), np.zeros(k, np.int64)
+    digits, used, shortest = np.zeros((k, 2 * n + 3), np.uint32), np.zeros(k, np.int64), lengths.min()
 
-    def put(start, width, total):
+    def put(start, width, total, done):
         nonlocal low, size
+        if done is not None:  # a block that has ended codes nothing more
+            start, width, total = np.where(done, 0, start), np.where(done, 1, width), np.where(done, 1, total)
+        start, width, total = start.astype(np.uint64), width.astype(np.uint64), np.asarray(total, np.uint64)
         part = size // total
         low = low + part * start
         size = part * width
@@ -115,9 +118,10 @@ def encode_blocks(blocks: list[np.ndarray]) -> list[bytes]:
         event = np.where(x == model.id2, 0, np.where(x == model.id1, 1, np.where(hi > lo, 2, 3)))
         end = ends[rows, event]
         start = np.where(event > 0, ends[rows, event - 1], 0)
-        put(start.astype(np.uint64), (end - start).astype(np.uint64), np.uint64(ONE))
+        done = None if s < shortest else s >= lengths
+        put(start, end - start, ONE, done)
         is_seen, is_new = event == 2, event == 3
-        put(np.where(is_seen, lo, np.where(is_new, x, 0)).astype(np.uint64), np.where(is_seen, hi - lo, 1).astype(np.uint64), np.where(is_seen, model.n_sorted, np.where(is_new, ONE, 1)).astype(np.uint64))
+        put(np.where(is_seen, lo, np.where(is_new, x, 0)), np.where(is_seen, hi - lo, 1), np.where(is_seen, model.n_sorted, np.where(is_new, ONE, 1)), done)
         model.update(s, x, event)
     for _ in range(3):
         digits[rows, used] = low >> S32

@@ -159,18 +159,19 @@ def write_files(tokens: DataFrame, ids: DataFrame, docs_per_file: int = 8192) ->
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         writer = None
         for df in batches:
-            for number, doc_id, raw in zip(df["file_no"], df["doc_id"], df["ids"], strict=True):
+            for number, none, doc_id, raw in zip(df["file_no"], df["none"], df["doc_id"], df["ids"], strict=True):
                 if writer is None or writer.file_no != number:
                     if writer is not None:
                         yield from writer.rows(last=True)
                     writer = FileWriter(number)
-                writer.add(None if pd.isna(doc_id) else int(doc_id), np.frombuffer(raw, "<u2"))
+                writer.add(None if none else int(doc_id), np.frombuffer(raw, "<u2"))
             if writer is not None:
                 yield from writer.rows()
         if writer is not None:
             yield from writer.rows(last=True)
 
-    return materialize(placed.select("file_no", "doc_id", "ids").mapInPandas(write, FILES))
+    whole_ids = F.coalesce("doc_id", F.lit(0).cast("long")).alias("doc_id")  # null would make pandas use floats
+    return materialize(placed.select("file_no", F.col("doc_id").isNull().alias("none"), whole_ids, "ids").mapInPandas(write, FILES))
 
 
 def read_files(files: DataFrame) -> DataFrame:
@@ -191,7 +192,9 @@ def read_files(files: DataFrame) -> DataFrame:
                         raise ValueError(f"block {row.block_no} of file {row.file_no} is damaged")
                     ends = np.cumsum(row.size)
                     out += [(row.file_no, row.seq[i], row.doc_id[i], row.start[i], row.n_tokens[i], row.piece[i], raw[4 * (e - row.size[i]) : 4 * e]) for i, e in enumerate(ends)]
-                yield pd.DataFrame(out, columns=["file_no", "seq", "doc_id", "start", "n_tokens", "piece", "ids"]).astype({"doc_id": "Int64"})
+                names = ["file_no", "seq", "doc_id", "start", "n_tokens", "piece", "ids"]
+                columns = dict(zip(names, zip(*out, strict=True), strict=True)) if out else {n: [] for n in names}
+                yield pd.DataFrame(columns | {"doc_id": pd.array(columns["doc_id"], dtype="Int64")})
 
     return files.mapInPandas(read, schema)
 
