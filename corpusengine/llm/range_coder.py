@@ -31,7 +31,7 @@ class Model:
         self.k, self.rows = k, np.arange(k)
         self.next1, self.sure1 = np.zeros(k * SIZE1, np.uint16), np.zeros(k * SIZE1, np.int8)
         self.next2, self.sure2 = np.zeros(k * SIZE2, np.uint16), np.zeros(k * SIZE2, np.int8)
-        self.events = np.ones((k * 16, 4), np.int32)
+        self.events = np.ones((4, k * 16), np.int64)
         self.seen = np.zeros((k, n), np.uint16)
         self.last, self.before = np.zeros(k, np.int64), np.zeros(k, np.int64)
         self.n_sorted = 0
@@ -57,23 +57,28 @@ class Model:
         return (np.searchsorted(flat, wanted) - base).reshape(shape), (np.searchsorted(flat, wanted, "right") - base).reshape(shape)
 
     def predict(self) -> np.ndarray:
-        """Cumulative frequencies of the events, out of ``ONE``: right ends, one row per block."""
+        """Bounds of the events' cumulative frequencies, out of ``ONE``: five rows, a column per block."""
         self.at1 = self.rows * SIZE1 + ((self.last * 40503 >> 4) & (SIZE1 - 1))
         self.at2 = self.rows * SIZE2 + (((self.last * 2654435761 + self.before * 2246822519) >> 9) & (SIZE2 - 1))
         self.id1, self.c1 = self.next1[self.at1], self.sure1[self.at1]
         self.id2, self.c2 = self.next2[self.at2], self.sure2[self.at2]
         self.mix = self.rows * 16 + self.c2 * 4 + self.c1
-        counts = self.events[self.mix]
-        ends = np.cumsum(counts, axis=1)
-        return ends * (ONE - 4) // ends[:, 3:] + np.array([1, 2, 3, 4])
+        a, b, c, d = (plane[self.mix] for plane in self.events)
+        b = a + b
+        c = b + c
+        self.total = c + d
+        scale = ((ONE - 4) << 16) // self.total
+        bounds = np.empty((5, self.k), np.int64)
+        bounds[0], bounds[4] = 0, ONE
+        for k, x in ((1, a), (2, b), (3, c)):
+            bounds[k] = (x * scale >> 16) + k
+        return bounds
 
     def update(self, s: int, ids: np.ndarray, event: np.ndarray) -> None:
-        counts = self.events[self.mix]
-        counts[self.rows, event] += STEP
-        full = counts.sum(axis=1) > LIMIT
-        if full.any():
-            counts[full] = (counts[full] + 1) >> 1
-        self.events[self.mix] = counts
+        self.events[event, self.mix] += STEP
+        full = self.mix[self.total > LIMIT - STEP]
+        if full.size:
+            self.events[:, full] = (self.events[:, full] + 1) >> 1
         for following, sure, at, guess, c in ((self.next1, self.sure1, self.at1, self.id1, self.c1), (self.next2, self.sure2, self.at2, self.id2, self.c2)):
             right = guess == ids
             following[at] = np.where(right | (c > 0), guess, ids)
@@ -114,10 +119,9 @@ def encode_blocks(blocks: list[np.ndarray]) -> list[bytes]:
         if s % EPOCH == 0:
             lows, highs = model.runs(ids[:, s : s + EPOCH]) if s else (np.zeros((k, EPOCH), np.int64),) * 2
         x, lo, hi = ids[:, s], lows[:, s % EPOCH], highs[:, s % EPOCH]
-        ends = model.predict()
+        bounds = model.predict()
         event = np.where(x == model.id2, 0, np.where(x == model.id1, 1, np.where(hi > lo, 2, 3)))
-        end = ends[rows, event]
-        start = np.where(event > 0, ends[rows, event - 1], 0)
+        start, end = bounds[event, rows], bounds[event + 1, rows]
         done = None if s < shortest else s >= lengths
         put(start, end - start, ONE, done)
         is_seen, is_new = event == 2, event == 3
@@ -139,11 +143,13 @@ def decode_blocks(coded: list[bytes], lengths: list[int]) -> list[np.ndarray]:
     if not n:
         return [np.zeros(0, np.uint16) for _ in coded]
     parts = [np.frombuffer(c, "<u2") for c in coded]
-    digits = np.zeros((k, max(map(len, parts)) + 2 * n + 3), np.uint64)
+    most = max(map(len, parts)) + 1
+    digits = np.zeros((k, most), np.uint16)
     for i, p in enumerate(parts):
         digits[i, : len(p)] = p
     model, rows = Model(k, n), np.arange(k)
-    code = digits[:, 0] << S32 | digits[:, 1] << S16 | digits[:, 2]
+    first = digits[:, :3].astype(np.uint64)
+    code = first[:, 0] << S32 | first[:, 1] << S16 | first[:, 2]
     size, used = np.full(k, FULL), np.full(k, 3)
 
     def slot(total):
@@ -155,7 +161,8 @@ def decode_blocks(coded: list[bytes], lengths: list[int]) -> list[np.ndarray]:
         code = code - part * start
         size = part * width
         if (small := np.flatnonzero(size < LOW)).size:
-            code[small] = code[small] << S16 | digits[small, used[small]]
+            # a block that has ended reads on past its digits, and nobody reads what it says
+            code[small] = code[small] << S16 | digits[small, np.minimum(used[small], most - 1)]
             size[small] <<= S16
             used[small] += 1
 
@@ -163,11 +170,10 @@ def decode_blocks(coded: list[bytes], lengths: list[int]) -> list[np.ndarray]:
     for s in range(n):
         if s % EPOCH == 0 and s:
             model.refresh(s)
-        ends = model.predict()
+        bounds = model.predict()
         place = slot(one)
-        event = (place >= ends[:, 0]).astype(np.int64) + (place >= ends[:, 1]) + (place >= ends[:, 2])
-        end = ends[rows, event]
-        start = np.where(event > 0, ends[rows, event - 1], 0)
+        event = (place >= bounds[1]).astype(np.int64) + (place >= bounds[2]) + (place >= bounds[3])
+        start, end = bounds[event, rows], bounds[event + 1, rows]
         take(start.astype(np.uint64), (end - start).astype(np.uint64), one)
         is_seen, is_new = event == 2, event == 3
         total = np.where(is_seen, max(model.n_sorted, 1), np.where(is_new, ONE, 1)).astype(np.uint64)

@@ -28,7 +28,7 @@ from corpusengine.llm.range_coder import BLOCK, decode_blocks, encode_blocks
 from corpusengine.session import materialize, small_batches
 
 #: Blocks coded in step; entries and length of the cache of encoded chunks; bounds a worker's memory.
-LANES, CACHE_ENTRIES, CACHE_CHARS = 512, 250_000, 48
+LANES, CACHE_ENTRIES, CACHE_CHARS = 384, 200_000, 48
 FILES = "file_no int, block_no int, n_ids int, crc32 long, whole boolean, payload binary, seq array<long>, doc_id array<long>, start array<long>, n_tokens array<long>, piece array<int>, size array<int>"
 
 
