@@ -95,11 +95,11 @@ def audited(requests: DataFrame, prefixes: list[str]) -> DataFrame:
 class RateLimiter(StatefulProcessor):
     """Streaming rate limit per key over (key, request_id, ts): state is the accepted times in the window."""
 
-    def __init__(self, most: int, seconds: float):
-        self.most, self.seconds = most, seconds
+    def __init__(self, most: int, seconds: float, ttl_ms: int | None = None):
+        self.most, self.seconds, self.ttl_ms = most, seconds, ttl_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.taken = handle.getListState("taken", "t double", ttlDurationMs=int(2000 * self.seconds))
+        self.taken = handle.getListState("taken", "t double", ttlDurationMs=self.ttl_ms)
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
         taken = [t[0] for t in self.taken.get()]
@@ -121,11 +121,11 @@ class RateLimiter(StatefulProcessor):
 class QueryCache(StatefulProcessor):
     """Streaming result cache per key over (key, request_id, ts): state is the time the stored answer lives until."""
 
-    def __init__(self, seconds: float = CACHE_SECONDS):
-        self.seconds = seconds
+    def __init__(self, seconds: float = CACHE_SECONDS, ttl_ms: int | None = None):
+        self.seconds, self.ttl_ms = seconds, ttl_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.until = handle.getValueState("until", "t double", ttlDurationMs=int(2000 * self.seconds))
+        self.until = handle.getValueState("until", "t double", ttlDurationMs=self.ttl_ms)
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
         until = self.until.get()[0] if self.until.exists() else float("-inf")
@@ -146,8 +146,11 @@ class QueryCache(StatefulProcessor):
 class SessionMemory(StatefulProcessor):
     """Streaming bounded memory per conversation over (conv_id, turn, role, text): emits what each batch evicts."""
 
+    def __init__(self, ttl_ms: int | None = None):
+        self.ttl_ms = ttl_ms
+
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.held = handle.getListState("held", "turn long, role string, text string", ttlDurationMs=24 * 3600 * 1000)
+        self.held = handle.getListState("held", "turn long, role string, text string", ttlDurationMs=self.ttl_ms)
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
         held, gone = [tuple(r) for r in self.held.get()], []
@@ -164,5 +167,8 @@ class SessionMemory(StatefulProcessor):
 
 
 def stream(requests: DataFrame, key: str, processor: StatefulProcessor, schema: str, mode: str = "append") -> DataFrame:
-    """A stateful operator on a stream; state is kept per key in the checkpoint, which survives lost executors."""
-    return requests.groupBy(key).transformWithStateInPandas(processor, schema, mode, "none")
+    """A stateful operator on a stream; state is kept per key in the checkpoint, which survives lost executors.
+
+    With a processor's ``ttl_ms`` the state of idle keys ends by processing time; decisions follow event time.
+    """
+    return requests.groupBy(key).transformWithStateInPandas(processor, schema, mode, "ProcessingTime" if processor.ttl_ms else "none")
