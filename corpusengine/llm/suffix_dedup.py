@@ -7,13 +7,16 @@ suffixes at sampled places are sorted, with the ``REACH`` bytes before them at h
 those only the ones whose gram may stand in two documents (a first pass writes the repeated
 grams into a bitmap of at most ``MAX_BITS`` bits; false positives cost work, not results).
 
-Each task sorts its suffixes into runs, cut into ranges and front-coded: the length of the
-prefix shared with the suffix before, and the rest. A range's runs are merged by a loser
-tree whose nodes know the prefix shared with the last winner, so known prefixes are never
-compared again, and the merged order comes with its shared prefixes. From these follows, for
-every sampled place and every start before it, whether the string occurs in a document with
-a smaller id. Places with the same context in one task are exchanged once, for the smallest
-id; a passage of any number of copies meets as often as there are tasks.
+A repeated gram mostly stands in one context (``REACH`` bytes before it, ``LENGTH`` from
+it), as in copies of a text; then equality of the context's 64-bit hash settles every string
+around it, and no suffix moves. The other grams' suffixes, where matches begin and end, are
+sorted. Each task sorts its suffixes into runs, cut into parts and front-coded: the length
+of the prefix shared with the suffix before, and the rest. A part's runs are merged by a
+loser tree whose nodes know the prefix shared with the last winner, so known prefixes are
+never compared again, and the merged order comes with its shared prefixes. From these
+follows, for every sampled place and every start before it, whether the string occurs in a
+document with a smaller id. Equal contexts of one batch are exchanged once, for the smallest
+id; a passage of any number of copies meets as often as there are batches.
 
 Defined results: a null text counts as empty; documents with null ids neither remove nor
 lose anything; documents with one id don't remove each other's bytes; repeated rows give a
@@ -39,9 +42,9 @@ KEY = 8 + LENGTH
 MAX_BITS = 1 << 28
 #: Texts longer than this are searched in overlapping parts.
 PART = 1 << 22
-FLUSH = 1 << 20
+FLUSH = 1 << 19
 #: Documents to a part of the merge, roughly.
-DOCS_PER_PART = 2048
+DOCS_PER_PART = 1024
 BASE = np.uint64(0x9E3779B97F4A7C15)
 INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 BYTE_HASH = (np.arange(1, 257, dtype=np.uint64) * np.uint64(0xBF58476D1CE4E5B9)) ^ (np.arange(1, 257, dtype=np.uint64) * np.uint64(0x94D049BB133111EB) >> np.uint64(29))
@@ -140,10 +143,7 @@ def repeated_grams(docs: DataFrame, n_bits: int, n_buckets: int) -> np.ndarray:
         return pd.DataFrame({"bucket": [int(df["bucket"].iloc[0])], "bits": [bits.tobytes()]})
 
     found = docs.mapInPandas(collect, "bucket int, hashes binary, twice binary")
-    bits = np.zeros(n_bits // 8, np.uint8)
-    for r in found.groupBy("bucket").applyInPandas(merge, "bucket int, bits binary").toLocalIterator():
-        bits[r["bucket"] * (per // 8) : (r["bucket"] + 1) * (per // 8)] = np.frombuffer(r["bits"], np.uint8)
-    return bits
+    return gather_bits(found.groupBy("bucket").applyInPandas(merge, "bucket int, bits binary"), "bucket", n_bits, per)
 
 
 def front_code(keys: np.ndarray) -> tuple[bytes, bytes]:
@@ -251,102 +251,219 @@ def occurs_before(prefix: np.ndarray, left: np.ndarray, n_left: np.ndarray, n_ri
     return masks
 
 
-RUN = "part int, kind int, doc_id long, shared binary, rest binary, near binary, docs binary, places binary, masks binary"
-COVER = "doc_id long, text_key long, places binary, masks binary"
+RUN = "part int, shared binary, rest binary, near binary, docs binary, who binary, places binary"
+MET = "part int, known boolean, grams binary, contexts binary, docs binary, who binary, places binary, masks binary"
+FOUND = "part int, bits binary, doc_id long, text_key long, places binary, masks binary"
 NEAR = np.dtype([("left", np.uint8, (REACH,)), ("n_left", np.uint8), ("n_right", np.uint8)])
 WHO = np.dtype([("doc", "<i8"), ("key", "<i8")])
 
 
-def suffix_runs(docs: DataFrame, bits, n_bits: int, n_buckets: int, n_parts: int) -> DataFrame:
-    """Front-coded sorted runs of the suffixes that may be repeated, a row per part; and what a task already knows (kind 1)."""
-    shift, per = np.uint64(64 - (n_buckets.bit_length() - 1)), np.uint64(n_bits // n_buckets)
-    part_shift = np.uint64(64 - (n_parts.bit_length() - 1))
+class Bitmap:
+    """Probes a broadcast bitmap of grams."""
+
+    def __init__(self, bits, n_bits: int, n_buckets: int):
+        self.bits, self.shift, self.per = bits, np.uint64(64 - (n_buckets.bit_length() - 1)), np.uint64(n_bits // n_buckets)
+
+    def has(self, h: np.ndarray) -> np.ndarray:
+        p = (h >> self.shift).astype(np.int64) * int(self.per) + (h & (self.per - np.uint64(1))).astype(np.int64)
+        return self.bits.value[p >> 3] >> (p & 7).astype(np.uint8) & 1 == 1
+
+
+def places_of(df: pd.DataFrame, grams: Bitmap) -> Iterator[tuple]:
+    """(who, places, gram hashes, keys, near) of each text's sampled places whose gram is in the bitmap."""
+    for doc, key, text in zip(df["doc_id"], df["text_key"], df["text"], strict=True):
+        raw = np.frombuffer(text.encode(), np.uint8)
+        at, h = sampled(raw)
+        hit = grams.has(h)
+        at, h = at[hit], h[hit]
+        if not len(at):
+            continue
+        padded = np.concatenate((np.zeros(REACH, np.uint8), raw, np.zeros(LENGTH, np.uint8)))
+        keys = np.empty((len(at), KEY), np.uint8)
+        keys[:, :8] = h.astype(">u8").view(np.uint8).reshape(-1, 8)
+        keys[:, 8:] = padded[at[:, None] + REACH + np.arange(LENGTH)]
+        near = np.zeros(len(at), NEAR)
+        near["left"] = padded[at[:, None] + REACH - 1 - np.arange(REACH)]
+        near["n_left"], near["n_right"] = np.minimum(at, REACH), np.minimum(len(raw) - at, LENGTH)
+        yield np.full(len(at), np.array((doc, key), WHO)), at.astype("<i4"), h, keys, near
+
+
+def every_start(near: np.ndarray) -> np.ndarray:
+    """Mask of all starts a that leave a string inside the text: a <= n_left and LENGTH - a <= n_right."""
+    n_left, n_right = near["n_left"].astype(np.int64), near["n_right"].astype(np.int64)
+    ends, begins = np.left_shift(1, n_left + 1), np.left_shift(1, np.maximum(LENGTH - n_right, 0))
+    return np.maximum(ends - begins, 0).astype("<u4")
+
+
+def context_hash(keys: np.ndarray, near: np.ndarray) -> np.ndarray:
+    whole = np.concatenate((keys[:, 8:], near.view(np.uint8).reshape(len(near), -1)), axis=1)
+    up, _ = powers(whole.shape[1])
+    with np.errstate(over="ignore"):
+        return (BYTE_HASH[whole] * up).sum(axis=1)
+
+
+def _docs(who: np.ndarray) -> tuple[bytes, bytes]:
+    table, index = np.unique(who, return_inverse=True)
+    return table.tobytes(), index.astype("<i4").tobytes()
+
+
+def _who(df: pd.DataFrame) -> np.ndarray:
+    return np.concatenate([np.frombuffer(d, WHO)[np.frombuffer(w, "<i4")] for d, w in zip(df["docs"], df["who"], strict=True)])
+
+
+def _cuts(part: np.ndarray, n_parts: int) -> Iterator[tuple[int, int, int]]:
+    cuts = np.searchsorted(part, np.arange(n_parts + 1))
+    return ((p, i, j) for p, (i, j) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if j > i)
+
+
+def contexts(docs: DataFrame, grams: Bitmap, n_parts: int) -> DataFrame:
+    """Hashes of repeated grams and of their whole contexts, a row per part and batch of places.
+
+    Of equal contexts in a batch only those of the smallest document go on; the others are
+    known to be found in a smaller document, whole.
+    """
+    shift = np.uint64(64 - (n_parts.bit_length() - 1))
+
+    def flush(kept: list) -> pd.DataFrame:
+        who, at, h, c, masks = (np.concatenate(x) for x in zip(*kept, strict=True))
+        kept.clear()
+        order = np.lexsort((who["doc"], c, h))
+        who, at, h, c, masks = who[order], at[order], h[order], c[order], masks[order]
+        new = np.concatenate(([True], (h[1:] != h[:-1]) | (c[1:] != c[:-1])))
+        first = np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))
+        known = who["doc"] > who["doc"][first]
+        part, rows = (h >> shift).astype(np.int64), []
+        for flag in (False, True):
+            i = np.flatnonzero(known == flag)
+            for p, lo, hi in _cuts(part[i], n_parts):
+                k = i[lo:hi]
+                rows.append((p, flag, b"" if flag else h[k].tobytes(), b"" if flag else c[k].tobytes(), *_docs(who[k]), at[k].tobytes(), masks[k].tobytes()))
+        return pd.DataFrame(rows, columns=["part", "known", "grams", "contexts", "docs", "who", "places", "masks"])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        kept, n = [], 0
+        for df in batches:
+            for who, at, h, keys, near in places_of(df, grams):
+                kept.append((who, at, h, context_hash(keys, near), every_start(near)))
+                n += len(at)
+                if n >= FLUSH:
+                    yield flush(kept)
+                    n = 0
+        if n:
+            yield flush(kept)
+
+    return docs.mapInPandas(run, MET)
+
+
+def _packed(who: np.ndarray, at: np.ndarray, masks: np.ndarray, part: int, bits: bytes | None = None) -> pd.DataFrame:
+    """Found places packed per document, and one row of bits."""
+    order = np.lexsort((at, who["key"], who["doc"]))
+    who, at, masks = who[order], at[order], masks[order].astype("<u4")
+    starts = np.flatnonzero(np.concatenate(([True], who[1:] != who[:-1]))[: len(who)])
+    ends = np.append(starts[1:], len(who))[: len(starts)].astype(int)
+    none = [] if bits is None else [None]
+    return pd.DataFrame(
+        {
+            "part": part,
+            "bits": [None] * len(starts) + ([] if bits is None else [bits]),
+            # nullable integers: as floats the keys would lose digits
+            "doc_id": pd.array([*who["doc"][starts].tolist(), *none], dtype="Int64"),
+            "text_key": pd.array([*who["key"][starts].tolist(), *none], dtype="Int64"),
+            "places": [at[i:j].tobytes() for i, j in zip(starts, ends, strict=True)] + none,
+            "masks": [masks[i:j].tobytes() for i, j in zip(starts, ends, strict=True)] + none,
+        },
+        columns=["part", "bits", "doc_id", "text_key", "places", "masks"],
+    )
+
+
+def meet(n_bits: int, n_parts: int):
+    """Reducer of ``contexts``: whole contexts found in smaller documents, and a bitmap of grams that stand in several contexts."""
+    per = n_bits // n_parts
+
+    def run(df: pd.DataFrame) -> pd.DataFrame:
+        known, open_ = df[df["known"]], df[~df["known"]]
+        parts = [(_who(x), np.concatenate([np.frombuffer(y, "<i4") for y in x["places"]]), np.concatenate([np.frombuffer(y, "<u4") for y in x["masks"]])) for x in (known, open_) if len(x)]
+        bits = np.zeros(per // 8, np.uint8)
+        if len(open_):
+            who, at, masks = parts.pop()
+            h = np.concatenate([np.frombuffer(x, np.uint64) for x in open_["grams"]])
+            c = np.concatenate([np.frombuffer(x, np.uint64) for x in open_["contexts"]])
+            order = np.lexsort((who["doc"], c, h))
+            who, at, masks, h, c = who[order], at[order], masks[order], h[order], c[order]
+            new = np.concatenate(([True], (h[1:] != h[:-1]) | (c[1:] != c[:-1])))
+            first = np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))
+            several = np.flatnonzero(new[1:] & (h[1:] == h[:-1])) + 1
+            p = (h[several] & np.uint64(per - 1)).astype(np.int64)
+            np.bitwise_or.at(bits, p >> 3, (1 << (p & 7)).astype(np.uint8))
+            found = who["doc"] > who["doc"][first]
+            parts.append((who[found], at[found], masks[found]))
+        who, at, masks = (np.concatenate(x) for x in zip(*parts, strict=True))
+        return _packed(who, at, masks, int(df["part"].iloc[0]), bits.tobytes())
+
+    return run
+
+
+def suffix_runs(docs: DataFrame, grams: Bitmap, n_parts: int) -> DataFrame:
+    """Front-coded sorted runs of the suffixes at grams that stand in several contexts, a row per part and run.
+
+    Of equal contexts in a run the smallest document's stands for all.
+    """
+    shift = np.uint64(64 - (n_parts.bit_length() - 1))
 
-    def flush(kept: list) -> Iterator[pd.DataFrame]:
-        who = np.concatenate([np.full(len(at), np.array((d, t), WHO)) for d, t, at, *_ in kept])
-        at = np.concatenate([x[2] for x in kept]).astype("<i8")
-        keys, near = np.concatenate([x[3] for x in kept]), np.concatenate([x[4] for x in kept])
+    def flush(kept: list) -> pd.DataFrame:
+        who, at, h, keys, near = (np.concatenate(x) for x in zip(*kept, strict=True))
         kept.clear()
         whole = np.concatenate((keys, near.view(np.uint8).reshape(len(near), -1)), axis=1)
-        order = np.lexsort((who["doc"], np.ascontiguousarray(whole).view(f"S{whole.shape[1]}").ravel()))
-        whole, keys, near, who, at = whole[order], keys[order], near[order], who[order], at[order]
+        order = np.lexsort((who["doc"], whole.view(f"S{whole.shape[1]}").ravel()))
+        whole = whole[order]
         new = np.concatenate(([True], (whole[1:] != whole[:-1]).any(axis=1)))
         first = np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))
-        known = who["doc"] > who["doc"][first]
+        order = order[who["doc"][order] == who["doc"][order[first]]]
         rows = []
-        for i in [np.flatnonzero(known)]:
-            if len(i):
-                n_left, n_right = near["n_left"][i].astype(int), near["n_right"][i].astype(int)
-                # starts a with a <= n_left and LENGTH - a <= n_right
-                masks = (np.uint32(1) << (n_left + 1).astype(np.uint32)) - (np.uint32(1) << np.maximum(LENGTH - n_right, 0).astype(np.uint32))
-                rows.append((n_parts + int(who["doc"][i[0]]) % n_parts, 1, 0, b"", b"", b"", who[i].tobytes(), at[i].tobytes(), masks.astype("<u4").tobytes()))
-        keys, near, who, at = keys[~known], near[~known], who[~known], at[~known]
-        part = (np.ascontiguousarray(keys[:, :8]).view(">u8").ravel().astype(np.uint64) >> part_shift).astype(np.int64) if n_parts > 1 else np.zeros(len(keys), np.int64)
-        cuts = np.searchsorted(part, np.arange(n_parts + 1))
-        for p, (i, j) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
-            if j > i:
-                rows.append((p, 0, 0, *front_code(keys[i:j]), near[i:j].tobytes(), who[i:j].tobytes(), at[i:j].tobytes(), b""))
-        yield pd.DataFrame(rows, columns=[c.split()[0] for c in RUN.split(", ")])
-
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for p, i, j in _cuts((h[order] >> shift).astype(np.int64), n_parts):
+            k = order[i:j]
+            rows.append((p, *front_code(keys[k]), near[k].tobytes(), *_docs(who[k]), at[k].tobytes()))
+        return pd.DataFrame(rows, columns=["part", "shared", "rest", "near", "docs", "who", "places"])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         kept, n = [], 0
         for df in batches:
-            for doc, key, text in zip(df["doc_id"], df["text_key"], df["text"], strict=True):
-                raw = np.frombuffer(text.encode(), np.uint8)
-                at, h = sampled(raw)
-                if not len(at):
-                    continue
-                p = (h >> shift).astype(np.int64) * int(per) + (h & (per - np.uint64(1))).astype(np.int64)
-                hit = bits.value[p >> 3] >> (p & 7).astype(np.uint8) & 1 == 1
-                at, h = at[hit], h[hit]
-                if not len(at):
-                    continue
-                padded = np.concatenate((np.zeros(REACH, np.uint8), raw, np.zeros(LENGTH, np.uint8)))
-                keys = np.empty((len(at), KEY), np.uint8)
-                keys[:, :8] = h.astype(">u8").view(np.uint8).reshape(-1, 8)
-                keys[:, 8:] = padded[at[:, None] + REACH + np.arange(LENGTH)]
-                near = np.zeros(len(at), NEAR)
-                near["left"] = padded[at[:, None] + REACH - 1 - np.arange(REACH)]
-                near["n_left"], near["n_right"] = np.minimum(at, REACH), np.minimum(len(raw) - at, LENGTH)
-                kept.append((doc, key, at, keys, near))
-                n += len(at)
-                if n >= FLUSH // 2:
-                    yield from flush(kept)
+            for found in places_of(df, grams):
+                kept.append(found)
+                n += len(found[1])
+                if n >= FLUSH // 4:
+                    yield flush(kept)
                     n = 0
         if n:
-            yield from flush(kept)
+            yield flush(kept)
 
-    return docs.mapInPandas(cut, RUN)
+    return docs.mapInPandas(run, RUN)
 
 
 def merge_part(df: pd.DataFrame) -> pd.DataFrame:
     """Places of one part whose strings stand in smaller documents, packed per document."""
-    if df["kind"].iloc[0] == 1:
-        who = np.concatenate([np.frombuffer(x, WHO) for x in df["docs"]])
-        at = np.concatenate([np.frombuffer(x, "<i8") for x in df["places"]])
-        masks = np.concatenate([np.frombuffer(x, "<u4") for x in df["masks"]])
-    else:
-        runs = [front_decode(s, r) for s, r in zip(df["shared"], df["rest"], strict=True)]
-        order, prefix = merge_runs(runs, list(df["shared"]))
-        starts = np.concatenate(([0], np.cumsum([len(r) for r in runs])))
-        index = np.fromiter((starts[r] + i for r, i in order), np.int64, len(order))
-        near = np.concatenate([np.frombuffer(x, NEAR) for x in df["near"]])[index]
-        who = np.concatenate([np.frombuffer(x, WHO) for x in df["docs"]])[index]
-        at = np.concatenate([np.frombuffer(x, "<i8") for x in df["places"]])[index]
-        masks = occurs_before(np.array(prefix, np.int64), near["left"], near["n_left"].astype(int), near["n_right"].astype(int), who["doc"])
-        keep = masks != 0
-        who, at, masks = who[keep], at[keep], masks[keep]
-    order = np.lexsort((at, who["key"], who["doc"]))
-    who, at, masks = who[order], at[order], masks[order].astype("<u4")
-    if not len(who):
-        return pd.DataFrame({"doc_id": [], "text_key": [], "places": [], "masks": []})
-    starts = np.flatnonzero(np.concatenate(([True], who[1:] != who[:-1])))
-    ends = np.append(starts[1:], len(who))
-    return pd.DataFrame({"doc_id": who["doc"][starts], "text_key": who["key"][starts], "places": [at[i:j].tobytes() for i, j in zip(starts, ends, strict=True)], "masks": [masks[i:j].tobytes() for i, j in zip(starts, ends, strict=True)]})
+    runs = [front_decode(s, r) for s, r in zip(df["shared"], df["rest"], strict=True)]
+    order, prefix = merge_runs(runs, list(df["shared"]))
+    starts = np.concatenate(([0], np.cumsum([len(r) for r in runs])))
+    index = np.fromiter((starts[r] + i for r, i in order), np.int64, len(order))
+    near = np.concatenate([np.frombuffer(x, NEAR) for x in df["near"]])[index]
+    who, at = _who(df)[index], np.concatenate([np.frombuffer(x, "<i4") for x in df["places"]])[index]
+    masks = occurs_before(np.array(prefix, np.int64), near["left"], near["n_left"].astype(int), near["n_right"].astype(int), who["doc"])
+    keep = masks != 0
+    return _packed(who[keep], at[keep], masks[keep], int(df["part"].iloc[0]))
+
+
+def gather_bits(rows: DataFrame, key: str, n_bits: int, per: int) -> np.ndarray:
+    """A bitmap from its parts: ``n_bits`` / 8 bytes, 32 MB at most."""
+    bits = np.zeros(n_bits // 8, np.uint8)
+    for r in rows.select(key, "bits").toLocalIterator():
+        bits[r[key] * (per // 8) : (r[key] + 1) * (per // 8)] = np.frombuffer(r["bits"], np.uint8)
+    return bits
 
 
 def removed_bytes(n: int, places: np.ndarray, masks: np.ndarray) -> np.ndarray:
     """Which of ``n`` bytes a found string covers."""
+    places = places.astype(np.int64)
     begins = [places[(masks >> np.uint32(a) & 1) == 1] - a for a in range(REACH + 1)]
     change = np.zeros(n + 1, np.int32)
     at = np.unique(np.concatenate(begins))
@@ -364,10 +481,14 @@ def suffix_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") ->
     n_docs = searched.count()
     n_bits = min(max(1 << 16, 1 << (256 * n_docs).bit_length()), MAX_BITS)
     n_parts = 1 << max(n_docs // DOCS_PER_PART, 32).bit_length()
-    n_buckets = min(n_parts, n_bits >> 10)
-    bits = docs.sparkSession.sparkContext.broadcast(repeated_grams(searched, n_bits, n_buckets))
-    runs = suffix_runs(keyed.filter("doc_id is not null"), bits, n_bits, n_buckets, n_parts)
-    found = runs.groupBy("part", "kind").applyInPandas(merge_part, COVER)
+    n_parts = min(n_parts, n_bits >> 10)
+    share = docs.sparkSession.sparkContext.broadcast
+    sought = keyed.filter("doc_id is not null")
+    grams = Bitmap(share(repeated_grams(searched, n_bits, n_parts)), n_bits, n_parts)
+    met = materialize(contexts(sought, grams, n_parts).groupBy("part").applyInPandas(meet(n_bits, n_parts), FOUND))
+    mixed = Bitmap(share(gather_bits(met.filter("bits is not null"), "part", n_bits, n_bits // n_parts)), n_bits, n_parts)
+    partly = suffix_runs(sought, mixed, n_parts).groupBy("part").applyInPandas(merge_part, FOUND)
+    found = met.filter("bits is null").unionByName(partly)
     cover = materialize(found.groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("places", "masks")).alias("cover")))
 
     @pandas_udf("struct<n_removed long, n_spans long, kept binary>")
@@ -375,7 +496,7 @@ def suffix_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") ->
         out = []
         for t, c in zip(texts, covers, strict=True):
             raw = np.frombuffer(t.encode(), np.uint8)
-            places = np.concatenate([np.frombuffer(x["places"], "<i8") for x in c])
+            places = np.concatenate([np.frombuffer(x["places"], "<i4") for x in c])
             gone = removed_bytes(len(raw), places, np.concatenate([np.frombuffer(x["masks"], "<u4") for x in c]))
             spans = int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum())
             out.append((int(gone.sum()), spans, raw[~gone].tobytes()))
