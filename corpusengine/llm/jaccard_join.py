@@ -185,17 +185,16 @@ def jaccard_join(docs: DataFrame, threshold: Fraction = Fraction(4, 5), words: i
     n_rows = thin.count()
 
     key = F.struct("class1", "class2")
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row", "text_key"))
     classes = materialize(thin.withColumn("class", key).groupBy("class").agg(first.alias("first"), F.count("*").alias("size"), F.any_value("n_tokens").alias("n_tokens"), F.any_value("chosen").alias("chosen")).withColumn("v", F.col("first.row")))
 
     ended = leaves(classes, runs, depth, leaf)
     tasks = materialize(comparisons(ended, runs, block))
-    wanted = materialize(tasks.select("v").distinct().join(classes, "v").select("v", F.col("class.class1").alias("class1"), F.col("class.class2").alias("class2"), F.col("first.doc_id").alias("doc_id")))
-    again = with_tokens(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")), words)
-    # no filter here: pushed below the projection it would evaluate the words once a token
-    again = again.select("doc_id", "tokens", F.xxhash64("tokens").alias("class1"), F.xxhash64(F.lit(1), "tokens").alias("class2"))
-    same = [again["class1"] == wanted["class1"], again["class2"] == wanted["class2"], again["doc_id"].eqNullSafe(wanted["doc_id"])]
-    tokens = materialize(again.join(wanted, same).select("v", "tokens").dropDuplicates(["v"]))
+    # only texts that are compared with others are read again; their tokens are made after the join
+    wanted = materialize(tasks.select("v").distinct().join(classes, "v").select("v", F.col("first.doc_id").alias("first_id"), F.col("first.text_key").alias("first_key")))
+    again = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).withColumn("text_key", F.xxhash64("text"))
+    same = (again["text_key"] == wanted["first_key"]) & again["doc_id"].eqNullSafe(wanted["first_id"])
+    tokens = materialize(with_tokens(again.join(wanted, same).select("v", "text").dropDuplicates(["v"]), words).select("v", "tokens"))
     found = materialize(tasks.join(tokens, "v").groupBy("task").applyInPandas(compare(threshold), "v long, n_links long, root long"))
 
     links = found.groupBy("v").agg(F.sum("n_links").alias("n_links"))
