@@ -253,7 +253,8 @@ def occurs_before(prefix: np.ndarray, left: np.ndarray, n_left: np.ndarray, n_ri
 
 RUN = "part int, shared binary, rest binary, near binary, docs binary, who binary, places binary"
 MET = "part int, known boolean, grams binary, contexts binary, docs binary, who binary, places binary, masks binary"
-FOUND = "part int, bits binary, doc_id long, text_key long, places binary, masks binary"
+FOUND = "part int, bits binary, bucket int, docs binary, who binary, places binary, masks binary"
+COVER = "doc_id long, text_key long, places binary, masks binary"
 NEAR = np.dtype([("left", np.uint8, (REACH,)), ("n_left", np.uint8), ("n_right", np.uint8)])
 WHO = np.dtype([("doc", "<i8"), ("key", "<i8")])
 
@@ -332,10 +333,14 @@ def contexts(docs: DataFrame, grams: Bitmap, n_parts: int) -> DataFrame:
         new = np.concatenate(([True], (h[1:] != h[:-1]) | (c[1:] != c[:-1])))
         first = np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))
         known = who["doc"] > who["doc"][first]
-        part, rows = (h >> shift).astype(np.int64), []
+        rows = []
         for flag in (False, True):
+            # what is known is dealt by document, so that no gram's copies meet in one part
             i = np.flatnonzero(known == flag)
-            for p, lo, hi in _cuts(part[i], n_parts):
+            part = bucket_of(who[i], n_parts) if flag else (h[i] >> shift).astype(np.int64)
+            by_part = np.argsort(part, kind="stable")
+            i, part = i[by_part], part[by_part]
+            for p, lo, hi in _cuts(part, n_parts):
                 k = i[lo:hi]
                 rows.append((p, flag, b"" if flag else h[k].tobytes(), b"" if flag else c[k].tobytes(), *_docs(who[k]), at[k].tobytes(), masks[k].tobytes()))
         return pd.DataFrame(rows, columns=["part", "known", "grams", "contexts", "docs", "who", "places", "masks"])
@@ -355,25 +360,33 @@ def contexts(docs: DataFrame, grams: Bitmap, n_parts: int) -> DataFrame:
     return docs.mapInPandas(run, MET)
 
 
-def _packed(who: np.ndarray, at: np.ndarray, masks: np.ndarray, part: int, bits: bytes | None = None) -> pd.DataFrame:
-    """Found places packed per document, and one row of bits."""
+def bucket_of(who: np.ndarray, n_parts: int) -> np.ndarray:
+    """Where a document's found places meet: spread over the parts by id."""
+    with np.errstate(over="ignore"):
+        return ((who["doc"].astype(np.uint64) * BASE) >> np.uint64(40)).astype(np.int64) % n_parts
+
+
+def _packed(who: np.ndarray, at: np.ndarray, masks: np.ndarray, n_parts: int, part: int, bits: bytes | None = None) -> pd.DataFrame:
+    """Found places, a row per bucket of documents, and one row of bits."""
+    bucket = bucket_of(who, n_parts)
+    order = np.argsort(bucket, kind="stable")
+    who, at, masks, bucket = who[order], at[order], masks[order].astype("<u4"), bucket[order]
+    rows = [(part, None, b, *_docs(who[i:j]), at[i:j].tobytes(), masks[i:j].tobytes()) for b, i, j in _cuts(bucket, n_parts)]
+    if bits is not None:
+        rows.append((part, bits, -1, b"", b"", b"", b""))
+    return pd.DataFrame(rows, columns=["part", "bits", "bucket", "docs", "who", "places", "masks"])
+
+
+def by_document(df: pd.DataFrame) -> pd.DataFrame:
+    """The found places of a bucket's documents, a row per document."""
+    who = _who(df)
+    at = np.concatenate([np.frombuffer(x, "<i4") for x in df["places"]])
+    masks = np.concatenate([np.frombuffer(x, "<u4") for x in df["masks"]])
     order = np.lexsort((at, who["key"], who["doc"]))
-    who, at, masks = who[order], at[order], masks[order].astype("<u4")
-    starts = np.flatnonzero(np.concatenate(([True], who[1:] != who[:-1]))[: len(who)])
-    ends = np.append(starts[1:], len(who))[: len(starts)].astype(int)
-    none = [] if bits is None else [None]
-    return pd.DataFrame(
-        {
-            "part": part,
-            "bits": [None] * len(starts) + ([] if bits is None else [bits]),
-            # nullable integers: as floats the keys would lose digits
-            "doc_id": pd.array([*who["doc"][starts].tolist(), *none], dtype="Int64"),
-            "text_key": pd.array([*who["key"][starts].tolist(), *none], dtype="Int64"),
-            "places": [at[i:j].tobytes() for i, j in zip(starts, ends, strict=True)] + none,
-            "masks": [masks[i:j].tobytes() for i, j in zip(starts, ends, strict=True)] + none,
-        },
-        columns=["part", "bits", "doc_id", "text_key", "places", "masks"],
-    )
+    who, at, masks = who[order], at[order], masks[order]
+    starts = np.flatnonzero(np.concatenate(([True], who[1:] != who[:-1])))
+    ends = np.append(starts[1:], len(who))
+    return pd.DataFrame({"doc_id": who["doc"][starts], "text_key": who["key"][starts], "places": [at[i:j].tobytes() for i, j in zip(starts, ends, strict=True)], "masks": [masks[i:j].tobytes() for i, j in zip(starts, ends, strict=True)]})
 
 
 def meet(n_bits: int, n_parts: int):
@@ -382,9 +395,10 @@ def meet(n_bits: int, n_parts: int):
 
     def run(df: pd.DataFrame) -> pd.DataFrame:
         known, open_ = df[df["known"]], df[~df["known"]]
+        bits = None
         parts = [(_who(x), np.concatenate([np.frombuffer(y, "<i4") for y in x["places"]]), np.concatenate([np.frombuffer(y, "<u4") for y in x["masks"]])) for x in (known, open_) if len(x)]
-        bits = np.zeros(per // 8, np.uint8)
         if len(open_):
+            bits = np.zeros(per // 8, np.uint8)
             who, at, masks = parts.pop()
             h = np.concatenate([np.frombuffer(x, np.uint64) for x in open_["grams"]])
             c = np.concatenate([np.frombuffer(x, np.uint64) for x in open_["contexts"]])
@@ -398,7 +412,7 @@ def meet(n_bits: int, n_parts: int):
             found = who["doc"] > who["doc"][first]
             parts.append((who[found], at[found], masks[found]))
         who, at, masks = (np.concatenate(x) for x in zip(*parts, strict=True))
-        return _packed(who, at, masks, int(df["part"].iloc[0]), bits.tobytes())
+        return _packed(who, at, masks, n_parts, int(df["part"].iloc[0]), None if bits is None else bits.tobytes())
 
     return run
 
@@ -440,8 +454,8 @@ def suffix_runs(docs: DataFrame, grams: Bitmap, n_parts: int) -> DataFrame:
     return docs.mapInPandas(run, RUN)
 
 
-def merge_part(df: pd.DataFrame) -> pd.DataFrame:
-    """Places of one part whose strings stand in smaller documents, packed per document."""
+def merge_part(df: pd.DataFrame, n_parts: int) -> pd.DataFrame:
+    """Places of one part whose strings stand in smaller documents."""
     runs = [front_decode(s, r) for s, r in zip(df["shared"], df["rest"], strict=True)]
     order, prefix = merge_runs(runs, list(df["shared"]))
     starts = np.concatenate(([0], np.cumsum([len(r) for r in runs])))
@@ -450,7 +464,7 @@ def merge_part(df: pd.DataFrame) -> pd.DataFrame:
     who, at = _who(df)[index], np.concatenate([np.frombuffer(x, "<i4") for x in df["places"]])[index]
     masks = occurs_before(np.array(prefix, np.int64), near["left"], near["n_left"].astype(int), near["n_right"].astype(int), who["doc"])
     keep = masks != 0
-    return _packed(who[keep], at[keep], masks[keep], int(df["part"].iloc[0]))
+    return _packed(who[keep], at[keep], masks[keep], n_parts, int(df["part"].iloc[0]))
 
 
 def gather_bits(rows: DataFrame, key: str, n_bits: int, per: int) -> np.ndarray:
@@ -485,19 +499,18 @@ def suffix_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") ->
     share = docs.sparkSession.sparkContext.broadcast
     sought = keyed.filter("doc_id is not null")
     grams = Bitmap(share(repeated_grams(searched, n_bits, n_parts)), n_bits, n_parts)
-    met = materialize(contexts(sought, grams, n_parts).groupBy("part").applyInPandas(meet(n_bits, n_parts), FOUND))
+    met = materialize(contexts(sought, grams, n_parts).groupBy("part", "known").applyInPandas(meet(n_bits, n_parts), FOUND))
     mixed = Bitmap(share(gather_bits(met.filter("bits is not null"), "part", n_bits, n_bits // n_parts)), n_bits, n_parts)
-    partly = suffix_runs(sought, mixed, n_parts).groupBy("part").applyInPandas(merge_part, FOUND)
+    partly = suffix_runs(sought, mixed, n_parts).groupBy("part").applyInPandas(lambda df: merge_part(df, n_parts), FOUND)
     found = met.filter("bits is null").unionByName(partly)
-    cover = materialize(found.groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("places", "masks")).alias("cover")))
+    cover = materialize(found.groupBy("bucket").applyInPandas(by_document, COVER))
 
     @pandas_udf("struct<n_removed long, n_spans long, kept binary>")
-    def remove(texts: pd.Series, covers: pd.Series) -> pd.DataFrame:
+    def remove(texts: pd.Series, places: pd.Series, masks: pd.Series) -> pd.DataFrame:
         out = []
-        for t, c in zip(texts, covers, strict=True):
+        for t, at, m in zip(texts, places, masks, strict=True):
             raw = np.frombuffer(t.encode(), np.uint8)
-            places = np.concatenate([np.frombuffer(x["places"], "<i4") for x in c])
-            gone = removed_bytes(len(raw), places, np.concatenate([np.frombuffer(x["masks"], "<u4") for x in c]))
+            gone = removed_bytes(len(raw), np.frombuffer(at, "<i4"), np.frombuffer(m, "<u4"))
             spans = int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum())
             out.append((int(gone.sum()), spans, raw[~gone].tobytes()))
         return pd.DataFrame(out, columns=["n_removed", "n_spans", "kept"])
@@ -505,6 +518,6 @@ def suffix_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") ->
     met = keyed.join(cover, ["doc_id", "text_key"], "left")
     none = F.lit(0).cast("long")
     size = F.octet_length("text").cast("long").alias("n_bytes")
-    untouched = met.filter("cover is null").select("doc_id", size, none.alias("n_removed"), none.alias("n_spans"), F.col("text").cast("binary").alias("kept"))
-    cleaned = met.filter("cover is not null").select("doc_id", size, remove("text", "cover").alias("r")).select("doc_id", "n_bytes", "r.n_removed", "r.n_spans", "r.kept")
+    untouched = met.filter("places is null").select("doc_id", size, none.alias("n_removed"), none.alias("n_spans"), F.col("text").cast("binary").alias("kept"))
+    cleaned = met.filter("places is not null").select("doc_id", size, remove("text", "places", "masks").alias("r")).select("doc_id", "n_bytes", "r.n_removed", "r.n_spans", "r.kept")
     return untouched.unionByName(cleaned).withColumn("kept_sha256", F.sha2("kept", 256))
