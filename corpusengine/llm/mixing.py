@@ -6,8 +6,8 @@ document so that the expected token total of each domain meets its target: the g
 all documents follows from one residual a domain, so a step is one aggregate over a thin
 table and one expression per document.
 
-Training may use a bounded sample of the labels (``max_labelled`` a domain, the smallest
-hashes of the ids); features, totals and rates cover all documents.
+Word weights may be trained on a bounded sample of the labels (``max_labelled`` a domain, the
+smallest hashes of the ids); priors, features, totals and rates cover all documents.
 
 Defined results: a null text counts as empty (no tokens, the posterior is the prior);
 labels with null id, quality and toxic both null, or of no document are not used; of
@@ -60,37 +60,57 @@ def bucket(word: Column) -> Column:
     return F.pmod(F.xxhash64(word), F.lit(N_BUCKETS)).cast("int")
 
 
-def labelled_domains(labels: DataFrame, max_labelled: int = 20_000) -> DataFrame:
-    """(doc_id, domain) of at most ``max_labelled`` documents a domain, chosen by hash of the id."""
+def labelled_domains(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id") -> DataFrame:
+    """(doc_id, domain, n) of every labelled id of ``docs``; n counts its rows there."""
     known = labels.filter("doc_id is not null and (quality is not null or toxic is not null)")
     worst = known.groupBy("doc_id").agg(F.max(F.when(F.coalesce("toxic", F.lit(0)) == 1, 2).when(F.coalesce("quality", F.lit(1)) == 0, 1).otherwise(0)).alias("domain"))
-    parts = [worst.filter(F.col("domain") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled) for k in range(len(DOMAINS))]
+    return docs.select(F.col(doc_id).alias("doc_id")).join(worst, "doc_id").groupBy("doc_id", "domain").agg(F.count("*").alias("n"))
+
+
+def sample_of(labelled: DataFrame, max_labelled: int = 20_000) -> DataFrame:
+    """At most ``max_labelled`` ids a domain, chosen by hash of the id."""
+    parts = [labelled.filter(F.col("domain") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled) for k in range(len(DOMAINS))]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
     return out
 
 
-def train(docs: DataFrame, sample: DataFrame, text: str = "text", doc_id: str = "doc_id") -> tuple[list[float], DataFrame]:
-    """Log priors, and the weights of the word buckets that tell domains apart.
+def sizes_of(labelled: DataFrame) -> list[int]:
+    sizes = {r["domain"]: r["n"] for r in labelled.groupBy("domain").agg(F.sum("n").alias("n")).collect()}
+    return [sizes.get(k, 0) for k in range(len(DOMAINS))]
+
 
-    ``sample`` is bounded by ``labelled_domains`` and so is broadcast; the weights have at
-    most ``N_BUCKETS`` rows. Words count once a document.
+def train(docs: DataFrame, labelled: DataFrame, text: str = "text", doc_id: str = "doc_id", max_labelled: int = 20_000) -> tuple[list[float], DataFrame]:
+    """Log priors of all labelled documents, and the weights of the word buckets that tell domains apart.
+
+    Words are counted in a sample (``sample_of``), which is broadcast; where domains are mixed,
+    a domain's counts are weighted back to its share of all labelled documents. The weights
+    have at most ``N_BUCKETS`` rows. Words count once a document.
     """
-    sample = materialize(sample)
-    sizes = {r["domain"]: r["count"] for r in sample.groupBy("domain").count().collect()}
-    n = [sizes.get(k, 0) for k in range(len(DOMAINS))]
-    priors = [math.log((x + 1) / (sum(n) + len(n))) for x in n]
-    seen = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).join(F.broadcast(sample), "doc_id")
+    labelled = materialize(labelled)
+    sample = materialize(sample_of(labelled, max_labelled))
+    sizes, n = sizes_of(labelled), sizes_of(sample)
+    priors = [math.log((x + 1) / (sum(sizes) + len(sizes))) for x in sizes]
+    seen = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).join(F.broadcast(sample.select("doc_id", "domain")), "doc_id")
     words = seen.select("domain", features(F.col("text")).alias("w")).select("domain", F.explode_outer("w").alias("w")).select("domain", bucket(F.col("w")).alias("b"))
     counts = words.groupBy("b").agg(*[F.count_if(F.col("domain") == k).alias(f"c{k}") for k in range(len(DOMAINS))])
-    total, weights = sum(F.col(f"c{k}") for k in range(len(DOMAINS))), []
+
+    def mixed(domains: list[int]) -> tuple[Column, Column, int]:
+        """Count and variance of a word in ``domains``, mixed by their sizes at the scale of the sample, and that sample's size."""
+        m, every = sum(n[j] for j in domains), sum(sizes[j] for j in domains)
+        scale = {j: sizes[j] * m / (n[j] * every) if n[j] else 0.0 for j in domains}
+        count = sum((F.col(f"c{j}") * scale[j] for j in domains), F.lit(0.0))
+        return count + 0.5, sum((F.col(f"c{j}") * scale[j] ** 2 for j in domains), F.lit(0.5)), m
+
+    every, _, n_every = mixed(list(range(len(DOMAINS))))
+    weights = []
     for k in range(len(DOMAINS)):
-        own, rest = F.col(f"c{k}") + 0.5, total - F.col(f"c{k}") + 0.5
-        odds = F.log(own / (n[k] + 1.0)) - F.log(rest / (sum(n) - n[k] + 1.0))
+        own, (rest, noise, n_rest) = F.col(f"c{k}") + 0.5, mixed([j for j in range(len(DOMAINS)) if j != k])
+        odds = F.log(own / (n[k] + 1.0)) - F.log(rest / (n_rest + 1.0))
         # words within the noise of their counts weigh nothing, and only words that speak for a domain count
-        sure = odds > MIN_Z * F.sqrt(1 / own + 1 / rest)
-        weights.append(F.when(sure, F.log(own / (n[k] + 1.0)) - F.log((total + 0.5) / (sum(n) + 1.0))).otherwise(0.0).alias(f"w{k}"))
+        sure = odds > MIN_Z * F.sqrt(1 / own + noise / (rest * rest))
+        weights.append(F.when(sure, F.log(own / (n[k] + 1.0)) - F.log(every / (n_every + 1.0))).otherwise(0.0).alias(f"w{k}"))
     table = counts.select("b", *weights).filter(" or ".join(f"w{k} <> 0" for k in range(len(DOMAINS))))
     return priors, materialize(table)
 
@@ -145,6 +165,6 @@ def fit_rates(members: DataFrame, targets: dict[str, float] | None = None, budge
 
 def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, text: str = "text", doc_id: str = "doc_id", max_labelled: int = 20_000) -> DataFrame:
     """One row per document: doc_id, text_key, n_tokens, p_<domain>..., rate."""
-    priors, weights = train(docs, labelled_domains(labels, max_labelled), text, doc_id)
+    priors, weights = train(docs, labelled_domains(docs, labels, doc_id), text, doc_id, max_labelled)
     members = materialize(posteriors(docs, priors, weights, text, doc_id))
     return fit_rates(members, targets).drop("row")

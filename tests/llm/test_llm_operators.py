@@ -271,6 +271,22 @@ def test_mixing(labelled):
     assert error(got.rate.to_numpy()) < error(np.ones(len(got))) / 3 and error(got.rate.to_numpy()) <= error(best_rate) + 1e-4
 
 
+def test_mixing_priors_count_all_labelled_documents(labelled):
+    docs, labels = labelled
+    absent = labels.unionByName(labels.sparkSession.createDataFrame([(i, 0, 1) for i in range(5000, 5400)], labels.schema))
+    whole, capped, more = (mixing.train(docs, mixing.labelled_domains(docs, x), max_labelled=m) for x, m in ((labels, 20_000), (labels, 80), (absent, 20_000)))
+    # 400 labelled ids, one of them (a good one) in two rows
+    n = [sum((0, 0, 0, 1, 2)[i % 5] == k for i in range(600) if i % 3) + (k == 0) for k in range(3)]
+    assert np.allclose(np.exp(whole[0]), [(x + 1) / (sum(n) + 3) for x in n])
+    assert whole[0] == capped[0] == more[0]
+    assert whole[1].exceptAll(more[1]).count() == 0
+    assert mixing.sample_of(mixing.labelled_domains(docs, labels), 80).count() == 240
+    # a word's weight is about the same from a sample of equal class sizes: it is mixed by the sizes of all labels
+    b = docs.sparkSession.range(1).select(mixing.bucket(F.lit("nasty")).alias("b"))
+    a, c = (x[1].join(b, "b").first()["w2"] for x in (whole, capped))
+    assert abs(a - np.log(sum(n) / n[2])) < 0.1 and abs(a - c) < 0.1
+
+
 def test_mixing_without_rows_or_labels(labelled):
     docs, labels = labelled
     assert mixing.mix(docs.limit(0), labels).count() == 0
