@@ -1,10 +1,10 @@
 """Mixing sources to target weights with soft domain membership.
 
 A naive Bayes classifier, trained on labelled documents, gives every document a posterior
-over the domains. Projected-gradient least squares then fits a nonnegative rate for each
-document so that the expected token total of each domain meets its target: the gradient of
-all documents follows from one residual a domain, so a step is one aggregate over a thin
-table and one expression per document.
+over the domains. Least squares then fits a nonnegative rate for each document so that the
+expected token total of each domain meets its target: the rates of all documents follow from
+one number a domain, so a step is one aggregate over a thin table, and the fit goes on until
+its conditions hold.
 
 Word weights may be trained on a bounded sample of the labels (``max_labelled`` a domain, the
 smallest hashes of the ids); priors, features, totals and rates cover all documents.
@@ -33,7 +33,6 @@ WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 SIGNS, CAPITALS = "!#$%&*+/<=>?@\\^_|~", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 N_BUCKETS = 1 << 18
 MIN_Z = 4.0
-FOLD = 12
 
 
 def words_of(text: Column) -> Column:
@@ -128,39 +127,65 @@ def posteriors(docs: DataFrame, priors: list[float], weights: DataFrame, text: s
     return sums.select("row", "doc_id", "text_key", "n_tokens", *[(x / sum(soft)).alias(f"p_{d}") for x, d in zip(soft, DOMAINS, strict=True)])
 
 
-def fit_rates(members: DataFrame, targets: dict[str, float] | None = None, budget: float = 1.0, steps: int = 24, tolerance: float = 1e-4) -> DataFrame:
+def fit_rates(members: DataFrame, targets: dict[str, float] | None = None, budget: float = 1.0, tolerance: float = 1e-4, max_rounds: int = 200) -> DataFrame:
     """``members`` (n_tokens, p_<domain>...) with ``rate`` >= 0.
 
-    Minimises sum_k (sum_d rate_d n_d p_dk / N - budget * target_k)^2 by projected gradient
-    from rate 1, in the metric that weighs a document by its tokens. The step length is the
-    inverse of the largest eigenvalue of the domains' Gram matrix, so the error never grows.
-    The rate is an expression of its last written value, written anew every ``FOLD`` steps.
+    Minimises sum_k (sum_d rate_d n_d p_dk / N - budget * target_k)^2, and of all optima takes
+    the one nearest to rate 1, in the metric that weighs a document by its tokens. With a
+    small weight ``mu`` on that distance, rate_d = max(0, 1 - p_d y) for one number y_k a
+    domain, and y minimises a convex, piecewise quadratic function: Newton steps with a line
+    search, one aggregate a trial, settle it. ``mu`` shrinks until the fit's own conditions
+    hold within ``tolerance`` of the smallest target: every target is met, or no document's
+    rate can be raised or lowered to lessen the error (the slope p_d off is not negative, and
+    0 where the rate is above 0). Raises if ``max_rounds`` aggregates don't get there.
     """
     targets = TARGETS if targets is None else targets
     names = list(targets)
+    size = len(names)
     p, n = [F.col(f"p_{d}") for d in names], F.col("n_tokens")
     goal = np.array([targets[d] for d in names]) * budget
-    pairs = [(i, j) for i in range(len(names)) for j in range(i, len(names))]
-    first = members.agg(F.sum(n).alias("n"), *[F.sum(n * p[i] * p[j]).alias(f"g{i}_{j}") for i, j in pairs]).first()
-    total = first["n"] or 0
+    close = tolerance * min((g for g in goal if g > 0), default=1.0)
+    pairs = [(i, j) for i in range(size) for j in range(i, size)]
+    total = members.agg(F.sum(n)).first()[0] or 0
     if not total:
         return members.withColumn("rate", F.lit(1.0))
-    gram = np.zeros((len(names), len(names)))
-    for i, j in pairs:
-        gram[i, j] = gram[j, i] = first[f"g{i}_{j}"] / total
-    step = 1 / max(np.linalg.eigvalsh(gram)[-1], 1e-12)
-
-    current, rate = members.withColumn("rate", F.lit(1.0)), F.col("rate")
-    for k in range(steps):
-        got = current.agg(*[F.sum(rate * n * x).alias(d) for x, d in zip(p, names, strict=True)]).first()
-        off = np.array([got[d] for d in names]) / total - goal
-        if np.abs(off).max() < tolerance:
-            break
-        pull = step * off
-        rate = F.greatest(F.lit(0.0), rate - sum(x * float(g) for x, g in zip(p, pull, strict=True)))
-        if k % FOLD == FOLD - 1:
-            current, rate = materialize(current.withColumn("rate", rate)), F.col("rate")
-    return current.withColumn("rate", rate)
+
+    def rate_at(y: np.ndarray) -> Column:
+        return F.greatest(F.lit(0.0), 1.0 - sum(x * float(v) for x, v in zip(p, y, strict=True)))
+
+    def look(y: np.ndarray) -> tuple[np.ndarray, np.ndarray, float, float]:
+        """Domain totals, their Gram matrix over rates above 0, half the squared rates, and the largest rate."""
+        now, rate = members.filter("n_tokens > 0").withColumn("rate", rate_at(y)), F.col("rate")
+        live = F.when(rate > 0, n).otherwise(0)
+        got = now.agg(*[F.sum(rate * n * x).alias(f"a{i}") for i, x in enumerate(p)], *[F.sum(live * p[i] * p[j]).alias(f"g{i}_{j}") for i, j in pairs], F.sum(rate * rate * n).alias("s"), F.max("rate").alias("top")).first()
+        gram = np.zeros((size, size))
+        for i, j in pairs:
+            gram[i, j] = gram[j, i] = got[f"g{i}_{j}"] / total
+        return np.array([got[f"a{i}"] for i in range(size)]) / total, gram, got["s"] / total / 2, got["top"]
+
+    y, mu, rounds = np.zeros(size), 1e-3, 1
+    made, gram, half, top = look(y)
+    while True:
+        slope = mu * y + goal - made
+        met = np.abs(made - goal).max() < close
+        if met or np.abs(slope).max() <= close / 100:
+            if met or mu * max(top - 1, 1) + np.abs(slope).max() <= close:
+                return members.withColumn("rate", rate_at(y))
+            mu /= 10
+            continue
+        step = -np.linalg.solve(gram + mu * np.eye(size), slope)
+        value, length = half + goal @ y + mu / 2 * (y @ y), 1.0
+        while True:
+            rounds += 1
+            if rounds > max_rounds:
+                raise RuntimeError(f"rates did not settle in {max_rounds} rounds")
+            trial = y + length * step
+            made, gram, half, top = look(trial)
+            new = half + goal @ trial + mu / 2 * (trial @ trial)
+            if new <= value + 1e-4 * length * (slope @ step) + 1e-12 * max(1.0, abs(value)):
+                break
+            length /= 2
+        y = trial
 
 
 def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, text: str = "text", doc_id: str = "doc_id", max_labelled: int = 20_000) -> DataFrame:

@@ -287,6 +287,26 @@ def test_mixing_priors_count_all_labelled_documents(labelled):
     assert abs(a - np.log(sum(n) / n[2])) < 0.1 and abs(a - c) < 0.1
 
 
+def test_fit_rates_reaches_the_optimum_of_small_domains(spark):
+    goal = np.array([0.90, 0.08, 0.02])
+    frame = lambda n, p: spark.createDataFrame([(float(a), *map(float, b)) for a, b in zip(n, p, strict=True)], "n_tokens double, p_good double, p_low double, p_toxic double")
+    for shares in ((0.93, 0.01, 0.06), (0.98, 0.015, 0.005), (0.9, 0.05, 0.05)):
+        # pure memberships: the only optimum is target by share
+        got = mixing.fit_rates(frame(1000 * np.array(shares), np.eye(3))).toPandas()
+        made = (got.rate * got.n_tokens).to_numpy() @ got[["p_good", "p_low", "p_toxic"]].to_numpy() / got.n_tokens.sum()
+        assert np.abs(made - goal).max() < 1e-5
+        assert np.allclose(got.rate, goal / shares, rtol=1e-3)
+    # targets out of reach: no rate can be moved to lessen the error
+    r = np.random.default_rng(3)
+    got = mixing.fit_rates(frame(r.integers(1, 300, 300), (r.dirichlet([50, 5, 5], 300) + 0.1) / 1.3)).toPandas()
+    n, p = got.n_tokens.to_numpy(), got[["p_good", "p_low", "p_toxic"]].to_numpy()
+    off = (got.rate.to_numpy() * n) @ p / n.sum() - goal
+    assert np.abs(off).max() > 1e-3 and (got.rate >= 0).all()
+    assert (p @ off).min() >= -1e-5 and np.abs(p @ off)[got.rate > 0].max() <= 1e-5
+    with pytest.raises(RuntimeError, match="did not settle"):
+        mixing.fit_rates(frame([930, 10, 60], np.eye(3)), max_rounds=2)
+
+
 def test_mixing_without_rows_or_labels(labelled):
     docs, labels = labelled
     assert mixing.mix(docs.limit(0), labels).count() == 0
