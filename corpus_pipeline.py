@@ -22,9 +22,6 @@ from corpusengine.llm.quality_rules import judge_documents
 from corpusengine.llm.queries import multilingual_bpe
 from corpusengine.session import materialize, table
 
-#: Documents whose fitted rate is below this go.
-MIN_RATE = 0.5
-
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rules, or their host's record, reject go."""
@@ -41,9 +38,20 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return keep_rows(docs, jaccard_join(docs))
 
 
+def thinned(mixed: DataFrame) -> DataFrame:
+    """``kept`` by a draw from the hash of id and text, at the rate relative to the largest one.
+
+    No document is repeated and no rate is capped, so the expected tokens of the domains stand
+    to each other as the fit has them; a domain short of tokens thins the others.
+    """
+    full = mixed.filter("n_tokens > 0").agg(F.max("rate")).first()[0] or 1.0
+    draw = F.shiftrightunsigned(F.xxhash64(F.lit("mixing"), "doc_id", "text_key"), 11) / float(1 << 53)
+    return mixed.withColumn("kept", draw < F.col("rate") / full)
+
+
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the fit to the target weights gives less than half a copy go; others stay once."""
-    return keep_rows(docs, mix(docs, table(spark, sf_dir, "labels")).withColumn("kept", F.col("rate") >= MIN_RATE))
+    """Documents are thinned to the target weights by their fitted rates."""
+    return keep_rows(docs, thinned(mix(docs, table(spark, sf_dir, "labels"))))
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

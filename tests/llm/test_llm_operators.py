@@ -352,5 +352,30 @@ def test_pipeline(spark, tmp_path):
     assert all(x["decoded_sha256"] and len(x["ids"]) == 4 * x["n_tokens"] for x in out)
 
 
+def test_pipeline_mixing_meets_the_targets(spark, tmp_path):
+    import corpus_pipeline
+
+    r = random.Random(12)
+    kinds = [0] * 3000 + [1] * 520 + [2] * 480
+    docs = spark.createDataFrame([(i, prose(r, 40) + "".join(f" {('fine', 'dull', 'vile')[k]}{j}" for j in range(12))) for i, k in enumerate(kinds)], "doc_id long, text string")
+    spark.createDataFrame([(i, int(k != 1), int(k == 2)) for i, k in enumerate(kinds)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    out = [x["doc_id"] for x in corpus_pipeline.mixing(spark, docs, str(tmp_path)).collect()]
+    tokens = np.zeros(3)
+    for i in out:
+        tokens[kinds[i]] += 1  # all texts have 52 words
+    assert len(out) == len(set(out)) and sum(kinds[i] == 0 for i in out) > 2950
+    assert np.abs(tokens / tokens.sum() - [0.90, 0.08, 0.02]).max() < 0.012
+    assert sorted(out) == sorted(x["doc_id"] for x in corpus_pipeline.mixing(spark, docs.repartition(7), str(tmp_path)).collect())
+
+
+def test_thinning_meets_the_targets_of_a_scarce_domain(spark):
+    import corpus_pipeline
+
+    kind = F.when(F.col("id") % 100 < 93, 0).when(F.col("id") % 100 < 94, 1).otherwise(2)
+    rows = spark.range(20_000).select(F.col("id").alias("doc_id"), F.xxhash64("id").alias("text_key"), F.lit(50).alias("n_tokens"), *[F.when(kind == k, 1.0).otherwise(0.0).alias(f"p_{d}") for k, d in enumerate(mixing.DOMAINS)])
+    out = corpus_pipeline.thinned(mixing.fit_rates(rows)).filter("kept").agg(*[F.avg(f"p_{d}") for d in mixing.DOMAINS]).first()
+    assert np.abs(np.array(out) - [0.90, 0.08, 0.02]).max() < 0.012
+
+
 def test_crc_of_ids_is_over_32_bit_integers():
     assert zlib.crc32(np.array([1, 2], "<u4").tobytes()) == zlib.crc32(b"\x01\0\0\0\x02\0\0\0")
