@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusengine.functions import text as T
+from corpusengine.session import materialize
 
 RRF_K = 60
 # Words that ask for a comparison, wherever they stand.
@@ -17,6 +18,7 @@ COMPARISON_RE = "(?i)compare|vs|versus|better|worse|difference|outperform|beat|s
 METRIC_RE = r"(?i)\b(accuracy|score|rate|gflops?|utmos|wer|srr|sir|tor|mrr|probability|percentage|ratio|threshold|table\s*\d|figure\s*\d)\b"
 ROW_RE, FIGURE_RE = r"(?m)^\s*Row \[(.*?)\]:", r"(?m)^\s*Figure:"
 MAX_QUERY_BLOCK_MB = 64
+MAX_SCORES = 4_000_000
 
 
 def unit(v: Column) -> Column:
@@ -28,12 +30,39 @@ def unit(v: Column) -> Column:
 def vector_search(queries: DataFrame, vectors: DataFrame, k: int = 10) -> DataFrame:
     """Exact cosine top ``k``: query_id, doc_id, score, rank. ``queries`` (query_id, tenant, embedding), ``vectors`` (doc_id, tenant, embedding).
 
-    The block of queries is checked to fit before it is broadcast; every batch of vectors
-    gives its own top-k per query, so the shuffle carries k rows a batch and query.
+    Queries come to the driver in blocks of at most ``MAX_QUERY_BLOCK_MB``, each broadcast for
+    one pass over the vectors; where there are several, a block's hits are written before
+    the next one comes. Every batch of vectors gives its own top-k per query, so the shuffle
+    carries k rows a batch and query.
     """
-    rows = [(r["query_id"], r["tenant"], r["e"]) for r in queries.select("query_id", "tenant", unit(F.col("embedding")).alias("e")).limit(_max_queries(queries) + 1).collect()]
-    if len(rows) > _max_queries(queries):
-        raise ValueError("too many queries for one block; split the query table")
+    blocks = _query_blocks(queries.select("query_id", "tenant", unit(F.col("embedding")).alias("e")))
+    block, found = next(blocks, []), None
+    while True:
+        after = next(blocks, None)
+        hits = _search_block(block, vectors, k)
+        if after is None:
+            break
+        hits = materialize(hits)
+        found, block = hits if found is None else found.unionByName(hits), after
+    found = hits if found is None else found.unionByName(hits)
+    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
+    return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+
+
+def _query_blocks(queries: DataFrame) -> Iterator[list[tuple]]:
+    block, held = [], 0
+    for r in queries.toLocalIterator():
+        size = 8 * len(r["e"])
+        if block and held + size > MAX_QUERY_BLOCK_MB * 1_000_000:
+            yield block
+            block, held = [], 0
+        block.append((r["query_id"], r["tenant"], np.array(r["e"], dtype=float)))
+        held += size
+    if block:
+        yield block
+
+
+def _search_block(rows: list[tuple], vectors: DataFrame, k: int) -> DataFrame:
     block = vectors.sparkSession.sparkContext.broadcast(rows)
 
     def local(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -45,21 +74,18 @@ def vector_search(queries: DataFrame, vectors: DataFrame, k: int = 10) -> DataFr
                 continue
             m = np.vstack(df["embedding"].to_numpy()).astype(float)
             n = np.linalg.norm(m, axis=1, keepdims=True)
-            s = q @ (m / np.where(n > 0, n, 1)).T
-            s = np.where(tenants[:, None] == df["tenant"].to_numpy()[None, :], s, -np.inf)
-            doc = df["doc_id"].to_numpy()
-            for i, row in enumerate(np.round(s, 6)):
-                top = np.lexsort((doc, -row))[:k]
-                top = top[np.isfinite(row[top])]
-                yield pd.DataFrame({"query_id": ids[i], "doc_id": doc[top], "score": row[top]})
-
-    found = vectors.select("doc_id", "tenant", "embedding").mapInPandas(local, "query_id long, doc_id long, score double")
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
-    return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
-
-
-def _max_queries(queries: DataFrame) -> int:
-    return MAX_QUERY_BLOCK_MB * 1_000_000 // 8192
+            m = (m / np.where(n > 0, n, 1)).T
+            doc, own = df["doc_id"].to_numpy(), df["tenant"].to_numpy()
+            # scores of some queries at once, so that they stay within a worker's memory
+            some = max(1, MAX_SCORES // len(df))
+            for start in range(0, len(ids), some):
+                s = np.where(tenants[start : start + some, None] == own[None, :], q[start : start + some] @ m, -np.inf)
+                for i, row in enumerate(np.round(s, 6), start):
+                    top = np.lexsort((doc, -row))[:k]
+                    top = top[np.isfinite(row[top])]
+                    yield pd.DataFrame({"query_id": ids[i], "doc_id": doc[top], "score": row[top]})
+
+    return vectors.select("doc_id", "tenant", "embedding").mapInPandas(local, "query_id long, doc_id long, score double")
 
 
 def fuse(vector: DataFrame, keyword: DataFrame, keys: list[str]) -> DataFrame:

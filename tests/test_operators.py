@@ -188,3 +188,15 @@ def test_entry_registers_queries():
     from corpusengine.plans import registry
 
     assert set(registry.oracle_sql()) <= set(registry.queries()) and len(registry.queries()) > 40
+
+
+def test_vector_search_answers_any_number_of_queries(spark, monkeypatch):
+    r = random.Random(8)
+    rows = [(i, ("a", "b")[i % 2], [r.gauss(0, 1) for _ in range(4)]) for i in range(60)]
+    vectors = spark.createDataFrame(rows, "doc_id long, tenant string, embedding array<double>")
+    queries = vectors.withColumnRenamed("doc_id", "query_id")
+    whole = {tuple(x) for x in retrieval.vector_search(queries, vectors, 3).collect()}
+    monkeypatch.setattr(retrieval, "MAX_QUERY_BLOCK_MB", 25 * 32 / 1_000_000)
+    assert [len(b) for b in retrieval._query_blocks(queries.select("query_id", "tenant", retrieval.unit(F.col("embedding")).alias("e")))] == [25, 25, 10]
+    assert {tuple(x) for x in retrieval.vector_search(queries, vectors, 3).collect()} == whole and len(whole) == 180
+    assert retrieval.vector_search(queries.limit(0), vectors, 3).count() == 0
