@@ -47,17 +47,3 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
             return e.select(F.col("a").alias("v"), F.col("b").alias("root")).unionByName(e.select(F.col("b").alias("v"), F.col("b").alias("root")).distinct())
         before = now
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")
-
-
-def keep_rows(docs: DataFrame, decisions: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``docs`` that ``decisions`` (doc_id, text_key, kept) keep, all columns as they were.
-
-    Rows are known by id and text. Only what goes is joined: keys of which no row stays are
-    left out, and of rows repeated under one key as many stay as were decided, which is one.
-    """
-    keys = decisions.groupBy("doc_id", "text_key").agg(F.max("kept").alias("kept"), F.count("*").alias("n"))
-    gone = materialize(keys.filter("not kept or n > 1").select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), F.col("kept").alias("_kept")))
-    met = docs.withColumn("_k", F.xxhash64(F.col(text))).join(gone, F.col(doc_id).eqNullSafe(F.col("_id")) & (F.col("_k") == F.col("_key")), "left")
-    once = met.filter("_kept is null")
-    twice = met.filter("_kept").dropDuplicates([doc_id, "_k"])
-    return once.unionByName(twice).select(*docs.columns)

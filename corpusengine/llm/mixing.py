@@ -114,17 +114,18 @@ def train(docs: DataFrame, labelled: DataFrame, text: str = "text", doc_id: str
     return priors, materialize(table)
 
 
-def posteriors(docs: DataFrame, priors: list[float], weights: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """(row, doc_id, text_key, n_tokens, p_<domain>...) of every document; whole texts, one thin row shuffled each."""
+def posteriors(docs: DataFrame, priors: list[float], weights: DataFrame, text: str = "text", doc_id: str = "doc_id", carry: tuple[str, ...] = ()) -> DataFrame:
+    """(row, doc_id, text_key, carried columns, n_tokens, p_<domain>...) of every document; whole texts, one thin row shuffled each."""
+    keys = ["row", "doc_id", "text_key", *carry, "n_tokens"]
     body = F.col(text)
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(doc_id).alias("doc_id"), F.xxhash64(body).alias("text_key"), F.size(words_of(body)).cast("long").alias("n_tokens"), features(body).alias("w"))
-    rows = rows.select("row", "doc_id", "text_key", "n_tokens", F.explode_outer("w").alias("w"))
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(doc_id).alias("doc_id"), F.xxhash64(body).alias("text_key"), *carry, F.size(words_of(body)).cast("long").alias("n_tokens"), features(body).alias("w"))
+    rows = rows.select(*keys, F.explode_outer("w").alias("w"))
     met = rows.withColumn("b", bucket(F.col("w"))).drop("w").join(F.broadcast(weights), "b", "left")
-    sums = met.groupBy("row", "doc_id", "text_key", "n_tokens").agg(*[F.coalesce(F.sum(f"w{k}"), F.lit(0.0)).alias(f"s{k}") for k in range(len(DOMAINS))])
+    sums = met.groupBy(*keys).agg(*[F.coalesce(F.sum(f"w{k}"), F.lit(0.0)).alias(f"s{k}") for k in range(len(DOMAINS))])
     score = [F.col(f"s{k}") + priors[k] for k in range(len(DOMAINS))]
     top = F.greatest(*score)
     soft = [F.exp(s - top) for s in score]
-    return sums.select("row", "doc_id", "text_key", "n_tokens", *[(x / sum(soft)).alias(f"p_{d}") for x, d in zip(soft, DOMAINS, strict=True)])
+    return sums.select(*keys, *[(x / sum(soft)).alias(f"p_{d}") for x, d in zip(soft, DOMAINS, strict=True)])
 
 
 def fit_rates(members: DataFrame, targets: dict[str, float] | None = None, budget: float = 1.0, tolerance: float = 1e-4, max_rounds: int = 200) -> DataFrame:
@@ -188,8 +189,8 @@ def fit_rates(members: DataFrame, targets: dict[str, float] | None = None, budge
         y = trial
 
 
-def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, text: str = "text", doc_id: str = "doc_id", max_labelled: int = 20_000) -> DataFrame:
-    """One row per document: doc_id, text_key, n_tokens, p_<domain>..., rate."""
+def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, text: str = "text", doc_id: str = "doc_id", max_labelled: int = 20_000, carry: tuple[str, ...] = ()) -> DataFrame:
+    """One row per document: doc_id, text_key, carried columns (not null), n_tokens, p_<domain>..., rate."""
     priors, weights = train(docs, labelled_domains(docs, labels, doc_id), text, doc_id, max_labelled)
-    members = materialize(posteriors(docs, priors, weights, text, doc_id))
+    members = materialize(posteriors(docs, priors, weights, text, doc_id, carry))
     return fit_rates(members, targets).drop("row")
