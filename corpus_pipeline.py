@@ -2,10 +2,13 @@
 
 Each stage reads all that its predecessor kept, written as Parquet in between, so a lost
 executor costs no more than the stage at work. Stages but the last return the columns of
-``documents``; the last one adds the token ids of every document that stays.
+``documents``; the last one adds the token ids of every document that stays. A stage reads
+its operator's verdicts as a thin table keyed by the rows' places, and applies them where
+the rows lie; no text is shuffled for it.
 
 Defined results are those of the operators: null texts count as empty (and fall to the
-quality rules), rows repeated with id and text are one document, null ids are kept apart.
+quality rules), every row is judged by itself, and of rows repeated with id and text the
+first one stays after exact dedup.
 """
 
 from __future__ import annotations
@@ -15,43 +18,55 @@ from pyspark.sql import functions as F
 
 from corpusengine.llm.byte_bpe import decode_documents, encode_documents
 from corpusengine.llm.exact_dedup import exact_dedup
-from corpusengine.llm.graphs import keep_rows
 from corpusengine.llm.jaccard_join import jaccard_join
 from corpusengine.llm.mixing import mix
 from corpusengine.llm.quality_rules import judge_documents
 from corpusengine.llm.queries import multilingual_bpe
+from corpusengine.llm.rows import decide
 from corpusengine.session import materialize, table
 
+KEPT = F.col("kept").cast("int").alias("copies")
+
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rules, or their host's record, reject go."""
-    return keep_rows(docs, judge_documents(docs.withColumn("text_key", F.xxhash64("text"))))
+    return decide(docs, lambda marked, at: judge_documents(marked).select(*at, KEPT))
 
 
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of equal texts stays."""
-    return keep_rows(docs, exact_dedup(docs, with_text_key=True))
+    return decide(docs, lambda marked, at: exact_dedup(marked, carry=at).select(*at, KEPT))
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of connected near duplicates stays."""
-    return keep_rows(docs, jaccard_join(docs))
+    return decide(docs, lambda marked, at: jaccard_join(marked, at=at).select(*at, KEPT))
 
 
-def thinned(mixed: DataFrame) -> DataFrame:
-    """``kept`` by a draw from the hash of id and text, at the rate relative to the largest one.
+def with_copies(mixed: DataFrame) -> DataFrame:
+    """``mixed`` with ``copies``: how often a document is to be seen, by its rate.
 
-    No document is repeated and no rate is capped, so the expected tokens of the domains stand
-    to each other as the fit has them; a domain short of tokens thins the others.
+    A rate counts relative to that of the surest good document, so good documents stay, each
+    once; toxic ones are thinned, and documents of a domain that is short of tokens are seen
+    again. The whole part of a rate is certain and the rest is drawn by the hash of id and
+    text, so the expected tokens of the domains stand to each other as the fit has them.
     """
-    full = mixed.filter("n_tokens > 0").agg(F.max("rate")).first()[0] or 1.0
+    one = mixed.filter("n_tokens > 0").agg(F.max_by("rate", F.struct("p_good", "rate"))).first()[0] or 1.0
+    rate = F.col("rate") / one
     draw = F.shiftrightunsigned(F.xxhash64(F.lit("mixing"), "doc_id", "text_key"), 11) / float(1 << 53)
-    return mixed.withColumn("kept", draw < F.col("rate") / full)
+    return mixed.withColumn("copies", (F.floor(rate) + (draw < rate - F.floor(rate)).cast("int")).cast("int"))
+
+
+def thinned(mixed: DataFrame) -> DataFrame:
+    """The rows of ``mixed`` as often as they are seen, with ``kept``; those not seen once, not kept."""
+    rows = with_copies(mixed).withColumn("kept", F.col("copies") > 0)
+    return rows.withColumn("_seen", F.explode(F.sequence(F.lit(1), F.greatest("copies", F.lit(1))))).drop("_seen")
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents are thinned to the target weights by their fitted rates."""
-    return keep_rows(docs, thinned(mix(docs, table(spark, sf_dir, "labels"))))
+    """Documents are thinned and repeated to the target weights by their fitted rates."""
+    labels = table(spark, sf_dir, "labels")
+    return decide(docs, lambda marked, at: with_copies(mix(marked, labels, carry=at)).select(*at, "copies"))
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
