@@ -73,17 +73,19 @@ FROM (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS b FROM s)
 
 def url_filter(z: float = 1.2816, limit: float = 0.5) -> str:
     rules = ", ".join(f"({quoted(r)}, {quoted(v)}, {quoted(r.partition('/')[0])}, {quoted('/' + r.partition('/')[2])})" for r, v in url.RULES)
-    twos = ", ".join(map(quoted, url.TWO_LABEL_SUFFIXES))
+    seconds = ", ".join(map(quoted, url.SECOND_LEVEL))
+    suffixes = ", ".join(f"({quoted(b)}, {b.count('.') + (0 if r[0] == '!' else 2 if r[0] == '*' else 1)}, {int(r[0] == '!') * 100 + r.count('.')})" for r in url.SUFFIX_RULES for b in [r.lstrip("!*.")])
     strength = lambda rows, n, bad, mean: f"(SELECT coalesce(least(greatest(sum({n} * {mean} * (1 - {mean})) / sum({n}) / greatest((sum({n} * ({bad} / {n} - {mean}) ** 2) - sum({mean} * (1 - {mean}))) / sum({n}), 1e-6) - 1, 2.0), 1e4), 2.0) FROM {rows} WHERE {n} > 0)"
     return rf"""
 WITH p AS (SELECT page_id, translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 1), ''), '{url.UPPER}', '{url.LOWER}') AS host,
   coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 2), '') AS path FROM pages),
 l AS (SELECT doc_id, max(CASE WHEN coalesce(quality, 1) = 0 OR coalesce(toxic, 0) = 1 THEN 1 ELSE 0 END) AS bad FROM labels WHERE doc_id IS NOT NULL AND (quality IS NOT NULL OR toxic IS NOT NULL) GROUP BY doc_id),
 o AS (SELECT host, count(l.doc_id)::DOUBLE AS n, coalesce(sum(bad), 0)::DOUBLE AS b FROM p LEFT JOIN l ON page_id = doc_id GROUP BY host),
-a AS (SELECT *, string_split(regexp_replace(host, ':\d*$', ''), '.') AS x FROM o),
-c AS (SELECT *, array_to_string(x[greatest(len(x) - 1, 1):], '.') IN ({twos}) AS two FROM a),
-h AS (SELECT host, n, b, CASE WHEN two THEN array_to_string(x[greatest(len(x) - 2, 1):], '.') ELSE array_to_string(x[greatest(len(x) - 1, 1):], '.') END AS domain,
-  CASE WHEN two THEN array_to_string(x[greatest(len(x) - 1, 1):], '.') ELSE x[-1] END AS suffix FROM c),
+z AS (SELECT *, regexp_replace(regexp_replace(host, '^.*@', ''), '(:\d*)?$|\.+(:\d*)?$', '') AS y FROM o),
+a AS (SELECT *, string_split(y, '.') AS x, regexp_matches(y, '^(\d+(\.\d+){{3}}|\[.*\]?)$') AS ip FROM z),
+c AS (SELECT *, coalesce((SELECT max_by(k, weight) FROM (VALUES {suffixes}) AS r(bare, k, weight) WHERE y = bare OR ends_with(y, '.' || bare)), CASE WHEN length(x[-1]) = 2 AND x[-2] IN ({seconds}) THEN 2 ELSE 1 END) AS k FROM a),
+h AS (SELECT host, n, b, CASE WHEN ip THEN y ELSE array_to_string(x[greatest(len(x) - k, 1):], '.') END AS domain,
+  CASE WHEN ip THEN 'ip' ELSE array_to_string(x[greatest(len(x) - k + 1, 1):], '.') END AS suffix FROM c),
 g AS (SELECT (sum(b) + 0.5) / (sum(n) + 1) AS m FROM h),
 s0 AS (SELECT suffix, sum(n) AS n, sum(b) AS b, (SELECT m FROM g) AS m FROM h GROUP BY suffix),
 s1 AS (SELECT suffix, (b + k * m) / (n + k) AS m FROM s0, (SELECT {strength("s0", "n", "b", "m")} AS k)),
