@@ -70,9 +70,20 @@ def field_token(name: Column) -> Column:
 
 
 def number_token(number: Column) -> Column:
-    """A number as its plain decimal value (minus signs, percent and commas unified)."""
-    plain = F.translate(F.regexp_replace(number, "[−–]", "-"), ",%", "")
-    return plain.cast("double")
+    """A number as text of ten significant digits at most (minus signs, percent and commas unified), null if it is none.
+
+    Without trailing zeros; with an exponent below 1e-4 and from 1e10 on.
+    """
+    value = F.translate(F.regexp_replace(F.trim(number), "[−–]", "-"), ",%", "").try_cast("double")
+    shown = F.format_string("%.9e", F.abs(value))
+    digits = F.concat(F.substring(shown, 1, 1), F.substring(shown, 3, 9))
+    power = F.substring_index(shown, "e", -1).cast("int")
+    cut = lambda t: F.regexp_replace(t, r"\.?0*$", "")
+    large = F.concat(F.substr(digits, F.lit(1), power + 1), F.lit("."), F.substr(digits, power + 2))
+    small = F.concat(F.lit("0."), F.repeat(F.lit("0"), -power - 1), digits)
+    scientific = F.concat(cut(F.substring_index(shown, "e", 1)), F.lit("e"), F.substring_index(shown, "e", -1))
+    plain = F.when(value == 0, "0").when((power < -4) | (power >= 10), scientific).when(power >= 0, cut(large)).otherwise(cut(small))
+    return F.when(value.isNotNull(), F.concat(F.when(value < 0, "-").otherwise(""), plain))
 
 
 def without_references(text: Column) -> Column:
@@ -114,7 +125,13 @@ def cache_key(user: Column, question: Column, version: Column) -> Column:
 
 
 def change_hash(value: Column) -> Column:
-    return F.substring(F.md5(F.to_json(F.struct(value))), 1, 12)
+    """Hash of a value's JSON with keys sorted at every depth, so maps that are equal hash the same."""
+    return F.substring(F.md5(F.to_json(F.parse_json(F.to_json(F.struct(value.alias("v")))))), 1, 12)
+
+
+def total_tokens(texts: Column) -> Column:
+    """Token estimate of an array of messages."""
+    return F.aggregate(F.coalesce(texts, F.array().cast("array<string>")), F.lit(0), lambda a, t: a + estimate_tokens(t))
 
 
 def embedding_input(task: str, text: Column) -> Column:
@@ -133,14 +150,34 @@ def point_id(doc_id: Column, chunk_index: Column) -> Column:
     return F.concat(F.substring(h, 1, 8), F.lit("-"), F.substring(h, 9, 4), F.lit("-5"), F.substring(h, 14, 3), F.lit("-"), fourth, F.substring(h, 18, 3), F.lit("-"), F.substring(h, 21, 12))
 
 
+def is_object(text: Column) -> Column:
+    """``text`` is exactly one JSON object; nothing stands behind it (a parser would stop there)."""
+    alone = F.size(F.from_json(F.concat(F.lit("["), text, F.lit("]")), "array<variant>")) == 1
+    inside = F.try_parse_json(F.concat(F.lit('{"v":'), text, F.lit("}"))).isNotNull()
+    return F.coalesce(text.startswith("{") & text.endswith("}") & alone & inside, F.lit(False))
+
+
+def balanced_object(text: Column) -> Column:
+    """From the first brace to the one that closes it; braces in strings don't count. Null if none closes it."""
+    rest = F.substr(text, F.instr(text, "{"))
+    start = F.struct(F.lit(0).alias("at"), F.lit(0).alias("depth"), F.lit(False).alias("quoted"), F.lit(False).alias("escaped"), F.lit(0).alias("end"))
+
+    def step(a: Column, c: Column) -> Column:
+        mark, plain = (c == '"') & ~a["escaped"], ~a["quoted"]
+        depth = a["depth"] + F.when(plain & (c == "{"), 1).when(plain & (c == "}"), -1).otherwise(0)
+        end = F.when((a["end"] == 0) & plain & (c == "}") & (depth == 0), a["at"] + 1).otherwise(a["end"])
+        return F.struct((a["at"] + 1).alias("at"), depth.alias("depth"), F.when(mark, plain).otherwise(a["quoted"]).alias("quoted"), (a["quoted"] & (c == "\\") & ~a["escaped"]).alias("escaped"), end.alias("end"))
+
+    end = F.aggregate(F.split(rest, ""), start, step)["end"]
+    return F.when((F.instr(text, "{") > 0) & (end > 0), F.substr(rest, F.lit(1), end))
+
+
 def object_of(response: Column) -> Column:
-    """The JSON object text of a model's raw response: as it is, without fences, or from the first to the last brace; null if none parses."""
+    """The JSON object text of a model's raw response: as it is, without fences, or its first balanced object; null if none parses."""
     plain = F.trim(response)
     bare = F.trim(F.regexp_replace(F.regexp_replace(plain, r"^```[A-Za-z]*\s*", ""), r"\s*```$", ""))
-    inner = F.regexp_extract(response, r"(?s)(\{.*\})", 1)
-    shortest = F.regexp_extract(response, r"(?s)(\{[^{}]*\})", 1)
-    parses = lambda t: F.try_parse_json(t).isNotNull() & t.startswith("{")
-    return F.when(parses(plain), plain).when(parses(bare), bare).when(parses(inner), inner).when(parses(shortest), shortest)
+    inner = balanced_object(response)
+    return F.when(is_object(plain), plain).when(is_object(bare), bare).when(is_object(inner), inner)
 
 
 def parse_stage(response: Column) -> Column:

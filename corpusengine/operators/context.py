@@ -14,10 +14,11 @@ def pick_evidence(hits: DataFrame, n: int = 4) -> DataFrame:
     return hits.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= n)
 
 
-def pack_context(evidence: DataFrame, window: int, scaffold: int = 0) -> DataFrame:
+def pack_context(evidence: DataFrame, window: int, scaffold: int = 0, tools: DataFrame | None = None) -> DataFrame:
     """Blocks of a query, in ``place`` order, that fit the budget: query_id, context, included, dropped, used.
 
     A block that doesn't fit is skipped and a later one may still enter; protected ones always do.
+    ``tools`` (query_id, place, line) follow the sources, in their order, also where no block fits.
     """
     budget = F.lit(max(window - 500 - scaffold - 50, 0)).cast("long")
     rows = evidence.select("query_id", F.struct("place", "text", "protected", estimate_tokens(F.col("text")).cast("long").alias("tokens")).alias("b"))
@@ -28,12 +29,26 @@ def pack_context(evidence: DataFrame, window: int, scaffold: int = 0) -> DataFra
     done = lists.withColumn("walk", F.aggregate("blocks", start, step))
     chosen = F.filter("blocks", lambda b: F.array_contains(F.col("walk.places"), b["place"]))
     text = F.array_join(F.transform(chosen, lambda b: F.concat(F.lit("[Source "), b["place"].cast("string"), F.lit("]\n"), b["text"])), "\n\n")
-    return done.select("query_id", F.when(F.size(chosen) > 0, text).otherwise("(no context available)").alias("context"), F.col("walk.places").alias("included"), F.array_except(F.transform("blocks", lambda b: b["place"]), F.col("walk.places")).alias("dropped"), F.col("walk.used").alias("used"))
-
-
-def source_cards(evidence: DataFrame) -> DataFrame:
+    blocks = F.when(F.size(chosen) > 0, text)
+    if tools is not None:
+        lines = tools.filter("line is not null").groupBy("query_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("place", "line"))), lambda x: x["line"]), "\n\n").alias("tool_text"))
+        done = done.join(lines, "query_id", "full")
+        blocks = F.when(F.col("tool_text").isNotNull() | (F.size(chosen) > 0), F.concat_ws("\n\n", blocks, F.col("tool_text")))
+    places = F.coalesce(F.col("walk.places"), F.array().cast("array<int>"))
+    dropped = F.array_except(F.coalesce(F.transform("blocks", lambda b: b["place"]), F.array().cast("array<int>")), places)
+    return done.select("query_id", F.coalesce(blocks, F.lit("(no context available)")).alias("context"), places.alias("included"), dropped.alias("dropped"), F.coalesce(F.col("walk.used"), F.lit(0).cast("long")).alias("used"))
+
+
+def source_cards(evidence: DataFrame, web: DataFrame | None = None) -> DataFrame:
+    """Cards of a query's evidence in ``place`` order, then those of ``web`` (query_id, place, title, snippet)."""
+    none = lambda kind: F.lit(None).cast(kind)
     card = F.struct("doc_id", "chunk_index", F.coalesce("filename", F.concat(F.lit("Source "), F.col("place").cast("string"))).alias("filename"), F.substring("text", 1, 200).alias("text"), "score")
-    return evidence.groupBy("query_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("place", card.alias("card")))), lambda x: x["card"]).alias("sources"))
+    rows = evidence.select("query_id", F.lit(0).alias("kind"), "place", card.alias("card"))
+    if web is not None:
+        types = {f.name: f.dataType for f in evidence.schema}
+        page = F.struct(none(types["doc_id"]).alias("doc_id"), none(types["chunk_index"]).alias("chunk_index"), F.col("title").alias("filename"), F.substring("snippet", 1, 200).alias("text"), none(types["score"]).alias("score"))
+        rows = rows.unionByName(web.select("query_id", F.lit(1).alias("kind"), "place", page.alias("card")))
+    return rows.groupBy("query_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("kind", "place", "card"))), lambda x: x["card"]).alias("sources"))
 
 
 def recent_history(messages: DataFrame, budget: int = 800) -> DataFrame:

@@ -12,26 +12,32 @@ from pyspark.sql import functions as F
 
 from corpusengine.functions.similarity import stems
 from corpusengine.functions.text import words
+from corpusengine.session import materialize
 
 K1, B, DELTA = 1.5, 0.75, 1.0
 
 
 def _terms(df: DataFrame, text: str, keep: list[str], stem: bool) -> DataFrame:
-    terms = df.select(*keep, words(F.col(text)).alias("ws")).select(*keep, F.explode_outer("ws").alias("term"))
+    """``keep``, term and dl (number of words of the text), a row per word; a text without words has one row with a null term."""
+    terms = df.select(*keep, words(F.col(text)).alias("ws")).select(*keep, F.size("ws").cast("long").alias("dl"), F.explode_outer("ws").alias("term"))
     if not stem:
         return terms
     return terms.join(stems(terms), "term", "left").drop("term").withColumnRenamed("stem", "term")
 
 
-def build_index(chunks: DataFrame, stem: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
+def build_index(chunks: DataFrame, stem: bool = False, only: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """``chunks`` (tenant, doc_id, chunk_index, text) as postings (tenant, term, doc_id, chunk_index, tf, dl),
-    terms (tenant, term, df) and stats (tenant, n, avgdl)."""
+    terms (tenant, term, df) and stats (tenant, n, avgdl).
+
+    With ``only`` (tenant, term) no other terms are counted; where that table is small,
+    Catalyst broadcasts it and words that nobody asks for are never shuffled.
+    """
     key = ["tenant", "doc_id", "chunk_index"]
-    counted = _terms(chunks, "text", key, stem).filter("term is not null").groupBy(*key, "term").agg(F.count("*").alias("tf"))
-    lengths = chunks.select(*key, F.size(words(F.col("text"))).cast("long").alias("dl"))
-    stats = lengths.groupBy("tenant").agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
-    postings = counted.join(lengths, key)
-    terms = counted.groupBy("tenant", "term").agg(F.count("*").alias("df"))
+    every = _terms(chunks, "text", key, stem).filter("term is not null")
+    wanted = every if only is None else every.join(only, ["tenant", "term"], "left_semi")
+    postings = wanted.groupBy(*key, "term", "dl").agg(F.count("*").alias("tf"))
+    stats = chunks.groupBy("tenant").agg(F.count("*").alias("n"), F.avg(F.size(words(F.col("text")))).alias("avgdl"))
+    terms = postings.groupBy("tenant", "term").agg(F.count("*").alias("df"))
     return postings, terms, stats
 
 
@@ -42,8 +48,10 @@ def keyword_search(queries: DataFrame, chunks: DataFrame, k: int = 10, stem: boo
     """
     if "document_id" not in queries.columns:
         queries = queries.withColumn("document_id", F.lit(None).cast("long"))
-    postings, terms, stats = build_index(chunks, stem)
     asked = _terms(queries, "text", ["query_id", "tenant"], stem).filter("term is not null").groupBy("query_id", "tenant", "term").agg(F.count("*").alias("qtf"))
+    postings, terms, stats = build_index(chunks, stem, materialize(asked.select("tenant", "term").distinct()))
+    postings = materialize(postings)
+    terms = postings.groupBy("tenant", "term").agg(F.count("*").alias("df"))
     weighted = asked.join(terms, ["tenant", "term"]).join(stats, "tenant").withColumn("idf", F.col("qtf") * F.log((F.col("n") + 1) / F.col("df")))
     floor = weighted.groupBy("query_id", "tenant").agg(F.sum(F.col("idf") * DELTA).alias("floor"))
     norm = K1 * (1 - B + B * F.col("dl") / F.col("avgdl")) + F.col("tf")

@@ -15,6 +15,7 @@ from corpusengine.session import materialize
 RRF_K = 60
 # Words that ask for a comparison, wherever they stand.
 COMPARISON_RE = "(?i)compare|vs|versus|better|worse|difference|outperform|beat|surpass|how much|which is|contrast|similar|differ|both"
+# Fixed value: words that mark a question about a metric, a table or a figure.
 METRIC_RE = r"(?i)\b(accuracy|score|rate|gflops?|utmos|wer|srr|sir|tor|mrr|probability|percentage|ratio|threshold|table\s*\d|figure\s*\d)\b"
 ROW_RE, FIGURE_RE = r"(?m)^\s*Row \[(.*?)\]:", r"(?m)^\s*Figure:"
 MAX_QUERY_BLOCK_MB = 64
@@ -98,6 +99,33 @@ def fuse(vector: DataFrame, keyword: DataFrame, keys: list[str]) -> DataFrame:
     return met.select(*keys, F.coalesce("vector_score", F.lit(0.0)).alias("vector_score"), F.greatest(F.coalesce("keyword_score", F.lit(0.0)), F.lit(0.0)).alias("keyword_score"), "combined_score", F.when(F.col("v_rank").isNotNull(), "vector").otherwise("keyword").alias("search_type"), F.row_number().over(w).alias("rank"))
 
 
+def hybrid_search(questions: DataFrame, keyword: DataFrame, vector: DataFrame, chunks: DataFrame, score_fn: Callable[[pd.Series, pd.Series], pd.Series] | None = None, pool: int = 20, k: int = 6) -> DataFrame:
+    """Both ranked lists (query_id, doc_id, score, rank) fused, cut to ``pool``, reranked if there is a scorer, limited in table rows, cut to ``k``.
+
+    ``questions`` (query_id, question) and ``chunks`` (doc_id, text) are joined to the pool only.
+    """
+    fused = fuse(vector.filter(F.col("rank") <= pool), keyword.filter(F.col("rank") <= pool), ["query_id", "doc_id"]).filter(F.col("rank") <= pool)
+    found = fused.join(questions.select("query_id", "question"), "query_id").join(chunks.select("doc_id", "text"), "doc_id")
+    kept = filter_table_rows(rerank(found, score_fn, pool))
+    w = Window.partitionBy("query_id").orderBy("rank")
+    return kept.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+
+
+def recent_labels(documents: DataFrame, latest: int = 20) -> DataFrame:
+    """(tenant, label, ord): titles and file names of a tenant's latest processed documents, each label once, newest first."""
+    w = Window.partitionBy("tenant").orderBy(F.desc("created_at"), F.desc("doc_id"))
+    newest = documents.filter("status = 'processed'").withColumn("n", F.row_number().over(w)).filter(F.col("n") <= latest)
+    labels = newest.select("tenant", "n", F.posexplode(F.array("title", "filename")).alias("k", "label")).filter("label <> ''")
+    first = labels.groupBy("tenant", "label").agg(F.min(F.struct("n", "k")).alias("at"))
+    order = F.row_number().over(Window.partitionBy("tenant").orderBy("at"))
+    return first.select("tenant", "label", order.alias("ord")).filter(F.col("ord") <= latest)
+
+
+def latest_metadata(documents: DataFrame) -> DataFrame:
+    """(tenant, metadata) of each tenant's newest document; null if that one has none."""
+    return documents.groupBy("tenant").agg(F.max_by(F.struct("metadata"), F.struct("created_at", "doc_id")).alias("m")).select("tenant", "m.metadata")
+
+
 def keep_best(hits: DataFrame, keys: list[str], score: str = "combined_score") -> DataFrame:
     """The best row per key, the first in rank on a tie."""
     w = Window.partitionBy(*keys).orderBy(F.desc(score), "rank")
@@ -118,8 +146,9 @@ def is_comparison(question: Column) -> Column:
     return F.coalesce(question.rlike(COMPARISON_RE) | question.contains(" and ") | question.contains(" vs "), F.lit(False))
 
 
-def candidate_k(question: Column, plain: int = 5, metric: int = 12) -> Column:
-    return F.when(question.rlike(METRIC_RE), metric).otherwise(plain)
+def candidate_k(question: Column, plain: int = 5, metric: int = 12, pattern: str = METRIC_RE) -> Column:
+    """Candidates to fetch: more where a question asks for a metric, since tables rank low."""
+    return F.when(question.rlike(pattern), metric).otherwise(plain)
 
 
 def result_score() -> Column:
@@ -128,7 +157,7 @@ def result_score() -> Column:
 
 def filter_table_rows(hits: DataFrame) -> DataFrame:
     """Limit table-row chunks (query_id, question, text, rank) by entity; other chunks always stay, order is kept."""
-    entity = F.element_at(F.regexp_extract_all("text", F.lit(ROW_RE), F.lit(1)), 1)
+    entity = F.get(F.regexp_extract_all("text", F.lit(ROW_RE), F.lit(1)), F.lit(0))
     name = F.lower(T.entity_name(F.col("entity")))
     df = hits.withColumn("entity", F.when(F.col("text").rlike(ROW_RE), entity))
     df = df.withColumn("named", F.coalesce((name != "") & F.contains(F.lower("question"), name), F.lit(False)))
@@ -144,7 +173,7 @@ def filter_table_rows(hits: DataFrame) -> DataFrame:
 
 def narrow(hits: DataFrame, size: int = 5) -> DataFrame:
     """Cut metric questions' candidates to ``size``, but never rows of named entities nor figures."""
-    entity = F.element_at(F.regexp_extract_all("text", F.lit(ROW_RE), F.lit(1)), 1)
+    entity = F.get(F.regexp_extract_all("text", F.lit(ROW_RE), F.lit(1)), F.lit(0))
     name = F.lower(T.entity_name(entity))
     row = F.col("text").rlike(ROW_RE) & ((name == "") | F.contains(F.lower("question"), name))
     df = hits.withColumn("sure", F.coalesce(row, F.lit(False)) | F.col("text").rlike(FIGURE_RE)).withColumn("s", result_score())
@@ -213,5 +242,11 @@ def search_messages(messages: DataFrame, query: str, channel: str | None = None,
         found = found if value is None else found.filter(F.col(column) == value)
     found = found if oldest is None else found.filter(F.col("ts") >= oldest)
     found = found if latest is None else found.filter(F.col("ts") <= latest)
-    top = found.orderBy(F.desc("ts"), *[c for c in ("conv_id", "turn") if c in found.columns]).limit(min(max(count, 1), 100))
-    return top.withColumn("total", F.lit(found.count()))
+    ids = [c for c in ("conv_id", "turn") if c in found.columns]
+    count = min(max(count, 1), 100)
+    # each partition of the hash keeps its newest and its number of rows; the few that are left give the answer
+    part = F.pmod(F.xxhash64(F.struct("ts", "text")), F.lit(64))
+    w = Window.partitionBy("_part").orderBy(F.desc("ts"), *ids)
+    newest = found.withColumn("_part", part).withColumns({"_n": F.row_number().over(w), "_size": F.count("*").over(Window.partitionBy("_part"))}).filter(F.col("_n") <= count)
+    every = Window.partitionBy(F.lit(1))
+    return newest.withColumn("total", F.sum(F.when(F.col("_n") == 1, F.col("_size"))).over(every)).orderBy(F.desc("ts"), *ids).limit(count).drop("_part", "_n", "_size")

@@ -24,6 +24,9 @@ PLACE_OR_TIME = r"(?i)\b(in|at|for|near)\s+[a-z][a-z -]{1,40}|\b(today|tomorrow|
 FRESH = r"(?i)\b(latest|current|recent|newest|today|this week|this month|recently|lately)\b"
 NEWS = r"(?i)\b(news|developments?|events?|updates?|papers?|research|models?|tools?|trends?|released|launched|announced|changed)\b"
 CONCEPT = r"(?i)^\s*(what (is|are)|how (does|do)|explain|define|why (is|are|do|does))\b"
+#: Our own stored data, and names that look technical (hyphen or digit inside, capitals inside).
+STORE = r"(?i)\b(database|our app|this app|stored|collection)\b"
+ENTITY = r"\b([A-Za-z]+-[A-Z][A-Za-z]*|[A-Za-z]+\d+\w*|[A-Z][a-z]+[A-Z]\w*|[A-Z]{2,6}-?\d+)\b"
 #: The default table, in order; the first rule that fits decides. Any other table of rules will do.
 RULES = (
     Rule("metadata", "metadata", 0.95, (r"(?i)\b(title|authors?|affiliations?)\b", OWN)),
@@ -36,8 +39,22 @@ RULES = (
     Rule("weather", "weather", 0.95, (WEATHER, PLACE_OR_TIME)),
     Rule("web", "web", 0.9, (FRESH, NEWS)),
     Rule("live", "web", 0.85, (r"(?i)\b(price|score|stock|exchange rate|schedule)\b", r"(?i)\b(now|today|current|live)\b")),
-    Rule("explanation", "direct", 0.9, (CONCEPT,), (OWN, r"\b[A-Z]{2,6}-?\d+\b")),
+    Rule("explanation", "direct", 0.9, (r"(?i)\b(explain|define|definition of|history of|meaning of|difference between|how (does|do) .+ works?)\b",), (OWN,)),
+    Rule("concept", "direct", 0.9, (r"(?i)^\s*what('s| is| are)\b",), (OWN, STORE, ENTITY, r"\d")),
+    Rule("mechanism", "direct", 0.9, (r"(?i)^\s*how (does|do)\b",), (OWN, ENTITY)),
 )
+#: Asked when no rule of the table fits, in order; the rules need a word only. ``active`` stands for a tenant with documents.
+FALLBACK = (
+    Rule("said_explanation", "direct", 0.6, (r"(?i)\b(explain|define|history|meaning)\b",)),
+    Rule("said_weather", "weather", 0.6, (WEATHER,), (CONCEPT,)),
+    Rule("said_action", "tool", 0.6, (r"(?i)\b(send|post|notify|remind|schedule)\b",)),
+    Rule("said_count", "database", 0.6, (r"(?i)\b(how many|number of|count of|total)\b", r"(?i)\b(users?|accounts?|documents?|pdfs?|files?|uploads?|records?|sessions?|chats?)\b")),
+    Rule("said_document", "documents", 0.6, (r"(?i)\b(papers?|pdfs?|files?|documents?|uploaded|attached|according to|figure|section)\b",)),
+    Rule("said_arithmetic", "calculator", 0.6, (r"(?i)\b(add|sum|plus|minus|subtract|multiply|times|divide|average)\b", r"\d\D+\d")),
+    Rule("said_database", "database", 0.6, (r"(?i)\b(database|users|records|signed up|collection)\b",)),
+    Rule("said_web", "web", 0.6, (r"(?i)\b(latest|current|today|breaking|recent|search for)\b",)),
+)
+AFTER_ACTIVE = (Rule("said_concept", "direct", 0.6, (r"(?i)\b(what (is|are)|what's|who (is|was)|how (does|do)|why (does|do)|capital of|difference between)\b",)),)
 
 
 def fits(rule: Rule, question: Column) -> Column:
@@ -49,12 +66,18 @@ def fits(rule: Rule, question: Column) -> Column:
     return F.coalesce(out, F.lit(False))
 
 
-def route(questions: DataFrame, rules=RULES, question: str = "question") -> DataFrame:
-    """``questions`` with rule, source and confidence of the first rule that fits; else documents by default."""
+def route(questions: DataFrame, rules=RULES, question: str = "question", fallback=FALLBACK, after_active=AFTER_ACTIVE, active: str | None = None) -> DataFrame:
+    """``questions`` with rule, source and confidence of the first rule that fits.
+
+    Then the fallback's; then documents, where the column ``active`` says that the tenant has
+    some; then ``after_active``; else documents by default.
+    """
     q = F.col(question)
-    picked = first_true([(fits(r, q), F.struct(F.lit(r.name).alias("rule"), F.lit(r.source).alias("source"), F.lit(r.confidence).alias("confidence"))) for r in rules], None)
-    picked = F.coalesce(picked, F.struct(F.lit("default").alias("rule"), F.lit("documents").alias("source"), F.lit(0.5).alias("confidence")))
-    return questions.withColumn("_r", picked).select("*", "_r.*").drop("_r")
+    of = lambda name, source, c: F.struct(F.lit(name).alias("rule"), F.lit(source).alias("source"), F.lit(c).alias("confidence"))
+    row = lambda r: (fits(r, q), of(r.name, r.source, r.confidence))
+    has = [] if active is None else [(F.coalesce(F.col(active), F.lit(False)), of("active_documents", "documents", 0.5))]
+    picked = first_true([*map(row, rules), *map(row, fallback), *has, *map(row, after_active)], None)
+    return questions.withColumn("_r", F.coalesce(picked, of("default", "documents", 0.5))).select("*", "_r.*").drop("_r")
 
 
 def has_arithmetic(question: Column) -> Column:

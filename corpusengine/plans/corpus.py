@@ -14,7 +14,6 @@ from corpusengine.operators import context as X
 from corpusengine.operators import evaluate as M
 from corpusengine.operators import index as I
 from corpusengine.operators import retrieval as R
-from corpusengine.operators import routing as Q
 from corpusengine.sources import maintenance as K
 from corpusengine.session import table
 
@@ -219,12 +218,12 @@ def _vectors(spark, d):
 
 def vector_topk(spark, d):
     v = _vectors(spark, d)
-    q = v.filter("doc_id < 20").select(F.col("doc_id").alias("query_id"), "tenant", "embedding")
+    q = v.filter("doc_id % 20 = 0").select(F.col("doc_id").alias("query_id"), "tenant", "embedding")
     return R.vector_search(q, v, 10)
 
 
 VECTOR = """SELECT * FROM (SELECT q.vec_id AS query_id, v.vec_id AS doc_id, round(list_cosine_similarity(q.embedding::DOUBLE[], v.embedding::DOUBLE[]), 6) AS score, row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_cosine_similarity(q.embedding::DOUBLE[], v.embedding::DOUBLE[]), 6) DESC, v.vec_id)::INT AS rank
-FROM embeddings q, embeddings v WHERE q.vec_id < 20) WHERE rank <= 10"""
+FROM embeddings q, embeddings v WHERE q.vec_id % 20 = 0) WHERE rank <= 10"""
 
 
 def _question_vectors(spark, d):
@@ -277,11 +276,6 @@ def document_resolution(spark, d):
     return R.resolve_documents(asked, names)
 
 
-def question_routes(spark, d):
-    asked = table(spark, d, "conversations").filter("role = 'user'").select("conv_id", "turn", F.col("text").alias("question"))
-    return Q.route(asked).groupBy("rule", "source").agg(F.count("*").alias("n"), F.sum("confidence").alias("confidence"))
-
-
 def coverage_gate(spark, d):
     pages = docs(spark, d).select("doc_id", F.sequence(F.lit(0), F.floor((F.greatest("n_chars", F.lit(1)) - 1) / 600).cast("int")).alias("pages"))
     got = C.hard_split(docs(spark, d)).filter("chunk_index % 7 <> 3").select("doc_id", F.col("chunk_index").alias("page"))
@@ -337,7 +331,5 @@ QUERIES = {
     "r_hybrid_search": (hybrid_search, HYBRID),
     "r_grades": (retrieval_grades, GRADES),
     "r_document_resolution": (document_resolution, None),
-    "x_packed_context": (packed_context, None),
-    "q_question_routes": (question_routes, None),
     "m_recall_report": (recall_report, RECALL),
 }

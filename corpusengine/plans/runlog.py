@@ -203,7 +203,7 @@ def change_flags(spark, d):
     return V.retry_decisions(e).groupBy("failure", "retry").agg(F.count("*").alias("n"))
 
 
-CHANGES = "WITH e AS (SELECT *, CASE WHEN event_type = 'click' THEN 'retrieval' ELSE 'generation' END AS f, floor(value / 10) AS h FROM events), w AS (SELECT f, row_number() OVER p AS n, coalesce(h = lag(h) OVER p, false) AS same FROM e WINDOW p AS (PARTITION BY user_id, f ORDER BY event_id)) SELECT f AS failure, n <= CASE f WHEN 'retrieval' THEN 1 ELSE 2 END AND NOT same AS retry, count(*) AS n FROM w GROUP BY ALL"
+CHANGES = "WITH e AS (SELECT *, CASE WHEN event_type = 'click' THEN 'retrieval' ELSE 'generation' END AS f, floor(value / 10) AS h FROM events), w AS (SELECT f, row_number() OVER p AS n, coalesce(h = lag(h) OVER p, false) AS same FROM e WINDOW p AS (PARTITION BY user_id, f ORDER BY event_id)) SELECT f AS failure, n <= 2 AND NOT same AS retry, count(*) AS n FROM w GROUP BY ALL"
 
 QUERIES = {
     "d_bounded_memory": (bounded_memory, MEMORY),

@@ -18,12 +18,20 @@ def read_texts(spark: SparkSession, path: str) -> DataFrame:
 
 
 def csv_as_text(spark: SparkSession, path: str) -> DataFrame:
-    """(path, content): header line ``HEADERS: a | b``, then one line of cells a row, each with its newline."""
+    """(path, content): header line ``HEADERS: a | b``, then one line of cells a row, each with its newline.
+
+    Quoted cells may hold commas, doubled quotes and line breaks; blank lines are left out.
+    """
     files = spark.read.format("binaryFile").load(path).select("path", F.decode("content", "UTF-8").alias("raw"))
-    lines = F.filter(F.split("raw", r"\r?\n"), lambda x: x != "")
-    cells = F.transform(lines, lambda x: F.array_join(F.transform(F.split(x, ",(?=(?:[^\"]*\"[^\"]*\")*[^\"]*$)"), lambda c: F.regexp_replace(F.regexp_replace(c, '^"|"$', ""), '""', '"')), " | "))
-    text = F.array_join(F.transform(cells, lambda x, i: F.concat(F.when(i == 0, "HEADERS: ").otherwise(""), x, F.lit("\n"))), "")
-    return files.select("path", text.alias("content"))
+    cell = r'("(?:[^"]++|"")*+"|[^,\r\n]*+)(,|\r?\n|$)'
+    part = lambda k: F.regexp_extract_all("raw", F.lit(cell), F.lit(k))
+    cells = files.select("path", F.arrays_zip(part(1).alias("text"), part(2).alias("mark")).alias("c"))
+    before = lambda i: F.coalesce(F.get("c", i - 1)["mark"], F.lit("\n"))
+    blank = lambda x, i: (x["text"] == "") & (x["mark"] != ",") & (before(i) != ",")
+    bare = lambda t: F.when(t.startswith('"'), F.replace(F.regexp_replace(t, '^"|"$', ""), F.lit('""'), F.lit('"'))).otherwise(t)
+    shown = F.transform("c", lambda x, i: F.when(blank(x, i), "").otherwise(F.concat(bare(x["text"]), F.when(x["mark"] == ",", " | ").otherwise("\n"))))
+    content = F.array_join(shown, "")
+    return cells.select("path", F.when(content != "", F.concat(F.lit("HEADERS: "), content)).otherwise("").alias("content"))
 
 
 def extension(name: Column) -> Column:

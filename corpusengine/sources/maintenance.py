@@ -65,24 +65,37 @@ def update_columns(rows: DataFrame, changes: DataFrame, key: str) -> DataFrame:
     return met.withColumns({c: F.coalesce(f"_{c}", c) if c in rows.columns else F.col(f"_{c}") for c in names}).drop(*[f"_{c}" for c in names])
 
 
-def embed(chunks: DataFrame, embed_fn: Callable[[list[str]], list[list[float] | None]], tries: int = 3) -> DataFrame:
-    """``chunks`` with ``embedding`` and ``error``: a batch that fails is tried again text by text, and a text that fails ``tries`` times gets a null vector."""
+def embed(chunks: DataFrame, embed_fn: Callable[[list[str]], list[list[float] | None]], tries: int = 3, base_delay: float = 0.0) -> DataFrame:
+    """``chunks`` with ``embedding`` and ``error``: a batch goes in one call; if that fails, each text is tried on its own.
+
+    A text that fails ``tries`` times, after pauses of ``base_delay`` seconds that double, gets a null vector.
+    """
     schema = f"{chunks._jdf.schema().toDDL()}, embedding ARRAY<DOUBLE>, error STRING"
 
+    def alone(text: str) -> tuple[list[float] | None, str | None]:
+        import time
+
+        error = None
+        for k in range(tries):
+            if k and base_delay:
+                time.sleep(base_delay * 2 ** (k - 1))
+            try:
+                return embed_fn([text])[0], None
+            except Exception as e:  # noqa: BLE001  the item's failure is data here
+                error = repr(e)
+        return None, error
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for df in batches:
-            vectors, errors = [], []
-            for text in df["text"]:
-                vector = error = None
-                for _ in range(tries):
-                    try:
-                        vector, error = embed_fn([text])[0], None
-                        break
-                    except Exception as e:  # noqa: BLE001  the item's failure is data here
-                        error = repr(e)
-                vectors.append(vector)
-                errors.append(error)
-            yield df.assign(embedding=vectors, error=errors)
+            texts = list(df["text"])
+            try:
+                vectors = embed_fn(texts)
+                if len(vectors) != len(texts):
+                    raise ValueError(f"{len(vectors)} vectors for {len(texts)} texts")
+                done = [(v, None) for v in vectors]
+            except Exception:  # noqa: BLE001  what failed shows text by text
+                done = [alone(t) for t in texts]
+            yield df.assign(embedding=[v for v, _ in done], error=[e for _, e in done])
 
     return chunks.mapInPandas(run, schema)
 
@@ -115,7 +128,12 @@ def retain(rows: DataFrame, as_of: Column, days: int = 7) -> DataFrame:
     return rows.filter(F.col("ts") >= as_of - F.make_dt_interval(F.lit(days)))
 
 
-def write_reports(samples: DataFrame, report: DataFrame, folder: str) -> None:
-    """Per-sample CSV and one JSON report with its time."""
-    samples.write.mode("overwrite").csv(f"{folder}/samples", header=True)
-    report.withColumn("timestamp", F.current_timestamp()).write.mode("overwrite").json(f"{folder}/report")
+def write_reports(samples: DataFrame, report: DataFrame, folder: str, run: str) -> None:
+    """Per-sample CSV and one JSON report with its time, under the name of the run; earlier runs stay."""
+    samples.write.mode("errorifexists").csv(f"{folder}/samples/run={run}", header=True)
+    report.withColumn("timestamp", F.current_timestamp()).write.mode("errorifexists").json(f"{folder}/report/run={run}")
+
+
+def append_summaries(summaries: DataFrame, path: str) -> None:
+    """Session summaries (tenant, session, summary, topics) appended with the time of writing."""
+    summaries.withColumn("created_at", F.current_timestamp()).write.mode("append").parquet(path)

@@ -68,6 +68,17 @@ def live_keys(stores: DataFrame, as_of: Column, seconds: int = CACHE_SECONDS) ->
     return alive.groupBy(F.split("key", ":")[0].alias("prefix")).agg(F.count_distinct("key").alias("n"))
 
 
+def cache_statistics(requests: DataFrame) -> DataFrame:
+    """Per prefix of ``requests`` (key, hit): requests, hits, misses, hit rate."""
+    per = requests.groupBy(F.split("key", ":")[0].alias("prefix")).agg(F.count("*").alias("n"), F.count_if("hit").alias("hits"))
+    return per.withColumns({"misses": F.col("n") - F.col("hits"), "hit_rate": F.round(F.col("hits") / F.col("n"), 6)})
+
+
+def clear_prefix(stores: DataFrame, prefix: str) -> DataFrame:
+    """``stores`` without the keys that start with ``prefix``."""
+    return stores.filter(~F.coalesce(F.col("key").startswith(prefix), F.lit(False)))
+
+
 def rate_limit(requests: DataFrame, most: int, seconds: float) -> DataFrame:
     """``requests`` (key, request_id, ts) with ``allowed``: fewer than ``most`` accepted in the window before; rejected ones don't count."""
 
@@ -92,6 +103,13 @@ def audited(requests: DataFrame, prefixes: list[str]) -> DataFrame:
     return requests.filter(keep)
 
 
+def audit_records(requests: DataFrame, responses: DataFrame, prefixes: list[str]) -> DataFrame:
+    """Audited requests (request_id, ts, path, ...) with status and milliseconds of their response; null where none came."""
+    r = responses.select("request_id", F.col("ts").alias("_done"), "status")
+    took = F.round((F.unix_micros(F.col("_done").cast("timestamp")) - F.unix_micros(F.col("ts").cast("timestamp"))) / 1000, 3)
+    return audited(requests, prefixes).join(r, "request_id", "left").withColumn("ms", took).drop("_done")
+
+
 class RateLimiter(StatefulProcessor):
     """Streaming rate limit per key over (key, request_id, ts): state is the accepted times in the window."""
 
