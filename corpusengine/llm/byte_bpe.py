@@ -150,12 +150,25 @@ class ByteBpe:
             for ids in batches:
                 yield pd.Series([b"".join(map(token, np.frombuffer(x or b"", dtype="<u4").tolist())) for x in ids], dtype=object)
 
-        self._encode, self._decode = encode, decode
+        @pandas_udf("ids binary, decoded binary")
+        def round_trip(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+            encoder = encoder_of(*shared.value)
+            token = {r: t for t, r in read_ranks(shared.value[0]).items()}.__getitem__
+            for texts in batches:
+                rows = [t or "" for t in texts]
+                ids = [x for k in range(0, len(rows), BATCH) for x in encoder.encode(rows[k : k + BATCH])]
+                yield pd.DataFrame({"ids": ids, "decoded": [b"".join(map(token, np.frombuffer(x, dtype="<u4").tolist())) for x in ids]}, dtype=object)
+
+        self._encode, self._decode, self._round_trip = encode, decode, round_trip
 
     def encode(self, text: Column) -> Column:
         """Ids as little-endian unsigned 32-bit integers."""
         return self._encode(text)
 
+    def round_trip(self, text: Column) -> Column:
+        """Struct of ``ids`` and of the bytes ``decoded`` from them, in one Python worker."""
+        return self._round_trip(text)
+
     def decode(self, ids: Column) -> Column:
         """The bytes that ``ids`` stand for."""
         return self._decode(ids)
@@ -169,3 +182,10 @@ def encode_documents(docs: DataFrame, codec: ByteBpe, text: str = "text") -> Dat
 def decode_documents(docs: DataFrame, codec: ByteBpe) -> DataFrame:
     """``docs`` (with ``ids``) with ``decoded``."""
     return docs.withColumn("decoded", codec.decode(F.col("ids")))
+
+
+def encode_and_decode(docs: DataFrame, codec: ByteBpe, text: str = "text") -> DataFrame:
+    """``docs`` with ``ids``, ``n_tokens`` and ``decoded``; columns of these names are replaced."""
+    met = docs.drop("ids", "n_tokens", "decoded").withColumn("_bpe", codec.round_trip(F.col(text)))
+    kept = [c for c in met.columns if c != "_bpe"]
+    return met.select(*kept, F.col("_bpe.ids").alias("ids"), (F.length("_bpe.ids") / 4).cast("long").alias("n_tokens"), F.col("_bpe.decoded").alias("decoded"))

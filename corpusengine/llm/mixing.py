@@ -1,13 +1,18 @@
 """Mixing sources to target weights with soft domain membership.
 
-A naive Bayes classifier, trained on labelled documents, gives every document a posterior
-over the domains. Least squares then fits a nonnegative rate for each document so that the
-expected token total of each domain meets its target: the rates of all documents follow from
-one number a domain, so a step is one aggregate over a thin table, and the fit goes on until
-its conditions hold.
+A naive Bayes classifier, trained on one half of the labelled documents, sums up what the
+words of a document say for each domain. The other half tells what such sums are worth: a
+document's posterior is the share of the domains among held-out labelled documents of about
+its evidence and length (a cell), shrunk towards coarser cells and towards the prior. So sums
+that saturate on long texts, and the absence of telling words, count as they turn out.
+Least squares then fits a nonnegative rate for each document so that the expected token
+total of each domain meets its target: documents of one posterior share a rate and all rates
+follow from one number a domain, so a step is one aggregate over a thin table, and the fit
+goes on until its conditions hold.
 
 Word weights may be trained on a bounded sample of the labels (``max_labelled`` a domain, the
-smallest hashes of the ids); priors, features, totals and rates cover all documents.
+smallest hashes of the ids), in which copies, known by their least word triple, count once;
+priors, cells, features, totals and rates cover all documents.
 
 Defined results: a null text counts as empty (no tokens, the posterior is the prior);
 labels with null id, quality and toxic both null, or of no document are not used; of
@@ -33,6 +38,8 @@ WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 SIGNS, CAPITALS = "!#$%&*+/<=>?@\\^_|~", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 N_BUCKETS = 1 << 18
 MIN_Z = 4.0
+#: Bounds of the cells: evidence for a domain, number of words; pseudo-documents that a coarser cell counts for.
+EVIDENCE, LENGTHS, SHRINK = (0.0, 1.0, 2.0, 3.5, 6.0, 10.0), (100, 300, 1000), 8.0
 
 
 def words_of(text: Column) -> Column:
@@ -55,6 +62,12 @@ def features(text: Column) -> Column:
     return F.concat(distinct, F.array(*[F.concat(F.lit(f"<{k} "), v.cast("string"), F.lit(">")) for k, v in traits.items()]))
 
 
+def least_triple(w: Column) -> Column:
+    """The least hash of three words in a row of the array column ``w``; copies of a text, also with some words changed, mostly share it."""
+    triples = F.transform(F.slice(w, F.lit(1), F.greatest(F.size(w) - 2, F.lit(0))), lambda x, i: F.xxhash64(x, F.get(w, i + 1), F.get(w, i + 2)))
+    return F.when(F.size(w) > 2, F.array_min(triples)).otherwise(F.xxhash64(w))
+
+
 def bucket(word: Column) -> Column:
     return F.pmod(F.xxhash64(word), F.lit(N_BUCKETS)).cast("int")
 
@@ -83,16 +96,21 @@ def sizes_of(labelled: DataFrame) -> list[int]:
 def train(docs: DataFrame, labelled: DataFrame, text: str = "text", doc_id: str = "doc_id", max_labelled: int = 20_000) -> tuple[list[float], DataFrame]:
     """Log priors of all labelled documents, and the weights of the word buckets that tell domains apart.
 
-    Words are counted in a sample (``sample_of``), which is broadcast; where domains are mixed,
-    a domain's counts are weighted back to its share of all labelled documents. The weights
-    have at most ``N_BUCKETS`` rows. Words count once a document.
+    Words are counted in a sample (``sample_of``), which is broadcast, once a document and
+    group of copies; where domains are mixed, a domain's counts are weighted back to its share
+    of all labelled documents. The weights have at most ``N_BUCKETS`` rows.
     """
     labelled = materialize(labelled)
     sample = materialize(sample_of(labelled, max_labelled))
-    sizes, n = sizes_of(labelled), sizes_of(sample)
+    sizes = sizes_of(labelled)
     priors = [math.log((x + 1) / (sum(sizes) + len(sizes))) for x in sizes]
     seen = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).join(F.broadcast(sample.select("doc_id", "domain")), "doc_id")
-    words = seen.select("domain", features(F.col("text")).alias("w")).select("domain", F.explode_outer("w").alias("w")).select("domain", bucket(F.col("w")).alias("b"))
+    seen = materialize(seen.select("domain", "doc_id", words_of(F.col("text")).alias("words"), F.transform(features(F.col("text")), bucket).alias("b")))
+    one = seen.select("domain", least_triple(F.col("words")).alias("copy"), F.struct("doc_id", "b").alias("d"))
+    one = materialize(one.groupBy("domain", "copy").agg(F.min("d").alias("d")).select("domain", "d.b"))
+    found = {r["domain"]: r["count"] for r in one.groupBy("domain").count().collect()}
+    n = [found.get(k, 0) for k in range(len(DOMAINS))]
+    words = one.select("domain", F.explode_outer("b").alias("b"))
     counts = words.groupBy("b").agg(*[F.count_if(F.col("domain") == k).alias(f"c{k}") for k in range(len(DOMAINS))])
 
     def mixed(domains: list[int]) -> tuple[Column, Column, int]:
@@ -114,18 +132,45 @@ def train(docs: DataFrame, labelled: DataFrame, text: str = "text", doc_id: str
     return priors, materialize(table)
 
 
-def posteriors(docs: DataFrame, priors: list[float], weights: DataFrame, text: str = "text", doc_id: str = "doc_id", carry: tuple[str, ...] = ()) -> DataFrame:
-    """(row, doc_id, text_key, carried columns, n_tokens, p_<domain>...) of every document; whole texts, one thin row shuffled each."""
+def evidence(docs: DataFrame, weights: DataFrame, text: str = "text", doc_id: str = "doc_id", carry: tuple[str, ...] = ()) -> DataFrame:
+    """(row, doc_id, text_key, carried columns, n_tokens, s_<domain>...) of every document; whole texts, one thin row shuffled each."""
     keys = ["row", "doc_id", "text_key", *carry, "n_tokens"]
     body = F.col(text)
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(doc_id).alias("doc_id"), F.xxhash64(body).alias("text_key"), *carry, F.size(words_of(body)).cast("long").alias("n_tokens"), features(body).alias("w"))
     rows = rows.select(*keys, F.explode_outer("w").alias("w"))
     met = rows.withColumn("b", bucket(F.col("w"))).drop("w").join(F.broadcast(weights), "b", "left")
-    sums = met.groupBy(*keys).agg(*[F.coalesce(F.sum(f"w{k}"), F.lit(0.0)).alias(f"s{k}") for k in range(len(DOMAINS))])
-    score = [F.col(f"s{k}") + priors[k] for k in range(len(DOMAINS))]
-    top = F.greatest(*score)
-    soft = [F.exp(s - top) for s in score]
-    return sums.select(*keys, *[(x / sum(soft)).alias(f"p_{d}") for x, d in zip(soft, DOMAINS, strict=True)])
+    return met.groupBy(*keys).agg(*[F.coalesce(F.sum(f"w{k}"), F.lit(0.0)).alias(f"s_{d}") for k, d in enumerate(DOMAINS)])
+
+
+def cell() -> tuple[Column, Column]:
+    """A document's cell, from its evidence and length, and the coarser one without the length."""
+    steps = lambda x, bounds: sum((F.when(x > b, 1).otherwise(0) for b in bounds), F.lit(0))
+    wide = F.lit(0)
+    for d in DOMAINS[1:]:
+        wide = wide * (len(EVIDENCE) + 1) + steps(F.col(f"s_{d}"), EVIDENCE)
+    return wide * (len(LENGTHS) + 1) + steps(F.col("n_tokens"), LENGTHS), wide
+
+
+def posteriors(scored: DataFrame, held_out: DataFrame, priors: list[float]) -> DataFrame:
+    """``scored`` with p_<domain>: the domains' shares among ``held_out`` (doc_id, domain) documents of its cell.
+
+    The cells are a few hundred, whatever the documents are.
+    """
+    fine, wide = cell()
+    counts = scored.select("doc_id", fine.alias("fine"), wide.alias("wide")).join(held_out.select("doc_id", "domain"), "doc_id").groupBy("fine", "wide").agg(*[F.count_if(F.col("domain") == k).alias(f"n{k}") for k in range(len(DOMAINS))]).collect()
+    per_wide: dict[int, np.ndarray] = {}
+    for r in counts:
+        per_wide[r["wide"]] = per_wide.get(r["wide"], np.zeros(len(DOMAINS))) + [r[f"n{k}"] for k in range(len(DOMAINS))]
+    prior = np.exp(priors) / np.exp(priors).sum()
+    shrunk = lambda n, p: (n + SHRINK * p) / (n.sum() + SHRINK)
+    of_wide = {w: shrunk(n, prior) for w, n in per_wide.items()}
+    of_fine = {r["fine"]: shrunk(np.array([r[f"n{k}"] for k in range(len(DOMAINS))], float), of_wide[r["wide"]]) for r in counts}
+    spark = scored.sparkSession
+    names = ", ".join(f"p_{d} double" for d in DOMAINS)
+    table = lambda name, of: F.broadcast(spark.createDataFrame([(k, *map(float, p)) for k, p in of.items()], f"{name} int, {names}").select(name, F.struct(*[f"p_{d}" for d in DOMAINS]).alias(f"of_{name}")))
+    met = scored.withColumns({"fine": fine, "wide": wide}).join(table("fine", of_fine), "fine", "left").join(table("wide", of_wide), "wide", "left")
+    picked = F.coalesce("of_fine", "of_wide", F.struct(*[F.lit(float(p)).alias(f"p_{d}") for p, d in zip(prior, DOMAINS, strict=True)]))
+    return met.withColumn("p", picked).select(*[c for c in scored.columns if not c.startswith("s_")], "p.*")
 
 
 def fit_rates(members: DataFrame, targets: dict[str, float] | None = None, budget: float = 1.0, tolerance: float = 1e-4, max_rounds: int = 200) -> DataFrame:
@@ -147,7 +192,9 @@ def fit_rates(members: DataFrame, targets: dict[str, float] | None = None, budge
     goal = np.array([targets[d] for d in names]) * budget
     close = tolerance * min((g for g in goal if g > 0), default=1.0)
     pairs = [(i, j) for i in range(size) for j in range(i, size)]
-    total = members.agg(F.sum(n)).first()[0] or 0
+    # documents of one posterior share their rate, so the fit sees each posterior once
+    each = materialize(members.filter(n > 0).groupBy(*p).agg(F.sum(n).alias("n_tokens")))
+    total = each.agg(F.sum(n)).first()[0] or 0
     if not total:
         return members.withColumn("rate", F.lit(1.0))
 
@@ -156,7 +203,7 @@ def fit_rates(members: DataFrame, targets: dict[str, float] | None = None, budge
 
     def look(y: np.ndarray) -> tuple[np.ndarray, np.ndarray, float, float]:
         """Domain totals, their Gram matrix over rates above 0, half the squared rates, and the largest rate."""
-        now, rate = members.filter("n_tokens > 0").withColumn("rate", rate_at(y)), F.col("rate")
+        now, rate = each.withColumn("rate", rate_at(y)), F.col("rate")
         live = F.when(rate > 0, n).otherwise(0)
         got = now.agg(*[F.sum(rate * n * x).alias(f"a{i}") for i, x in enumerate(p)], *[F.sum(live * p[i] * p[j]).alias(f"g{i}_{j}") for i, j in pairs], F.sum(rate * rate * n).alias("s"), F.max("rate").alias("top")).first()
         gram = np.zeros((size, size))
@@ -191,6 +238,11 @@ def fit_rates(members: DataFrame, targets: dict[str, float] | None = None, budge
 
 def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, text: str = "text", doc_id: str = "doc_id", max_labelled: int = 20_000, carry: tuple[str, ...] = ()) -> DataFrame:
     """One row per document: doc_id, text_key, carried columns (not null), n_tokens, p_<domain>..., rate."""
-    priors, weights = train(docs, labelled_domains(docs, labels, doc_id), text, doc_id, max_labelled)
-    members = materialize(posteriors(docs, priors, weights, text, doc_id, carry))
+    labelled = materialize(labelled_domains(docs, labels, doc_id))
+    half = F.pmod(F.xxhash64(F.lit("half"), "doc_id"), F.lit(2))
+    sizes = sizes_of(labelled)
+    priors = [math.log((x + 1) / (sum(sizes) + len(sizes))) for x in sizes]
+    _, weights = train(docs, labelled.filter(half == 0), text, doc_id, max_labelled)
+    scored = materialize(evidence(docs, weights, text, doc_id, carry))
+    members = materialize(posteriors(scored, labelled.filter(half == 1), priors))
     return fit_rates(members, targets).drop("row")

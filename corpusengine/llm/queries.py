@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from corpusengine.llm import oracles
-from corpusengine.llm.byte_bpe import ByteBpe, decode_documents, encode_documents
+from corpusengine.llm.byte_bpe import ByteBpe, encode_and_decode
 from corpusengine.llm.exact_dedup import exact_dedup
 from corpusengine.llm.jaccard_join import jaccard_join
 from corpusengine.llm.license_scan import scan_licenses
@@ -66,7 +66,7 @@ def multilingual_bpe(spark: SparkSession) -> ByteBpe:
 
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     codec = multilingual_bpe(spark)
-    docs = decode_documents(encode_documents(table(spark, sf_dir, "documents").select("doc_id", "text"), codec), codec)
+    docs = encode_and_decode(table(spark, sf_dir, "documents").select("doc_id", "text"), codec)
     return docs.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
