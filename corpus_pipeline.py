@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusengine.llm.byte_bpe import decode_documents, encode_documents
+from corpusengine.llm.byte_bpe import encode_and_decode
 from corpusengine.llm.exact_dedup import exact_dedup
 from corpusengine.llm.jaccard_join import jaccard_join
 from corpusengine.llm.mixing import mix
@@ -46,12 +46,12 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def with_copies(mixed: DataFrame) -> DataFrame:
     """``mixed`` with ``copies``: how often a document is to be seen, by its rate.
 
-    A rate counts relative to that of the surest good document, so good documents stay, each
-    once; toxic ones are thinned, and documents of a domain that is short of tokens are seen
-    again. The whole part of a rate is certain and the rest is drawn by the hash of id and
+    A rate counts relative to that of good documents (the rate that nine of ten of them don't
+    exceed), so these stay, once each; toxic ones are thinned, and documents of a domain that
+    is short of tokens are seen again. The whole part of a rate is certain and the rest is drawn by the hash of id and
     text, so the expected tokens of the domains stand to each other as the fit has them.
     """
-    one = mixed.filter("n_tokens > 0").agg(F.max_by("rate", F.struct("p_good", "rate"))).first()[0] or 1.0
+    one = mixed.filter("n_tokens > 0 and p_good > 0.5").agg(F.percentile_approx("rate", 0.9, 10_000)).first()[0] or 1.0
     rate = F.col("rate") / one
     draw = F.shiftrightunsigned(F.xxhash64(F.lit("mixing"), "doc_id", "text_key"), 11) / float(1 << 53)
     return mixed.withColumn("copies", (F.floor(rate) + (draw < rate - F.floor(rate)).cast("int")).cast("int"))
@@ -72,7 +72,7 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids, and proof that they decode to the text."""
     codec = multilingual_bpe(spark)
-    out = decode_documents(encode_documents(docs, codec), codec)
+    out = encode_and_decode(docs, codec)
     return out.select(*[c for c in docs.columns if c not in ("text", "ids", "n_tokens")], "n_tokens", "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
