@@ -3,7 +3,7 @@
 A block is coded on its own, from an empty model. For each id the model has three
 predictions: the id that last followed the last two ids (order 2), the one that last
 followed the last id (order 1), each with a confidence, and the frequencies of the ids seen
-so far (order 0, refreshed every ``EPOCH`` ids). Adaptive counts, kept per pair of
+so far (order 0, refreshed when an eighth of the ids is new, every 16 ids at first). Adaptive counts, kept per pair of
 confidences, mix them into the probabilities of four events: order 2 is right, order 1 is
 right, the id has been seen, the id is new. The event is coded, then for a seen id its
 place among the frequencies, for a new one the id itself.
@@ -17,13 +17,21 @@ from __future__ import annotations
 
 import numpy as np
 
-BLOCK, EPOCH = 8192, 1024
+BLOCK = 8192
 ONE, LIMIT, STEP = 1 << 16, 1 << 12, 24
 SIZE1, SIZE2 = 1 << 12, 1 << 13
 FULL, LOW = np.uint64(1 << 48), np.uint64(1 << 32)
 MASK, S16, S32 = np.uint64((1 << 32) - 1), np.uint64(16), np.uint64(32)
 
 
+def refreshes(n: int) -> list[int]:
+    """Steps at which the frequencies are refreshed, and ``n``."""
+    at = [0]
+    while at[-1] < n:
+        at.append(min(at[-1] + max(16, at[-1] // 8), n))
+    return at
+
+
 class Model:
     """Predictions of ``k`` blocks in step."""
 
@@ -113,12 +121,15 @@ def encode_blocks(blocks: list[np.ndarray]) -> list[bytes]:
             low[small] = (low[small] & MASK) << S16
             size[small] <<= S16
 
+    points = refreshes(n)
+    since, upto = 0, 0
     for s in range(n):
-        if s % EPOCH == 0 and s:
-            model.refresh(s)
-        if s % EPOCH == 0:
-            lows, highs = model.runs(ids[:, s : s + EPOCH]) if s else (np.zeros((k, EPOCH), np.int64),) * 2
-        x, lo, hi = ids[:, s], lows[:, s % EPOCH], highs[:, s % EPOCH]
+        if s == upto:
+            since, upto = s, points[points.index(s) + 1]
+            if s:
+                model.refresh(s)
+            lows, highs = model.runs(ids[:, s:upto]) if s else (np.zeros((k, upto), np.int64),) * 2
+        x, lo, hi = ids[:, s], lows[:, s - since], highs[:, s - since]
         bounds = model.predict()
         event = np.where(x == model.id2, 0, np.where(x == model.id1, 1, np.where(hi > lo, 2, 3)))
         start, end = bounds[event, rows], bounds[event + 1, rows]
@@ -166,9 +177,9 @@ def decode_blocks(coded: list[bytes], lengths: list[int]) -> list[np.ndarray]:
             size[small] <<= S16
             used[small] += 1
 
-    one = np.uint64(ONE)
+    one, points = np.uint64(ONE), set(refreshes(n))
     for s in range(n):
-        if s % EPOCH == 0 and s:
+        if s and s in points:
             model.refresh(s)
         bounds = model.predict()
         place = slot(one)

@@ -3,7 +3,7 @@
 Values for some of the rows are gathered into one map per block of rows of a file, and every
 task looks its rows up while it reads them. At most ``MOST`` bytes of maps are broadcast at
 once; more of them are looked up file group by file group, and each pass reads only its own
-files.
+files. Beyond ``MOST_PASSES`` passes the rows are shuffled by file and block instead.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from corpusengine.session import materialize, scratch_scope
 
 BLOCK = 1024
-MOST = 1 << 25
+MOST, MOST_PASSES = 1 << 25, 16
 
 
 def place_columns(docs: DataFrame) -> tuple[str, str]:
@@ -59,10 +59,12 @@ def look_up(marked: DataFrame, at: tuple[str, str], blocks: DataFrame, name: str
     marked = marked.withColumn("_block", F.floor(F.col(place) / BLOCK))
     size = blocks.agg(F.sum(F.size("_values") * (value_bytes + 4) + 64)).first()[0] or 0
     passes = -(-size // MOST) or 1
+    near = F.broadcast if passes <= MOST_PASSES else (lambda df: df)
+    passes = passes if passes <= MOST_PASSES else 1
     out = None
     for k in range(passes):
         of_pass = (lambda df, k=k: df.filter(F.pmod(file, F.lit(passes)) == k)) if passes > 1 else (lambda df: df)
-        met = of_pass(marked).join(F.broadcast(of_pass(blocks)), [file, "_block"], "left")
+        met = of_pass(marked).join(near(of_pass(blocks)), [file, "_block"], "left")
         part = met.withColumn(name, F.element_at("_values", (F.col(place) % BLOCK).cast("int"))).drop("_values", "_block")
         out = part if out is None else out.unionByName(part)
     return out

@@ -45,6 +45,8 @@ PART = 1 << 22
 FLUSH = 1 << 19
 #: Documents to a part of the merge, roughly.
 DOCS_PER_PART = 1024
+#: The place that marks a document in which a context stands several times.
+MORE = -1
 BASE = np.uint64(0x9E3779B97F4A7C15)
 INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 BYTE_HASH = (np.arange(1, 257, dtype=np.uint64) * np.uint64(0xBF58476D1CE4E5B9)) ^ (np.arange(1, 257, dtype=np.uint64) * np.uint64(0x94D049BB133111EB) >> np.uint64(29))
@@ -331,8 +333,14 @@ def contexts(docs: DataFrame, grams: Bitmap, n_parts: int) -> DataFrame:
         order = np.lexsort((who["doc"], c, h))
         who, at, h, c, masks = who[order], at[order], h[order], c[order], masks[order]
         new = np.concatenate(([True], (h[1:] != h[:-1]) | (c[1:] != c[:-1])))
+        # of equal contexts in one document the first place stands for all, and a mark tells that there are more
+        more = np.concatenate(([False], ~new[1:] & (who[1:] == who[:-1])))
+        marks = np.unique(who[more])
         first = np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))
         known = who["doc"] > who["doc"][first]
+        if len(marks):
+            keep = np.flatnonzero(~more)
+            who, at, h, c, masks, known = (np.concatenate((x[keep], y)) for x, y in ((who, marks), (at, np.full(len(marks), MORE, at.dtype)), (h, np.zeros(len(marks), h.dtype)), (c, np.zeros(len(marks), c.dtype)), (masks, np.zeros(len(marks), masks.dtype)), (known, np.ones(len(marks), bool))))
         rows = []
         for flag in (False, True):
             # what is known is dealt by document, so that no gram's copies meet in one part
@@ -420,7 +428,7 @@ def meet(n_bits: int, n_parts: int):
 def suffix_runs(docs: DataFrame, grams: Bitmap, n_parts: int) -> DataFrame:
     """Front-coded sorted runs of the suffixes at grams that stand in several contexts, a row per part and run.
 
-    Of equal contexts in a run the smallest document's stands for all.
+    Of equal contexts in a run the smallest document's stands for all, once.
     """
     shift = np.uint64(64 - (n_parts.bit_length() - 1))
 
@@ -432,7 +440,8 @@ def suffix_runs(docs: DataFrame, grams: Bitmap, n_parts: int) -> DataFrame:
         whole = whole[order]
         new = np.concatenate(([True], (whole[1:] != whole[:-1]).any(axis=1)))
         first = np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))
-        order = order[who["doc"][order] == who["doc"][order[first]]]
+        more = np.concatenate(([False], ~new[1:] & (who[order][1:] == who[order][:-1])))
+        order = order[(who["doc"][order] == who["doc"][order[first]]) & ~more]
         rows = []
         for p, i, j in _cuts((h[order] >> shift).astype(np.int64), n_parts):
             k = order[i:j]
@@ -475,15 +484,37 @@ def gather_bits(rows: DataFrame, key: str, n_bits: int, per: int) -> np.ndarray:
     return bits
 
 
-def removed_bytes(n: int, places: np.ndarray, masks: np.ndarray) -> np.ndarray:
-    """Which of ``n`` bytes a found string covers."""
-    places = places.astype(np.int64)
+def equal_starts(raw: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """All starts in ``raw`` of strings that also start at one of ``starts``, by their 64-bit hashes."""
+    out, wanted = [], None
+    for both in (False, True):
+        found = []
+        for low in range(0, len(raw) - LENGTH + 1, PART):
+            part = raw[low : low + PART + LENGTH - 1]
+            up, down = powers(len(part))
+            with np.errstate(over="ignore"):
+                sums = np.zeros(len(part) + 1, np.uint64)
+                np.cumsum(BYTE_HASH[part] * up, out=sums[1:])
+                h = (sums[LENGTH:] - sums[:-LENGTH]) * down[: len(part) - LENGTH + 1]
+            if both:
+                out.append(np.flatnonzero(np.isin(h, wanted)) + low)
+            else:
+                found.append(h[starts[(starts >= low) & (starts < low + PART)] - low])
+        wanted = wanted if both else np.unique(np.concatenate(found))
+    return np.concatenate(out)
+
+
+def removed_bytes(raw: np.ndarray, places: np.ndarray, masks: np.ndarray) -> np.ndarray:
+    """Which bytes of ``raw`` a found string covers."""
+    places, more = places.astype(np.int64), bool((places == MORE).any())
     begins = [places[(masks >> np.uint32(a) & 1) == 1] - a for a in range(REACH + 1)]
-    change = np.zeros(n + 1, np.int32)
+    change = np.zeros(len(raw) + 1, np.int32)
     at = np.unique(np.concatenate(begins))
+    if more and len(at):
+        at = equal_starts(raw, at)
     np.add.at(change, at, 1)
     np.add.at(change, at + LENGTH, -1)
-    return np.cumsum(change[:n]) > 0
+    return np.cumsum(change[: len(raw)]) > 0
 
 
 def suffix_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -510,8 +541,8 @@ def suffix_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") ->
         out = []
         for t, at, m in zip(texts, places, masks, strict=True):
             raw = np.frombuffer(t.encode(), np.uint8)
-            gone = removed_bytes(len(raw), np.frombuffer(at, "<i4"), np.frombuffer(m, "<u4"))
-            spans = int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum())
+            gone = removed_bytes(raw, np.frombuffer(at, "<i4"), np.frombuffer(m, "<u4"))
+            spans = int(gone[:1].sum()) + int((gone[1:] & ~gone[:-1]).sum())
             out.append((int(gone.sum()), spans, raw[~gone].tobytes()))
         return pd.DataFrame(out, columns=["n_removed", "n_spans", "kept"])
 

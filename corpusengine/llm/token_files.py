@@ -29,6 +29,8 @@ from corpusengine.session import materialize, small_batches
 
 #: Blocks coded in step; entries and length of the cache of encoded chunks; bounds a worker's memory.
 LANES, CACHE_ENTRIES, CACHE_CHARS = 384, 200_000, 48
+#: Files whose offsets one task sums up.
+GROUP = 4096
 FILES = "file_no int, block_no int, n_ids int, crc32 long, whole boolean, payload binary, seq array<long>, doc_id array<long>, start array<long>, n_tokens array<long>, piece array<int>, size array<int>"
 
 
@@ -137,24 +139,14 @@ class FileWriter:
 def write_files(tokens: DataFrame, ids: DataFrame, docs_per_file: int = 8192) -> DataFrame:
     """Write ``tokens`` (doc_id, ids) as files and return them as read back from the shared folder.
 
-    The bounds of the files are quantiles of ``ids`` (doc_id), a number per file; one
-    shuffle of the ids brings every file's documents together, sorted.
+    One shuffle deals the documents out by ranges of their ids, as Spark samples them, and
+    sorts each range; a range is a file, numbered in the order of the ids. Rows of one id
+    stay together; many of one id make a long file, not a wrong one. ``ids`` (doc_id) tells
+    how many files there are; tokens are written first, as the sample reads them too.
     """
+    tokens = materialize(tokens.withColumn("none", F.col("doc_id").isNull()))
     n_files = max(1, -(-ids.count() // docs_per_file))
-    cuts = sorted(set(ids.filter("doc_id is not null").approxQuantile("doc_id", [k / n_files for k in range(1, n_files)], 0.2 / n_files))) if n_files > 1 else []
-    file_no = F.lit(0)
-    if cuts:
-        # places of the ids among the cuts
-        spark = tokens.sparkSession
-        shared = spark.sparkContext.broadcast(np.array(cuts))
-
-        @pandas_udf("int")
-        def find(doc_id: pd.Series) -> pd.Series:
-            at = np.searchsorted(shared.value, doc_id.fillna(np.inf).to_numpy(dtype=float), side="left")
-            return pd.Series(at.astype(np.int32))
-
-        file_no = find(F.col("doc_id"))
-    placed = tokens.withColumn("file_no", file_no.cast("int")).repartition(len(cuts) + 1, "file_no").sortWithinPartitions("file_no", F.col("doc_id").asc_nulls_last(), "ids")
+    placed = tokens.repartitionByRange(n_files, "none", "doc_id").sortWithinPartitions("none", "doc_id", "ids").withColumn("file_no", F.spark_partition_id())
 
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         writer = None
@@ -171,7 +163,7 @@ def write_files(tokens: DataFrame, ids: DataFrame, docs_per_file: int = 8192) ->
             yield from writer.rows(last=True)
 
     whole_ids = F.coalesce("doc_id", F.lit(0).cast("long")).alias("doc_id")  # null would make pandas use floats
-    return materialize(placed.select("file_no", F.col("doc_id").isNull().alias("none"), whole_ids, "ids").mapInPandas(write, FILES))
+    return materialize(placed.select("file_no", "none", whole_ids, "ids").mapInPandas(write, FILES))
 
 
 def read_files(files: DataFrame) -> DataFrame:
@@ -203,16 +195,20 @@ def documents_of(files: DataFrame) -> DataFrame:
     """(doc_id, start, n_tokens, ids) of every document: ``start`` counts all ids of the documents before it.
 
     Every block is decoded once. Whole documents pass straight through; only pieces meet.
-    File offsets are a running sum over one row per file.
+    A file's offset is summed up in two levels, groups of files and files of a group, so no
+    task holds all files.
     """
     from pyspark.sql import Window
 
-    totals = files.groupBy("file_no").agg(F.sum("n_ids").alias("n"))
-    offsets = totals.select("file_no", (F.sum("n").over(Window.orderBy("file_no")) - F.col("n")).alias("offset"))
+    totals = materialize(files.groupBy("file_no").agg(F.sum("n_ids").alias("n")).withColumn("part", F.floor(F.col("file_no") / GROUP)))
+    within = F.sum("n").over(Window.partitionBy("part").orderBy("file_no")) - F.col("n")
+    parts = totals.groupBy("part").agg(F.sum("n").alias("n"))
+    before = parts.withColumn("before", F.sum("n").over(Window.partitionBy(F.lit(1)).orderBy("part")) - F.col("n"))
+    offsets = totals.withColumn("within", within).join(before.select("part", "before"), "part").select("file_no", (F.col("within") + F.col("before")).alias("offset"))
     columns = ["file_no", "doc_id", "start", "n_tokens", "ids"]
     whole = read_files(files.filter("whole")).select(*columns)
     pieces = read_files(files.filter("not whole"))
     join = F.expr("aggregate(sort_array(collect_list(struct(piece, ids))), X'', (a, x) -> concat(a, x.ids))")
     split = pieces.groupBy("file_no", "seq", "doc_id", "start", "n_tokens").agg(join.alias("ids")).drop("seq")
     both = whole.unionByName(split.select(*columns))
-    return both.join(F.broadcast(offsets), "file_no").select("doc_id", (F.col("start") + F.col("offset")).alias("start"), "n_tokens", "ids")
+    return both.join(materialize(offsets), "file_no").select("doc_id", (F.col("start") + F.col("offset")).alias("start"), "n_tokens", "ids")
