@@ -70,14 +70,15 @@ def field_token(name: Column) -> Column:
 
 
 def number_token(number: Column) -> Column:
-    """A number as text of ten significant digits at most (minus signs, percent and commas unified), null if it is none.
+    """A number as text of ten significant digits at most (minus signs, percent and commas unified), null if it is none or not finite.
 
     Without trailing zeros; with an exponent below 1e-4 and from 1e10 on.
     """
     value = F.translate(F.regexp_replace(F.trim(number), "[−–]", "-"), ",%", "").try_cast("double")
+    value = F.when(F.abs(value) < float("inf"), value)
     shown = F.format_string("%.9e", F.abs(value))
     digits = F.concat(F.substring(shown, 1, 1), F.substring(shown, 3, 9))
-    power = F.substring_index(shown, "e", -1).cast("int")
+    power = F.substring_index(shown, "e", -1).try_cast("int")
     cut = lambda t: F.regexp_replace(t, r"\.?0*$", "")
     large = F.concat(F.substr(digits, F.lit(1), power + 1), F.lit("."), F.substr(digits, power + 2))
     small = F.concat(F.lit("0."), F.repeat(F.lit("0"), -power - 1), digits)

@@ -20,7 +20,7 @@ def read_texts(spark: SparkSession, path: str) -> DataFrame:
 def csv_as_text(spark: SparkSession, path: str) -> DataFrame:
     """(path, content): header line ``HEADERS: a | b``, then one line of cells a row, each with its newline.
 
-    Quoted cells may hold commas, doubled quotes and line breaks; blank lines are left out.
+    Quoted cells may hold commas, doubled quotes and line breaks; blank lines are left out, and so are empty files.
     """
     files = spark.read.format("binaryFile").load(path).select("path", F.decode("content", "UTF-8").alias("raw"))
     cell = r'("(?:[^"]++|"")*+"|[^,\r\n]*+)(,|\r?\n|$)'

@@ -52,7 +52,7 @@ def test_number_tokens_equal_the_c_format(spark):
     got = values(spark, T.number_token(F.col("t")), raw)
     for text, token in zip(raw[12:], got[12:], strict=True):
         assert token == f"{float(text):.10g}"
-    assert got[:4] == ["1234.5", "-3", "0", "0"] and got[5] is None and got[6:12] == ["1.23456789e+13", "1.234e-05", "0.0001", "1e+11", "9999999999", "1e-07"]
+    assert got[:4] == ["1234.5", "-3", "0", "0"] and got[4] is got[5] is None and got[6:12] == ["1.23456789e+13", "1.234e-05", "0.0001", "1e+11", "9999999999", "1e-07"]
 
 
 def test_change_hash_follows_values_only(spark):
@@ -66,7 +66,7 @@ def test_csv_with_quoted_breaks(spark, tmp_path):
     (tmp_path / "b.csv").write_text("only\r\n1")
     (tmp_path / "c.csv").write_text("")
     got = {r["path"][-5:]: r["content"] for r in files.csv_as_text(spark, f"{tmp_path}/*.csv").collect()}
-    assert got["a.csv"] == 'HEADERS: h1 | h2\ntwo\nlines | a "q" b\n | x\nlast | \n' and got["b.csv"] == "HEADERS: only\n1\n" and got["c.csv"] == ""
+    assert got["a.csv"] == 'HEADERS: h1 | h2\ntwo\nlines | a "q" b\n | x\nlast | \n' and got["b.csv"] == "HEADERS: only\n1\n" and len(got) == 2
 
 
 def test_whole_texts_and_routing_tests(spark, tmp_path):
