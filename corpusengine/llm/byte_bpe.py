@@ -13,6 +13,7 @@ every text is encoded whole, whatever its length; extra columns pass through.
 from __future__ import annotations
 
 import base64
+import hashlib
 import re
 import struct
 from collections.abc import Iterator
@@ -27,7 +28,7 @@ from pyspark.sql.functions import pandas_udf
 from corpusengine.session import small_batches
 
 #: Bounds of a worker's cache of encoded chunks: entries, and characters of an entry.
-CACHE_ENTRIES, CACHE_CHARS = 250_000, 48
+CACHE_ENTRIES, CACHE_CHARS = 100_000, 48
 #: Texts that are looked up in the cache together.
 BATCH = 256
 BYTE_CHAR = [chr(0x100 + b) for b in range(256)]
@@ -78,14 +79,22 @@ class Encoder:
     """Encodes texts batch by batch; a cache keeps the ids of chunks that follow a space."""
 
     def __init__(self, model: bytes, ranks: dict[bytes, int], pattern: str):
+        import public_tokenizers
         import regex
         import sentencepiece
 
         self.pieces = sentencepiece.SentencePieceProcessor(model_proto=model)
         self.split = regex.compile(pattern).findall
+        # in this pattern a space between two other characters always begins a match, so such texts fall apart there
+        self.at_spaces = pattern == public_tokenizers.PATTERN
         self.whole = {t.decode("latin-1"): struct.pack("<I", r) for t, r in ranks.items()}
         self.table = {b: BYTE_CHAR[b] for b in range(256)}
         self.cache: dict[str, bytes] = {}
+        self.token = {r: t for t, r in ranks.items()}.__getitem__
+
+    def decode(self, ids: bytes) -> bytes:
+        """The bytes that ``ids`` stand for."""
+        return b"".join(map(self.token, np.frombuffer(ids, dtype="<u4").tolist()))
 
     def matches(self, texts: list[str]) -> list[bytes]:
         """Ids of each text, split by the pattern."""
@@ -103,8 +112,7 @@ class Encoder:
         out: list[bytes | list[str]] = []
         heads, new = [], set()
         for t in texts:
-            # a space between two other characters always begins a match, so such texts fall apart there
-            head, *rest = t.split(" ") if regular(t) else [t]
+            head, *rest = t.split(" ") if self.at_spaces and regular(t) else [t]
             heads.append(head)
             out.append(rest)
             new.update(rest)
@@ -120,7 +128,7 @@ class Encoder:
 
 @lru_cache(maxsize=2)
 def encoder_of(content: bytes, pattern: str) -> Encoder:
-    """A worker process makes an encoder once and keeps its cache between tasks."""
+    """A worker process makes an encoder once; a task leaves its cache empty."""
     ranks = read_ranks(content)
     return Encoder(sentencepiece_model(ranks), ranks, pattern)
 
@@ -143,21 +151,22 @@ class ByteBpe:
             for texts in batches:
                 rows = [t or "" for t in texts]
                 yield pd.Series([x for k in range(0, len(rows), BATCH) for x in encoder.encode(rows[k : k + BATCH])], dtype=object)
+            encoder.cache.clear()
 
         @pandas_udf("binary")
         def decode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-            token = {r: t for t, r in read_ranks(shared.value[0]).items()}.__getitem__
+            encoder = encoder_of(*shared.value)
             for ids in batches:
-                yield pd.Series([b"".join(map(token, np.frombuffer(x or b"", dtype="<u4").tolist())) for x in ids], dtype=object)
+                yield pd.Series([encoder.decode(x or b"") for x in ids], dtype=object)
 
-        @pandas_udf("ids binary, decoded binary")
+        @pandas_udf("ids binary, decoded_sha256 string")
         def round_trip(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
             encoder = encoder_of(*shared.value)
-            token = {r: t for t, r in read_ranks(shared.value[0]).items()}.__getitem__
             for texts in batches:
                 rows = [t or "" for t in texts]
                 ids = [x for k in range(0, len(rows), BATCH) for x in encoder.encode(rows[k : k + BATCH])]
-                yield pd.DataFrame({"ids": ids, "decoded": [b"".join(map(token, np.frombuffer(x, dtype="<u4").tolist())) for x in ids]}, dtype=object)
+                yield pd.DataFrame({"ids": ids, "decoded_sha256": [hashlib.sha256(encoder.decode(x)).hexdigest() for x in ids]}, dtype=object)
+            encoder.cache.clear()
 
         self._encode, self._decode, self._round_trip = encode, decode, round_trip
 
@@ -166,7 +175,7 @@ class ByteBpe:
         return self._encode(text)
 
     def round_trip(self, text: Column) -> Column:
-        """Struct of ``ids`` and of the bytes ``decoded`` from them, in one Python worker."""
+        """Struct of ``ids`` and of the hash of the bytes decoded from them, in one Python worker."""
         return self._round_trip(text)
 
     def decode(self, ids: Column) -> Column:
@@ -185,7 +194,7 @@ def decode_documents(docs: DataFrame, codec: ByteBpe) -> DataFrame:
 
 
 def encode_and_decode(docs: DataFrame, codec: ByteBpe, text: str = "text") -> DataFrame:
-    """``docs`` with ``ids``, ``n_tokens`` and ``decoded``; columns of these names are replaced."""
-    met = docs.drop("ids", "n_tokens", "decoded").withColumn("_bpe", codec.round_trip(F.col(text)))
+    """``docs`` with ``ids``, ``n_tokens`` and ``decoded_sha256``, which proves the way back; columns of these names are replaced."""
+    met = docs.drop("ids", "n_tokens", "decoded_sha256").withColumn("_bpe", codec.round_trip(F.col(text)))
     kept = [c for c in met.columns if c != "_bpe"]
-    return met.select(*kept, F.col("_bpe.ids").alias("ids"), (F.length("_bpe.ids") / 4).cast("long").alias("n_tokens"), F.col("_bpe.decoded").alias("decoded"))
+    return met.select(*kept, F.col("_bpe.ids").alias("ids"), (F.length("_bpe.ids") / 4).cast("long").alias("n_tokens"), F.col("_bpe.decoded_sha256").alias("decoded_sha256"))

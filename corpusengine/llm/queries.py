@@ -67,7 +67,7 @@ def multilingual_bpe(spark: SparkSession) -> ByteBpe:
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     codec = multilingual_bpe(spark)
     docs = encode_and_decode(table(spark, sf_dir, "documents").select("doc_id", "text"), codec)
-    return docs.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    return docs.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), "decoded_sha256")
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
