@@ -73,7 +73,7 @@ def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids, and proof that they decode to the text."""
     codec = multilingual_bpe(spark)
     out = encode_and_decode(docs, codec)
-    return out.select(*[c for c in docs.columns if c not in ("text", "ids", "n_tokens")], "n_tokens", "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
+    return out.select(*[c for c in docs.columns if c not in ("text", "ids", "n_tokens", "decoded_sha256")], "n_tokens", "ids", "decoded_sha256")
 
 
 STAGES = [
