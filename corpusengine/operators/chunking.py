@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpusengine.operators.ordered import walk_groups
+
 SEPARATORS = ("\n\n", "\n", ". ", "? ", "! ", "; ", ", ", " ")
 CHUNK = "doc_id long, chunk_index int, text string, tokens int"
 NUMBERISH = r"[0-9%.,\-/±()\[\]\s]"
@@ -118,44 +120,28 @@ def hard_split(docs: DataFrame, max_tokens: int = 150) -> DataFrame:
     return rows.select("doc_id", F.explode("c").alias("c")).select("doc_id", "c.chunk_index", "c.text")
 
 
-def items_of_pages(pages: DataFrame) -> DataFrame:
-    """Ordered items (doc_id, seq, label, text) of HTML pages: section_header, text and table items."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from html.parser import HTMLParser
-
-        class Reader(HTMLParser):
-            labels = {"h1": "section_header", "h2": "section_header", "h3": "section_header", "h4": "section_header", "p": "text", "li": "text", "table": "table"}
-
-            def __init__(self):
-                super().__init__()
-                self.items, self.open, self.skip = [], None, 0
+#: Tags of an item -> its label, and characters of texts that stand for others.
+ITEM_TAGS = {"h1": "section_header", "h2": "section_header", "h3": "section_header", "h4": "section_header", "p": "text", "li": "text", "table": "table"}
+CHARACTERS = {"&nbsp;": " ", "&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&apos;": "'", "&amp;": "&"}
 
-            def handle_starttag(self, tag, attrs):
-                self.skip += tag in ("script", "style")
-                if tag in self.labels and not self.skip:
-                    self.open = (self.labels[tag], [])
-                    self.items.append(self.open)
 
-            def handle_endtag(self, tag):
-                self.skip = max(0, self.skip - (tag in ("script", "style")))
-                if tag in self.labels:
-                    self.open = None
-
-            def handle_data(self, data):
-                if self.open and not self.skip:
-                    self.open[1].append(data)
-
-        for df in batches:
-            rows = []
-            for d, html in zip(df["page_id"], df["html"], strict=True):
-                reader = Reader()
-                reader.feed(html or "")
-                texts = [(label, " ".join("".join(parts).split())) for label, parts in reader.items]
-                rows += [(d, i, label, t) for i, (label, t) in enumerate(x for x in texts if x[1])]
-            yield pd.DataFrame(rows, columns=["doc_id", "seq", "label", "text"])
-
-    return pages.select("page_id", "html").mapInPandas(run, "doc_id long, seq int, label string, text string")
+def items_of_pages(pages: DataFrame) -> DataFrame:
+    """Ordered items (doc_id, seq, label, text) of HTML pages: section_header, text and table items.
+
+    An item begins with its tag and ends at the next tag of an item, opening or closing;
+    scripts, styles and comments go, other tags only mark nothing. Blank items are left out.
+    """
+    tags = "|".join(ITEM_TAGS)
+    body = F.regexp_replace(F.coalesce("html", F.lit("")), r"(?is)<!--.*?-->|<script\b.*?</script\s*>|<style\b.*?</style\s*>", "")
+    marked = F.regexp_replace(body, rf"(?i)<({tags})(\s[^>]*)?>", "\x01$1\x02")
+    marked = F.regexp_replace(F.regexp_replace(marked, rf"(?i)</({tags})\s*>", "\x01\x02"), r"<[^>]*>", "")
+    text = F.substring_index("part", "\x02", -1)
+    for written, meant in CHARACTERS.items():
+        text = F.replace(text, F.lit(written), F.lit(meant))
+    label = F.create_map(*[F.lit(x) for pair in ITEM_TAGS.items() for x in pair])[F.lower(F.substring_index("part", "\x02", 1))]
+    parts = pages.select(F.col("page_id").alias("doc_id"), F.posexplode(F.split(marked, "\x01")).alias("at", "part")).filter("at > 0")
+    items = parts.select("doc_id", "at", label.alias("label"), F.trim(F.regexp_replace(text, r"\s+", " ")).alias("text")).filter("label is not null and text <> ''")
+    return items.select("doc_id", (F.row_number().over(Window.partitionBy("doc_id").orderBy("at")) - 1).alias("seq"), "label", "text")
 
 
 def with_sections(items: DataFrame) -> DataFrame:
@@ -168,26 +154,21 @@ def with_sections(items: DataFrame) -> DataFrame:
 def section_chunks(items: DataFrame, max_tokens: int = 150) -> DataFrame:
     """Prose of each section joined up to ``max_tokens``, prefixed with its heading; an item is never split."""
 
-    def pack(df: pd.DataFrame) -> pd.DataFrame:
-        df, out, held = df.sort_values("seq"), [], []
-        heading = df["heading"].iloc[0]
-        prefix = f"[Section: {heading}]\n" if isinstance(heading, str) else ""
-
-        def emit():
-            if held:
+    def pack(rows: Iterator[tuple]) -> Iterator[tuple]:
+        held, size, part = [], 0, 0
+        for doc_id, section, _, heading, text in rows:
+            prefix = f"[Section: {heading}]\n" if isinstance(heading, str) else ""
+            if held and size + tokens_of(text) > max_tokens:
                 body = prefix + " ".join(held)
-                out.append((int(df["doc_id"].iloc[0]), int(df["section"].iloc[0]), len(out), body, tokens_of(body)))
-                held.clear()
-
-        for t in df["text"]:
-            if held and sum(map(tokens_of, held)) + tokens_of(t) > max_tokens:
-                emit()
-            held.append(t)
-        emit()
-        return pd.DataFrame(out, columns=["doc_id", "section", "part", "text", "tokens"])
-
-    prose = with_sections(items).filter("label = 'text'")
-    packed = prose.groupBy("doc_id", "section").applyInPandas(pack, "doc_id long, section long, part int, text string, tokens int")
+                yield doc_id, section, part, body, tokens_of(body)
+                held, size, part = [], 0, part + 1
+            held.append(text)
+            size += tokens_of(text)
+        body = prefix + " ".join(held)
+        yield doc_id, section, part, body, tokens_of(body)
+
+    prose = with_sections(items).filter("label = 'text'").select("doc_id", "section", "seq", "heading", "text")
+    packed = walk_groups(prose, ["doc_id", "section"], ["seq"], pack, "doc_id long, section long, part int, text string, tokens int")
     return number_chunks(packed, "section", "part")
 
 

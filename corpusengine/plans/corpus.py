@@ -123,10 +123,30 @@ def page_items(spark, d):
     return C.items_of_pages(table(spark, d, "pages"))
 
 
+PAGE_ITEMS = rf"""WITH b AS (SELECT page_id, regexp_replace(coalesce(html, ''), '(?is)<!--.*?-->|<script\b.*?</script\s*>|<style\b.*?</style\s*>', '', 'g') AS h FROM pages),
+m AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(h, '(?i)<({"|".join(C.ITEM_TAGS)})(\s[^>]*)?>', chr(1) || '\1' || chr(2), 'g'), '(?i)</({"|".join(C.ITEM_TAGS)})\s*>', chr(1) || chr(2), 'g'), '<[^>]*>', '', 'g') AS h FROM b),
+p AS (SELECT page_id, unnest(string_split(h, chr(1))) AS part, generate_subscripts(string_split(h, chr(1)), 1) AS k FROM m),
+i AS (SELECT page_id, k, lower(split_part(part, chr(2), 1)) AS tag, trim(regexp_replace({{text}}, '\s+', ' ', 'g'), ' ') AS text FROM p WHERE k > 1)
+SELECT page_id AS doc_id, (row_number() OVER (PARTITION BY page_id ORDER BY k) - 1)::INT AS seq, CASE WHEN tag = 'table' THEN 'table' WHEN tag[1] = 'h' THEN 'section_header' ELSE 'text' END AS label, text FROM i WHERE tag <> '' AND text <> ''"""
+_text = "split_part(part, chr(2), -1)"
+for _a, _b in C.CHARACTERS.items():
+    _text = f"replace({_text}, '{_a}', '{_b.replace(chr(39), chr(39) * 2)}')"
+PAGE_ITEMS = PAGE_ITEMS.replace("{text}", _text)
+
+
 def page_sections(spark, d):
     return C.section_chunks(C.items_of_pages(table(spark, d, "pages")))
 
 
+PAGE_SECTIONS = f"""WITH RECURSIVE it AS ({PAGE_ITEMS}),
+s AS (SELECT *, count(*) FILTER (label = 'section_header') OVER w AS section, last_value(CASE WHEN label = 'section_header' THEN text END IGNORE NULLS) OVER w AS heading FROM it WINDOW w AS (PARTITION BY doc_id ORDER BY seq ROWS UNBOUNDED PRECEDING)),
+t AS (SELECT doc_id, section, heading, text, greatest(1, length(text) // 4) AS tok, row_number() OVER (PARTITION BY doc_id, section ORDER BY seq) AS n FROM s WHERE label = 'text'),
+w AS (SELECT doc_id, section, n, 0 AS part, tok AS size FROM t WHERE n = 1
+UNION ALL SELECT t.doc_id, t.section, t.n, CASE WHEN size + tok > 150 THEN part + 1 ELSE part END, CASE WHEN size + tok > 150 THEN tok ELSE size + tok END FROM w JOIN t ON t.doc_id = w.doc_id AND t.section = w.section AND t.n = w.n + 1),
+c AS (SELECT doc_id, section, part, coalesce('[Section: ' || any_value(heading) || ']' || chr(10), '') || string_agg(text, ' ' ORDER BY n) AS text FROM w JOIN t USING (doc_id, section, n) GROUP BY doc_id, section, part)
+SELECT doc_id, section, part, text, greatest(1, length(text) // 4) AS tokens, row_number() OVER (PARTITION BY doc_id ORDER BY section, part) - 1 AS chunk_index FROM c"""
+
+
 def order_table_rows(spark, d):
     """Line items of each order as serialised table rows, with a repeated column."""
     cells = F.array(F.col("l_linenumber").cast("string"), F.col("l_quantity").cast("int").cast("string"), F.col("l_returnflag"), F.col("l_linestatus"))
@@ -316,8 +336,8 @@ QUERIES = {
     "k_latest_uploads": (latest_uploads, UPLOADS),
     "c_chunk_documents": (chunk_documents, None),
     "c_hard_split": (hard_split, HARD),
-    "c_page_items": (page_items, None),
-    "c_page_sections": (page_sections, None),
+    "c_page_items": (page_items, PAGE_ITEMS),
+    "c_page_sections": (page_sections, PAGE_SECTIONS),
     "c_table_rows": (order_table_rows, ORDER_ROWS),
     "c_data_lines": (data_lines, DATA_LINES),
     "c_page_batches": (page_batches, BATCHES),

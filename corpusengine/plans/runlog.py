@@ -69,6 +69,12 @@ def rate_limits(spark, d):
     return D.rate_limit(_requests(spark, d, F.col("user_id")), 3, 86400 * 2).groupBy("key").agg(F.count("*").alias("n"), F.count_if("allowed").alias("allowed"))
 
 
+RATES = """WITH RECURSIVE e AS (SELECT user_id AS key, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
+w AS (SELECT key, n, [ts] AS taken, true AS allowed FROM e WHERE n = 1
+UNION ALL SELECT key, n, CASE WHEN len(f) < 3 THEN list_append(f, ts) ELSE f END, len(f) < 3 FROM (SELECT e.key, e.n, e.ts, list_filter(w.taken, lambda x: x > e.ts - INTERVAL 48 HOURS) AS f FROM w JOIN e ON e.key = w.key AND e.n = w.n + 1))
+SELECT key, count(*) AS n, count(*) FILTER (allowed) AS allowed FROM w GROUP BY key"""
+
+
 def audit(spark, d):
     e = table(spark, d, "events").withColumn("path", F.col("event_type"))
     return D.audited(e, ["p", "c"]).groupBy("path").agg(F.count("*").alias("n"))
@@ -210,7 +216,7 @@ QUERIES = {
     "d_evicted": (evicted, EVICTED),
     "d_user_sessions": (user_sessions, SESSIONS),
     "d_query_cache": (query_cache, CACHE),
-    "d_rate_limits": (rate_limits, None),
+    "d_rate_limits": (rate_limits, RATES),
     "d_audit": (audit, AUDIT),
     "x_history": (history, HISTORY),
     "g_step_profile": (step_profile, PROFILE),

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from corpusengine.functions.text import estimate_tokens
+from corpusengine.operators.ordered import walk_groups
 
 MAX_MESSAGES, MAX_TOKENS = 10, 1200
 CACHE_SECONDS = 3600
@@ -47,19 +48,23 @@ def load_context(users: DataFrame, history: DataFrame, summaries: DataFrame, pre
     return users.join(h, "tenant", "left").join(s, "tenant", "left").join(p, "tenant", "left").withColumn("preference", F.coalesce("preference", F.lit(default)))
 
 
+def _decided(requests: DataFrame, flag: str) -> str:
+    kind = lambda c: requests.schema[c].dataType.simpleString()
+    return f"key {kind('key')}, request_id {kind('request_id')}, {flag} boolean"
+
+
 def cache_hits(requests: DataFrame, seconds: float = CACHE_SECONDS) -> DataFrame:
     """``requests`` (key, request_id, ts) with ``hit``. A miss stores its answer for ``seconds`` from then; hits don't extend it."""
+    life = pd.Timedelta(seconds=seconds)
 
-    def walk(df: pd.DataFrame) -> pd.DataFrame:
-        df, until, hits = df.sort_values(["ts", "request_id"]), None, []
-        for t in df["ts"]:
+    def walk(rows: Iterator[tuple]) -> Iterator[tuple]:
+        until = None
+        for key, request, t in rows:
             hit = until is not None and t < until
-            hits.append(hit)
-            until = until if hit else t + pd.Timedelta(seconds=seconds)
-        return df[["key", "request_id"]].assign(hit=hits)
+            until = until if hit else t + life
+            yield key, request, hit
 
-    schema = f"key {requests.schema['key'].dataType.simpleString()}, request_id {requests.schema['request_id'].dataType.simpleString()}, hit boolean"
-    return requests.groupBy("key").applyInPandas(walk, schema)
+    return walk_groups(requests.select("key", "request_id", "ts"), ["key"], ["ts", "request_id"], walk, _decided(requests, "hit"))
 
 
 def live_keys(stores: DataFrame, as_of: Column, seconds: int = CACHE_SECONDS) -> DataFrame:
@@ -81,18 +86,18 @@ def clear_prefix(stores: DataFrame, prefix: str) -> DataFrame:
 
 def rate_limit(requests: DataFrame, most: int, seconds: float) -> DataFrame:
     """``requests`` (key, request_id, ts) with ``allowed``: fewer than ``most`` accepted in the window before; rejected ones don't count."""
-
-    def walk(df: pd.DataFrame) -> pd.DataFrame:
-        df, taken, out = df.sort_values(["ts", "request_id"]), [], []
-        for t in df["ts"]:
-            taken = [x for x in taken if x > t - pd.Timedelta(seconds=seconds)]
-            out.append(len(taken) < most)
-            if out[-1]:
+    window = pd.Timedelta(seconds=seconds)
+
+    def walk(rows: Iterator[tuple]) -> Iterator[tuple]:
+        taken: list = []
+        for key, request, t in rows:
+            taken = [x for x in taken if x > t - window]
+            allowed = len(taken) < most
+            if allowed:
                 taken.append(t)
-        return df[["key", "request_id"]].assign(allowed=out)
+            yield key, request, allowed
 
-    schema = f"key {requests.schema['key'].dataType.simpleString()}, request_id {requests.schema['request_id'].dataType.simpleString()}, allowed boolean"
-    return requests.groupBy("key").applyInPandas(walk, schema)
+    return walk_groups(requests.select("key", "request_id", "ts"), ["key"], ["ts", "request_id"], walk, _decided(requests, "allowed"))
 
 
 def audited(requests: DataFrame, prefixes: list[str]) -> DataFrame:
