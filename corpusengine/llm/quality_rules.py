@@ -37,8 +37,9 @@ def repeated_words(words: Column) -> list[tuple[str, Column]]:
 
     A window is one long: its hash above its place. Once sorted, equal windows are
     neighbours, so only longs with a near neighbour can be repeated; for those the words
-    themselves are compared, with two neighbours on either side, so a chance equality of
-    hashes neither adds nor hides a window. The union of the places' spans is a walk over
+    themselves are compared, with two neighbours on either side. A chance equality of hashes
+    (39 bits, 32 in texts of 2^24 words or more) so never adds a window; it could hide one only
+    where at least two other windows of the same hash stand between two equal ones. The union of the places' spans is a walk over
     sorted starts. n log n in the length of one text, on primitive arrays.
     """
     spaces = F.when(F.size(words) < 1 << 24, F.lit(1 << 24)).otherwise(F.lit(1 << 31)).cast("long")

@@ -75,6 +75,23 @@ def test_suffix_rules(spark):
     assert {x["host"]: x["d"] for x in df.select("host", url_filter.registered(F.col("host"))[0].alias("d")).collect()} == hosts
 
 
+def test_pages_without_ids_and_repeated_pages(spark):
+    rows_ = [(None, "http://user@x.org/a"), (None, None), (3, "http://x.org/b"), (3, "http://x.org/b"), (4, "http://192.168.10.7/c"), (5, "")]
+    pages = spark.createDataFrame([(i, u, "clash", "clash") for i, u in rows_], "page_id long, url string, domain string, host string")
+    labels = spark.createDataFrame([(3, 0, 1), (4, 1, 0), (None, 0, 1)], "doc_id long, quality int, toxic int")
+    got = url_filter.judge_pages(pages, labels).collect()
+    assert len(got) == 6 and sum(x["page_id"] is None for x in got) == 2
+    assert {(x["host"], x["domain"]) for x in got} == {("user@x.org", "x.org"), ("", ""), ("x.org", "x.org"), ("192.168.10.7", "192.168.10.7")}
+    assert {x["n_labelled"] for x in got if x["host"] == "x.org"} == {2} and {x["n_labelled"] for x in got if x["host"] == ""} == {0}
+
+
+def test_calls_with_clashing_columns_and_long_texts(spark):
+    turns = [("c", 0, "user", "x" * 3_000_000, "k"), ("c", 1, "assistant", None, "k"), ("c", 2, "system", "s", "k"), (None, 0, "user", "lost", "k"), ("c", 4, "user", "  ", "k")]
+    df = spark.createDataFrame(turns, "conv_id string, turn long, role string, text string, level string")
+    got = {x["call_id"]: x for x in tool_calls.link_calls(*tool_calls.calls_of_turns(df), tool_calls.REPLY).collect()}
+    assert set(got) == {"c0", "c4"} and got["c0"]["status"] == "linked" and json.loads(got["c0"]["json"])["result"] == "" and got["c4"]["status"] == "invalid"
+
+
 def test_embedding_agrees_as_often_as_sets_are_similar():
     r = np.random.default_rng(4)
     agree, want = [], []
