@@ -94,7 +94,10 @@ def sampled(text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     if len(places) > 1:
         at, first = np.unique(at, return_index=True)
         h = h[first]
-    return at, h
+    # sampled hashes are the least of their windows; mixed once more they are spread evenly again
+    with np.errstate(over="ignore"):
+        h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    return at, h ^ (h >> np.uint64(32))
 
 
 def repeated_grams(docs: DataFrame, n_bits: int, n_buckets: int) -> np.ndarray:
