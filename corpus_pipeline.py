@@ -25,22 +25,25 @@ from corpusengine.llm.queries import multilingual_bpe
 from corpusengine.llm.rows import decide
 from corpusengine.session import materialize, table
 
-KEPT = F.col("kept").cast("int").alias("copies")
+
+def kept(judged: DataFrame, at: tuple[str, str]) -> DataFrame:
+    """Place and copies of each row: one where it is kept, none else."""
+    return judged.select(*at, F.col("kept").cast("int").alias("copies"))
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rules, or their host's record, reject go."""
-    return decide(docs, lambda marked, at: judge_documents(marked).select(*at, KEPT))
+    return decide(docs, lambda marked, at: kept(judge_documents(marked), at))
 
 
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of equal texts stays."""
-    return decide(docs, lambda marked, at: exact_dedup(marked, carry=at).select(*at, KEPT))
+    return decide(docs, lambda marked, at: kept(exact_dedup(marked, carry=at), at))
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of connected near duplicates stays."""
-    return decide(docs, lambda marked, at: jaccard_join(marked, at=at).select(*at, KEPT))
+    return decide(docs, lambda marked, at: kept(jaccard_join(marked, at=at), at))
 
 
 def with_copies(mixed: DataFrame) -> DataFrame:
