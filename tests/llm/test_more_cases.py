@@ -139,7 +139,8 @@ def test_very_long_texts(spark):
     # 4 holds the same few shingles as 3
     assert jaccard_join.jaccard_join(docs).filter("kept").count() == 6
     stats = {x["doc_id"]: x for x in quality_rules.judge_documents(docs.withColumn("source", F.lit("s"))).collect()}
-    assert stats[1]["n_words"] == 1_000_000 and stats[3]["n_repeat_words"] == stats[3]["n_words"]
+    # its first and last word are cut off differently
+    assert stats[1]["n_words"] == 1_000_000 and stats[3]["n_repeat_words"] == stats[3]["n_words"] - 2
     codec = byte_bpe.ByteBpe(spark, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
     for x in byte_bpe.encode_and_decode(docs.filter("doc_id in (1, 3)").withColumn("ids", F.lit("clash")), codec).select("doc_id", F.col("decoded_sha256").alias("h")).collect():
         assert x["h"] == hashlib.sha256((long if x["doc_id"] == 1 else again).encode()).hexdigest()
