@@ -147,8 +147,11 @@ def leaves(classes: DataFrame, runs: int, depth: int, leaf: int) -> DataFrame:
     rows = sets.select("v", "n_tokens", "sampled", F.explode(F.sequence(F.lit(0), F.lit(runs - 1))).alias("run")).withColumns({"path": F.lit(0).cast("long"), "branch": F.lit(0)})
     done = None
     for level in range(1, depth + 1):
-        split = [F.when(when, F.struct(F.xxhash64("path", F.lit(level), "run", at, F.get("sampled", at)).alias("path"), (F.col("branch") * 2 + bit).alias("branch"))) for when, at, bit in children(level, runs)]
-        rows = rows.select("v", "n_tokens", "run", F.explode(F.array_compact(F.array(*split))).alias("to")).select("v", "n_tokens", "run", "to.path", "to.branch")
+        kids = [(F.when(when, F.xxhash64("path", F.lit(level), "run", at, F.get("sampled", at))).alias(f"kid{bit}"), bit) for when, at, bit in children(level, runs)]
+        rows = rows.select("v", "n_tokens", "run", "branch", *[kid for kid, _ in kids])
+        rows = materialize(rows) if level > 1 else rows
+        first, second = (rows.filter(f"kid{bit} is not null").select("v", "n_tokens", "run", F.col(f"kid{bit}").alias("path"), (F.col("branch") * 2 + bit).alias("branch")) for _, bit in kids)
+        rows = first.unionByName(second)
         counts = materialize(rows.groupBy(F.col("path").alias("to")).agg(F.count("*").alias("size"), F.sum("n_tokens").alias("weight")).filter("size > 1"))
         met = materialize(rows.join(counts, F.col("path") == F.col("to")).drop("to"))
         ended = met if level == depth else met.filter(F.col("size") <= leaf)
