@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from corpusengine.llm import oracles
 from corpusengine.llm.byte_bpe import ByteBpe, encode_and_decode
 from corpusengine.llm.exact_dedup import exact_dedup
+from corpusengine.llm.fill_middle import fill_in_middle, restore
 from corpusengine.llm.jaccard_join import jaccard_join
 from corpusengine.llm.license_scan import scan_licenses
 from corpusengine.llm.mixing import mix
@@ -74,8 +75,14 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("text_key")
 
 
+def op11_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fill_in_middle(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    back = restore(F.col("output"), F.col("form"))
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(back, 256).alias("restored_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_license_scan, op2_chat_tool_calls, op3_jaccard_join, op4_exact_dedup, op5_url_filter, op6_quality_rules, op7_token_files, op8_suffix_dedup, op9_byte_bpe, op10_mixing]
+    found = [op1_license_scan, op2_chat_tool_calls, op3_jaccard_join, op4_exact_dedup, op5_url_filter, op6_quality_rules, op7_token_files, op8_suffix_dedup, op9_byte_bpe, op10_mixing, op11_fill_middle]
     return {f.__name__: f for f in found}
 
 
@@ -86,4 +93,5 @@ def oracle_sql() -> dict[str, str]:
         "op4_exact_dedup": oracles.EXACT_DEDUP,
         "op5_url_filter": oracles.url_filter(),
         "op6_quality_rules": oracles.quality_rules(),
+        "op11_fill_middle": oracles.FILL_MIDDLE,
     }
