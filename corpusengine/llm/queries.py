@@ -10,6 +10,7 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from corpusengine.llm import oracles
+from corpusengine.llm.alignment import align_documents
 from corpusengine.llm.byte_bpe import ByteBpe, encode_and_decode
 from corpusengine.llm.exact_dedup import exact_dedup
 from corpusengine.llm.fill_middle import fill_in_middle, restore
@@ -81,8 +82,12 @@ def op11_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(back, 256).alias("restored_sha256"))
 
 
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_license_scan, op2_chat_tool_calls, op3_jaccard_join, op4_exact_dedup, op5_url_filter, op6_quality_rules, op7_token_files, op8_suffix_dedup, op9_byte_bpe, op10_mixing, op11_fill_middle]
+    found = [op1_license_scan, op2_chat_tool_calls, op3_jaccard_join, op4_exact_dedup, op5_url_filter, op6_quality_rules, op7_token_files, op8_suffix_dedup, op9_byte_bpe, op10_mixing, op11_fill_middle, op12_token_alignment]
     return {f.__name__: f for f in found}
 
 
