@@ -25,11 +25,13 @@ each counts; ids may be null; extra columns are not read. An empty table gives n
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import json
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -42,8 +44,8 @@ from corpusengine.session import materialize, scratch_scope, small_batches
 
 #: A pair is a * SHIFT + b, so ids lie below SHIFT.
 SHIFT = 1 << 24
-#: Texts aligned together (characters); entries and characters of a worker's cache of chunks; partial counts that a task holds.
-TEXTS, CACHE_ENTRIES, CACHE_CHARS, HELD = 1 << 21, 60_000, 40, 1 << 20
+#: Characters of texts aligned together; chunks that a worker remembers; chunks that B encodes as one text.
+TEXTS, CACHE_ENTRIES, TOGETHER = 1 << 21, 500_000, 32
 #: Distinct pairs of a bucket in the mean, at most; leaves of a bucket's tree; vectors added at once.
 BUCKET, LEAVES, FAN_IN = 1 << 17, 16, 4
 SPACE = "▁"
@@ -58,11 +60,44 @@ def byte_of_character() -> dict[str, int]:
     return {chr(b): b for b in printable} | {chr(256 + k): b for k, b in enumerate(others)}
 
 
+def ranks_of(a_file: bytes) -> dict[bytes, int] | None:
+    """Bytes of the tokens of a byte-level BPE, if its merges come in the order of their ids, as ranks; else None."""
+    model, of = json.loads(a_file)["model"], byte_of_character()
+    ids = [model["vocab"]["".join(m if isinstance(m, list) else m.split(" "))] for m in model["merges"]]
+    if ids != sorted(ids) or len(model["vocab"]) != len(ids) + len(of) or model.get("ignore_merges"):
+        return None
+    return {bytes(of[c] for c in token): k for token, k in model["vocab"].items()}
+
+
+class Growing:
+    """A numpy array that rows are appended to."""
+
+    def __init__(self, kind):
+        self.room, self.size = np.zeros(1 << 10, dtype=kind), 0
+
+    def add(self, more: np.ndarray) -> None:
+        if self.size + len(more) > len(self.room):
+            self.room = np.concatenate([self.room[: self.size], np.zeros(self.size + 2 * len(more), dtype=self.room.dtype)])
+        self.room[self.size : self.size + len(more)] = more
+        self.size += len(more)
+
+    @property
+    def rows(self) -> np.ndarray:
+        return self.room[: self.size]
+
+
 class Aligner:
-    """Aligns texts by chunks; A is a byte-level BPE of the tokenizers library, B a sentencepiece model."""
+    """Aligns texts by chunks; A is a byte-level BPE in a file of the tokenizers library, B a sentencepiece model.
+
+    Aligned chunks are remembered as numbers: the ids of their pairs in a flat array, how
+    often each chunk and pair occurs, and sums over a chunk's links. What is remembered is
+    bounded and outlives a task.
+    """
 
     def __init__(self, a_file: bytes, b_file: bytes):
+        import public_tokenizers
         import sentencepiece
+        import tiktoken
         from tokenizers import Tokenizer
 
         self.a = Tokenizer.from_str(a_file.decode())
@@ -81,9 +116,37 @@ class Aligner:
         split = json.loads(a_file).get("pre_tokenizer") or {}
         # only with the byte-level pattern of A and pieces of B that don't run across a space are chunks independent
         self.by_chunks = split.get("type") == "ByteLevel" and split.get("use_regex", False) and not any(re.search(rf"[^\s{SPACE}]{SPACE}", p) for p, x in zip(pieces, byte, strict=True) if not x)
-        self.names_a = [str(k) for k in range(len(self.a_bytes))]
-        self.names_b = [str(k) for k in range(len(pieces))]
-        self.known: dict[str, tuple] = {}
+        ranks = ranks_of(a_file) if self.by_chunks else None
+        # the same merges as ranks: many chunks then take one call
+        self.fast = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}) if ranks else None
+        names = lambda n, mark: np.array([f"{k}{mark}" for k in range(n)], dtype=object)
+        self.names = {mark: names(len(self.a_bytes) if mark != ";" else len(pieces), mark) for mark in "|,;"}
+        self.b_names = names(len(pieces), ",")
+        self.forget()
+
+    def forget(self) -> None:
+        self.known: dict[str, int] = {}
+        self.said: list[str] = []
+        self.good, self.n_a, self.n_b, self.n_groups, self.n_links, self.first = (Growing(k) for k in (bool, *[np.int64] * 5))
+        self.uses = Growing(np.int64)
+        self.pair_ids: dict[int, int] = {}
+        self.pairs, self.entries = Growing(np.int64), Growing(np.int32)
+
+    def keep_frequent(self) -> None:
+        """Forget all chunks but the half that came most often; the pairs stay."""
+        most = min(CACHE_ENTRIES // 2, len(self.known))
+        kept = np.sort(np.argpartition(-self.uses.rows, most - 1)[:most])
+        names = list(self.known)
+        self.known = {names[k]: i for i, k in enumerate(kept.tolist())}
+        self.said = [self.said[k] for k in kept.tolist()] if self.said else []
+        n = self.n_links.rows[kept]
+        ends = np.cumsum(n)
+        at = np.arange(n.sum()) + np.repeat(self.first.rows[kept] - (ends - n), n)
+        entries, first = self.entries.rows[at], ends - n
+        columns = [x.rows[kept] for x in (self.good, self.n_a, self.n_b, self.n_groups, self.n_links)]
+        self.good, self.n_a, self.n_b, self.n_groups, self.n_links, self.first, self.entries, self.uses = (Growing(x.dtype) for x in (*columns, first, entries, first))
+        for column, rows in zip((self.good, self.n_a, self.n_b, self.n_groups, self.n_links, self.first, self.entries, self.uses), (*columns, first, entries, np.zeros(most, np.int64)), strict=True):
+            column.add(rows)
 
     def chunks(self, text: str) -> list[str]:
         """Chunks whose texts, each after a space, make up a space and the text."""
@@ -97,94 +160,142 @@ class Aligner:
             found[-2:] = [found[-2] + " "]
         return found
 
-    def align(self, chunks: list[str]) -> list[tuple]:
-        """Of each chunk: groups as text, n_a, n_b, n_groups, pairs, and how often each pair is linked; None where bytes differ."""
-        ids_a = [e.ids for e in self.a.encode_batch([" " + c for c in chunks], add_special_tokens=False)] if chunks else []
-        ids_b = self.b.encode(chunks, num_threads=1) if chunks else []
-        good = [(want := (" " + c).encode()) == b"".join(map(self.a_bytes.__getitem__, a)) and want == b"".join(map(self.b_bytes.__getitem__, b)) for c, a, b in zip(chunks, ids_a, ids_b, strict=True)]
-        flat_a = np.array([x for a, ok in zip(ids_a, good, strict=True) if ok for x in a], dtype=np.int64)
-        flat_b = np.array([x for b, ok in zip(ids_b, good, strict=True) if ok for x in b], dtype=np.int64)
+    def together(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
+        """Flat ids of A and B, and the byte ends, of chunks that are encoded in one call; None if that doesn't give the bytes."""
+        joined = " " + " ".join(chunks)
+        want = joined.encode()
+        flat_a = self.fast.encode_to_numpy(joined, disallowed_special=()).astype(np.int64)
+        flat_b = np.array([x for ids in self.b.encode([" ".join(chunks[k : k + TOGETHER]) for k in range(0, len(chunks), TOGETHER)], num_threads=1) for x in ids], dtype=np.int64)
+        if b"".join(map(self.a_bytes.__getitem__, flat_a.tolist())) != want or b"".join(map(self.b_bytes.__getitem__, flat_b.tolist())) != want:
+            return None
+        return flat_a, flat_b, np.cumsum([len(c) + 1 for c in (chunks if want.isascii() else map(str.encode, chunks))])
+
+    def one_by_one(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The same of chunks encoded each on its own, and which of them give their bytes; the others take none."""
+        ids_a = [e.ids for e in self.a.encode_batch([" " + c for c in chunks], add_special_tokens=False)]
+        ids_b = self.b.encode(chunks, num_threads=1)
+        want = [(" " + c).encode() for c in chunks]
+        good = np.array([w == b"".join(map(self.a_bytes.__getitem__, a)) == b"".join(map(self.b_bytes.__getitem__, b)) for w, a, b in zip(want, ids_a, ids_b, strict=True)], dtype=bool)
+        flat = lambda ids: np.array([x for one, ok in zip(ids, good, strict=True) if ok for x in one], dtype=np.int64)
+        return flat(ids_a), flat(ids_b), np.cumsum([len(w) * ok for w, ok in zip(want, good, strict=True)], dtype=np.int64), good
+
+    def learn(self, chunks: list[str], say: bool) -> None:
+        """Remember ``chunks``, with their groups as text if ``say``."""
+        plain = [c for c in chunks if c and not c[-1].isspace() and len(c) < TEXTS] if self.fast else []
+        odd = [c for c in chunks if not c or c[-1].isspace() or len(c) >= TEXTS] if self.fast else chunks
+        if plain:
+            found = self.together(plain)
+            if found is None:
+                odd = odd + plain
+            else:
+                self.add(plain, *found, np.ones(len(plain), dtype=bool), say)
+        if odd:
+            self.add(odd, *self.one_by_one(odd), say)
+
+    def add(self, chunks: list[str], flat_a: np.ndarray, flat_b: np.ndarray, ends: np.ndarray, good: np.ndarray, say: bool) -> None:
         end_a, end_b = np.cumsum(self.a_length[flat_a]), np.cumsum(self.b_length[flat_b])
-        common = np.intersect1d(end_a, end_b)
+        at = np.searchsorted(end_b, end_a)
+        common = end_a[end_b[np.minimum(at, len(end_b) - 1)] == end_a] if len(end_b) else end_a[:0]
         # a token's group is the number of common ends before its own end
         group_a, group_b = np.searchsorted(common, end_a), np.searchsorted(common, end_b)
-        from_a, from_b = (np.searchsorted(g, np.arange(len(common) + 1)).tolist() for g in (group_a, group_b))
-        text_a, text_b = [self.names_a[x] for x in flat_a.tolist()], [self.names_b[x] for x in flat_b.tolist()]
-        list_a, list_b = flat_a.tolist(), flat_b.tolist()
-        out, g, i, j = [], 0, 0, 0
-        for a, b, ok in zip(ids_a, ids_b, good, strict=True):
-            if not ok:
-                out.append(None)
-                continue
-            i, j, parts, links, many = i + len(a), j + len(b), [], [], None
-            while g < len(common) and from_a[g] < i:
-                a0, a1, b0, b1 = from_a[g], from_a[g + 1], from_b[g], from_b[g + 1]
-                parts.append(",".join(text_a[a0:a1]) + "|" + ",".join(text_b[b0:b1]))
-                if (a1 - a0) * (b1 - b0) <= 64:
-                    links += [x * SHIFT + y for x in list_a[a0:a1] for y in list_b[b0:b1]]
-                else:
-                    # a long group is linked by its distinct ids
-                    xs, nx = np.unique(flat_a[a0:a1], return_counts=True)
-                    ys, ny = np.unique(flat_b[b0:b1], return_counts=True)
-                    many = many or []
-                    many.append(((xs[:, None] * SHIFT + ys[None, :]).ravel(), (nx[:, None] * ny[None, :]).ravel()))
-                g += 1
-            pairs, times = np.unique(np.array(links, dtype=np.int64), return_counts=True)
-            if many:
-                pairs, back = np.unique(np.concatenate([pairs, *[p for p, _ in many]]), return_inverse=True)
-                weight, times = np.concatenate([times, *[n for _, n in many]]), np.zeros(len(pairs), dtype=np.int64)
-                np.add.at(times, back, weight)
-            out.append((";".join(parts), len(a), len(b), len(parts), pairs, times.astype(np.int64)))
-        return out
-
-    def batch(self, texts: list[str]) -> Batch:
-        if len(self.known) > CACHE_ENTRIES:
-            self.known.clear()
-        names: dict[str, int] = {}
-        rows = [[names.setdefault(c, len(names)) for c in self.chunks(t)] if t else [] for t in texts]
-        every = list(names)
-        new = [c for c in every if c not in self.known]
-        fresh = dict(zip(new, self.align(new), strict=True))
-        entries = [fresh[c] if c in fresh else self.known[c] for c in every]
-        self.known.update((c, x) for c, x in fresh.items() if len(c) <= CACHE_CHARS)
-        return Batch(rows, entries)
+        size_a, size_b = np.bincount(group_a, minlength=len(common)), np.bincount(group_b, minlength=len(common))
+        from_a, from_b = np.cumsum(size_a) - size_a, np.cumsum(size_b) - size_b
+        chunk = np.searchsorted(ends, common)
+        links, count = self.links(flat_a, flat_b, from_a, from_b, size_a, size_b)
+        in_chunk = np.repeat(chunk, count)
+        n = lambda where, weights=None: np.bincount(where, weights=weights, minlength=len(chunks)).astype(np.int64)
+        n_pairs = n(in_chunk)
+        first = self.entries.size + np.cumsum(n_pairs) - n_pairs
+        found, back = np.unique(links, return_inverse=True)
+        before = len(self.pair_ids)
+        ids = np.array([self.pair_ids.setdefault(p, len(self.pair_ids)) for p in found.tolist()], dtype=np.int32)
+        self.pairs.add(found[ids >= before])
+        self.entries.add(ids[back] if len(ids) else ids)
+        for column, rows in ((self.good, good), (self.n_a, n(chunk[group_a])), (self.n_b, n(chunk[group_b])), (self.n_groups, n(chunk)), (self.n_links, n_pairs), (self.first, first)):
+            column.add(rows)
+        self.uses.add(np.zeros(len(chunks), dtype=np.int64))
+        if say:
+            place_a, place_b = np.arange(len(flat_a)) + from_b[group_a], np.arange(len(flat_b)) + (from_a + size_a)[group_b]
+            tokens = np.empty(len(flat_a) + len(flat_b), dtype=object)
+            last_a, last_b = (np.append(np.diff(g) != 0, True)[: len(g)] for g in (group_a, group_b))
+            tokens[place_a] = np.where(last_a, self.names["|"][flat_a], self.names[","][flat_a])
+            tokens[place_b] = np.where(last_b, self.names[";"][flat_b], self.b_names[flat_b])
+            tokens, cut = tokens.tolist(), np.cumsum(n(chunk[group_a]) + n(chunk[group_b])).tolist()
+            self.said += ["".join(tokens[x:y]) for x, y in zip([0, *cut[:-1]], cut, strict=True)]
+        for c in chunks:
+            self.known[c] = len(self.known)
+
+    @staticmethod
+    def links(flat_a: np.ndarray, flat_b: np.ndarray, from_a: np.ndarray, from_b: np.ndarray, size_a: np.ndarray, size_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All pairs of each group, one after another, and their number by group."""
+        count = size_a * size_b
+        starts = np.cumsum(count) - count
+        step = np.arange(count.sum()) - np.repeat(starts, count)
+        wide = np.repeat(size_b, count)
+        return flat_a[np.repeat(from_a, count) + step // wide] * SHIFT + flat_b[np.repeat(from_b, count) + step % wide], count
+
+    def batch(self, texts: list[str], say: bool = False) -> Batch:
+        rows = [self.chunks(t) if t else [] for t in texts]
+        new = set().union(*rows)
+        new.difference_update(self.known)
+        new = list(new)
+        at = 0
+        while at < len(new):
+            end, held = at, 0
+            while end < len(new) and (end == at or held + len(new[end]) <= TEXTS):
+                held += len(new[end])
+                end += 1
+            self.learn(new[at:end], say)
+            at = end
+        part = Batch(self, [list(map(self.known.__getitem__, r)) for r in rows])
+        self.uses.rows[:] += np.bincount(part.chunk, minlength=len(self.known))
+        return part
+
+    def crowded(self, say: bool) -> bool:
+        """Whether all must be forgotten, pairs too: there is too much of it, or it has no texts."""
+        return self.pairs.size > 8 * CACHE_ENTRIES or self.entries.size > 24 * CACHE_ENTRIES or bool(self.known) and say != bool(self.said)
+
+    def make_room(self, say: bool) -> bool:
+        """Whether the chunks got other numbers, as there were too many of them."""
+        if self.crowded(say):
+            self.forget()
+        elif len(self.known) > CACHE_ENTRIES:
+            self.keep_frequent()
+        else:
+            return False
+        return True
 
 
 class Batch:
-    """Texts as lists of aligned chunks."""
-
-    def __init__(self, rows: list[list[int]], entries: list[tuple | None]):
-        bad = {k for k, e in enumerate(entries) if e is None}
-        self.rows = [[] if bad and not bad.isdisjoint(r) else r for r in rows]
-        nothing = ("", 0, 0, 0, np.zeros(0, np.int64), np.zeros(0, np.int64))
-        self.entries = [e or nothing for e in entries]
-        self.chunk = np.fromiter((c for r in self.rows for c in r), dtype=np.int64)
-        self.size = np.array([len(r) for r in self.rows], dtype=np.int64)
+    """Texts as lists of the numbers of aligned chunks."""
+
+    def __init__(self, aligner: Aligner, rows: list[list[int]]):
+        self.aligner = aligner
+        if not aligner.good.rows.all():
+            bad = set(np.flatnonzero(~aligner.good.rows).tolist())
+            rows = [[] if not bad.isdisjoint(r) else r for r in rows]
+        self.rows = rows
+        self.size = np.array([len(r) for r in rows], dtype=np.int64)
+        self.chunk = np.fromiter(chain.from_iterable(rows), dtype=np.int64, count=int(self.size.sum()))
         self.doc = np.repeat(np.arange(len(rows)), self.size)
-        self.n_pairs = np.array([len(e[4]) for e in self.entries], dtype=np.int64)
-        self.first = np.cumsum(self.n_pairs) - self.n_pairs
-        pairs = np.concatenate([e[4] for e in self.entries]) if entries else np.zeros(0, np.int64)
-        self.times = np.concatenate([e[5] for e in self.entries]) if entries else np.zeros(0, np.int64)
-        self.pairs, self.pair = np.unique(pairs, return_inverse=True)
-
-    def expand(self, doc: np.ndarray, chunk: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Document and place in ``pair`` of every entry of the chunks."""
-        n = self.n_pairs[chunk]
-        ends = np.cumsum(n)
-        at = np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - n, n) + np.repeat(self.first[chunk], n)
-        return np.repeat(doc, n), at
 
-    def held(self) -> np.ndarray:
-        """How many of the documents hold each of ``pairs``."""
-        each = np.unique(self.doc * max(len(self.entries), 1) + self.chunk)
-        doc, at = self.expand(*np.divmod(each, max(len(self.entries), 1)))
-        both = np.unique(doc * max(len(self.pairs), 1) + self.pair[at])
-        return np.bincount(both % max(len(self.pairs), 1), minlength=len(self.pairs))
+    def expand(self) -> tuple[np.ndarray, np.ndarray]:
+        """Document and pair of every entry of the distinct chunks of each document."""
+        n = max(len(self.aligner.known), 1)
+        doc, chunk = np.divmod(distinct(self.doc * n + self.chunk), n)
+        return self.entries_of(doc, chunk)
+
+    def entries_of(self, doc: np.ndarray, chunk: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        n = self.aligner.n_links.rows[chunk]
+        starts = np.cumsum(n) - n
+        at = np.arange(n.sum()) + np.repeat(self.aligner.first.rows[chunk] - starts, n)
+        return np.repeat(doc, n), self.aligner.entries.rows[at]
 
-    def per_chunk(self, values: np.ndarray) -> np.ndarray:
-        """Sums of ``values``, one for each entry of ``pair``, by chunk."""
-        sums = np.concatenate([[0], np.cumsum(values, dtype=np.int64)])
-        return sums[self.first + self.n_pairs] - sums[self.first]
+    def held(self) -> np.ndarray:
+        """How many of the documents hold each of the aligner's pairs."""
+        n = max(self.aligner.pairs.size, 1)
+        doc, pair = self.expand()
+        return np.bincount(distinct(doc * n + pair) % n, minlength=self.aligner.pairs.size)
 
     def per_doc(self, of_chunk: np.ndarray) -> np.ndarray:
         sums = np.concatenate([[0], np.cumsum(of_chunk[self.chunk], dtype=np.int64)])
@@ -192,8 +303,15 @@ class Batch:
         return sums[ends] - sums[ends - self.size]
 
 
+def distinct(x: np.ndarray) -> np.ndarray:
+    x = np.sort(x)
+    return x[np.append(True, x[1:] != x[:-1])] if len(x) else x
+
+
 @lru_cache(maxsize=1)
 def aligner_of(a_file: bytes, b_file: bytes) -> Aligner:
+    """A worker process makes an aligner once; its millions of small objects make no cycles, so none are looked for."""
+    gc.disable()
     return Aligner(a_file, b_file)
 
 
@@ -214,29 +332,24 @@ def partial_counts(docs: DataFrame, shared, text: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         aligner = aligner_of(*shared.value)
-        held, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        waiting: list[tuple[np.ndarray, np.ndarray]] = []
+        aligner.make_room(say=False)
+        counts = np.zeros(aligner.pairs.size, dtype=np.int64)
 
-        def added() -> tuple[np.ndarray, np.ndarray]:
-            pairs, back = np.unique(np.concatenate([held, *[p for p, _ in waiting]]), return_inverse=True)
-            total = np.zeros(len(pairs), dtype=np.int64)
-            np.add.at(total, back, np.concatenate([counts, *[n for _, n in waiting]]))
-            return pairs, total
+        def found() -> pa.RecordBatch:
+            own = np.flatnonzero(counts)
+            return pa.RecordBatch.from_arrays([pa.array(aligner.pairs.rows[own]), pa.array(counts[own])], names=["pair", "n"])
 
         for batch in batches:
             texts = [t or "" for t in batch.column(0).to_pylist()]
             for at, end in some_texts(texts):
-                part = aligner.batch(texts[at:end])
-                n = part.held()
-                waiting.append((part.pairs[n > 0], n[n > 0]))
-                if sum(len(p) for p, _ in waiting) > HELD:
-                    (held, counts), waiting = added(), []
-                    if len(held) > HELD:
-                        yield pa.RecordBatch.from_arrays([pa.array(held), pa.array(counts)], names=["pair", "n"])
-                        held = counts = np.zeros(0, np.int64)
-        (held, counts), waiting = added(), []
-        aligner.known.clear()
-        yield pa.RecordBatch.from_arrays([pa.array(held), pa.array(counts)], names=["pair", "n"])
+                if aligner.crowded(say=False):
+                    yield found()
+                    counts = np.zeros(0, dtype=np.int64)
+                aligner.make_room(say=False)
+                held = aligner.batch(texts[at:end]).held()
+                held[: len(counts)] += counts
+                counts = held
+        yield found()
 
     return docs.select(F.col(text).alias("text")).mapInArrow(run, "pair long, n long")
 
@@ -371,34 +484,45 @@ def second_pass(docs: DataFrame, shared, lookup, text: str, doc_id: str) -> Data
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         aligner = aligner_of(*shared.value)
         made, values, best = lookup.value
+        count, sums, tops, late = np.zeros(0, np.int64), *(Growing(k) for k in (np.int64, np.int64, bool))
+
+        def look_up() -> None:
+            """Counts of pairs, and sums of chunks, that came with the last texts."""
+            nonlocal count
+            fresh = aligner.pairs.rows[len(count) :]
+            index = made.index(fresh)
+            count = np.concatenate([count, np.where(index >= 0, values[np.maximum(index, 0)] if len(values) else 0, 0)])
+            start = aligner.first.rows[sums.size] if sums.size < aligner.first.size else aligner.entries.size
+            pair = aligner.entries.rows[start:]
+            ends = np.cumsum(aligner.n_links.rows[sums.size :])
+            per_chunk = lambda x: np.diff(np.concatenate([[0], np.cumsum(x, dtype=np.int64)])[np.concatenate([[0], ends])])
+            n = count[pair]
+            late.add(per_chunk(n == 0) > 0)
+            tops.add(per_chunk((n > 0) & (n == best[aligner.pairs.rows[pair] // SHIFT])))
+            sums.add(per_chunk(n))
+
         for batch in batches:
             texts = [t or "" for t in batch.column(2).to_pylist()]
             for at, end in some_texts(texts):
-                part = aligner.batch(texts[at:end])
-                index = made.index(part.pairs)
-                known = index >= 0
-                count = np.where(known, values[np.maximum(index, 0)] if len(values) else 0, 0)
-                top = known & (count == best[part.pairs // SHIFT])
-                n_a, n_b, n_groups = (part.per_doc(np.array([e[k] for e in part.entries], dtype=np.int64)) for k in (1, 2, 3))
-                links = part.per_doc(part.per_chunk(part.times))
-                sums = part.per_doc(part.per_chunk(part.times * count[part.pair]))
-                tops = part.per_doc(part.per_chunk(part.times * top[part.pair]))
-                hashes = [hashlib.sha256(";".join([part.entries[c][0] for c in r]).encode()).hexdigest() if r else "" for r in part.rows]
+                if aligner.make_room(say=True):
+                    count, sums, tops, late = np.zeros(0, np.int64), *(Growing(k) for k in (np.int64, np.int64, bool))
+                part = aligner.batch(texts[at:end], say=True)
+                look_up()
+                numbers = [part.per_doc(x.rows) for x in (aligner.n_a, aligner.n_b, aligner.n_groups, aligner.n_links, tops, sums)]
+                said = aligner.said
+                hashes = [hashlib.sha256("".join(map(said.__getitem__, r))[:-1].encode()).hexdigest() if r else "" for r in part.rows]
                 pairs: list[np.ndarray] = [np.zeros(0, np.int64)] * len(part.rows)
                 times = list(pairs)
-                if not known.all():
-                    doc, place = part.expand(part.doc, part.chunk)
-                    late = ~known[part.pair[place]]
-                    key, back = np.unique(doc[late] * len(part.pairs) + part.pair[place[late]], return_inverse=True)
-                    n = np.zeros(len(key), dtype=np.int64)
-                    np.add.at(n, back, part.times[place[late]])
-                    cuts = np.searchsorted(key // len(part.pairs), np.arange(len(part.rows) + 1))
-                    pairs = [part.pairs[key[x:y] % len(part.pairs)] for x, y in zip(cuts[:-1], cuts[1:], strict=True)]
-                    times = [n[x:y] for x, y in zip(cuts[:-1], cuts[1:], strict=True)]
+                own = late.rows[part.chunk]
+                if own.any():
+                    doc, pair = part.entries_of(part.doc[own], part.chunk[own])
+                    key, n = np.unique((doc * len(count) + pair)[count[pair] == 0], return_counts=True)
+                    cuts = np.searchsorted(key // len(count), np.arange(len(part.rows) + 1))
+                    key = aligner.pairs.rows[key % len(count)]
+                    pairs, times = ([x[y:z] for y, z in zip(cuts[:-1], cuts[1:], strict=True)] for x in (key, n))
                 lists = [pa.array(x, type=pa.list_(pa.int64())) for x in (pairs, times)]
-                columns = [batch.column(0)[at:end], batch.column(1)[at:end], *map(pa.array, (n_a, n_b, n_groups, links, tops, sums, hashes)), *lists]
+                columns = [batch.column(0)[at:end], batch.column(1)[at:end], *map(pa.array, numbers), pa.array(hashes, type=pa.string()), *lists]
                 yield pa.RecordBatch.from_arrays(columns, names=["row", "doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256", "pairs", "times"])
-        aligner.known.clear()
 
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     return rows.mapInArrow(run, f"row long, doc_id {kind}, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string, pairs array<long>, times array<long>")

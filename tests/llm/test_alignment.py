@@ -79,6 +79,7 @@ def awkward_texts():
 @pytest.mark.parametrize("most", [1 << 21, 50])
 def test_alignment(spark, monkeypatch, most):
     monkeypatch.setattr(alignment, "TEXTS", 2000)
+    monkeypatch.setattr(alignment, "CACHE_ENTRIES", 900)
     texts = awkward_texts()
     rows = [(i if i % 50 else None, t, "x") for i, t in enumerate(texts)] + [(9000, None, "x")]
     got = align_documents(spark.createDataFrame(rows, "doc_id long, text string, row string").repartition(5), A, B, most_pairs=most).collect()
@@ -92,9 +93,11 @@ def test_whole_texts_where_chunks_depend(spark):
         aligner = alignment.Aligner(f.read(), g.read())
     assert aligner.by_chunks
     texts = [t for t in awkward_texts() if t]
-    chunked = [[";".join(b.entries[c][0] for c in r) for r in b.rows] for b in [aligner.batch(texts)]][0]
+    chunked = ["".join(aligner.said[c] for c in r) for r in aligner.batch(texts, say=True).rows]
+    aligner.forget()
     aligner.by_chunks = False
-    assert [[";".join(b.entries[c][0] for c in r) for r in b.rows] for b in [aligner.batch(texts)]][0] == chunked
+    aligner.fast = None
+    assert ["".join(aligner.said[c] for c in r) for r in aligner.batch(texts, say=True).rows] == chunked
 
 
 def test_no_rows(spark):
