@@ -21,6 +21,7 @@ from corpusengine.llm.quality_rules import judge_documents
 from corpusengine.llm.suffix_dedup import suffix_dedup
 from corpusengine.llm.token_files import documents_of, token_ids, write_files
 from corpusengine.llm.tool_calls import REPLY, calls_of_turns, link_calls
+from corpusengine.llm.toxicity import score_documents, train
 from corpusengine.llm.url_filter import judge_pages
 from corpusengine.session import table
 
@@ -86,8 +87,15 @@ def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return align_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op13_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
+    scored = score_documents(docs, train(docs, table(spark, sf_dir, "labels"), learn_from=~held_out))
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_license_scan, op2_chat_tool_calls, op3_jaccard_join, op4_exact_dedup, op5_url_filter, op6_quality_rules, op7_token_files, op8_suffix_dedup, op9_byte_bpe, op10_mixing, op11_fill_middle, op12_token_alignment]
+    found = [op1_license_scan, op2_chat_tool_calls, op3_jaccard_join, op4_exact_dedup, op5_url_filter, op6_quality_rules, op7_token_files, op8_suffix_dedup, op9_byte_bpe, op10_mixing, op11_fill_middle, op12_token_alignment, op13_toxicity]
     return {f.__name__: f for f in found}
 
 
