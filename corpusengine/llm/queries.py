@@ -16,7 +16,7 @@ from corpusengine.llm.exact_dedup import exact_dedup
 from corpusengine.llm.fill_middle import fill_in_middle, restore
 from corpusengine.llm.jaccard_join import jaccard_join
 from corpusengine.llm.license_scan import scan_licenses
-from corpusengine.llm.mixing import mix
+from corpusengine.llm.mixing import mix_with_fit
 from corpusengine.llm.quality_rules import judge_documents
 from corpusengine.llm.suffix_dedup import suffix_dedup
 from corpusengine.llm.token_files import documents_of, token_ids, write_files
@@ -74,7 +74,8 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("text_key")
+    mixed, fit = mix_with_fit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return mixed.drop("text_key").withColumns({"pull": F.lit(fit.pull), "converged": F.lit(fit.converged), "reached": F.lit(fit.reached)})
 
 
 def op11_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:

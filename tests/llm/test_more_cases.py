@@ -189,25 +189,31 @@ def test_bit_planes_find_all_that_repeats(spark):
     assert sum(x["p"] for x in got if x["m"] == 1) < 0.3 * len(got)
 
 
-def test_cells_hold_the_shares_of_held_out_documents(spark):
-    """Posteriors against a plain count: held-out shares of the cell, shrunk to the coarser cell and the prior."""
-    r = random.Random(7)
-    scored = [(i, i, 0, r.choice((20, 200, 2000)), 0.0, r.choice((0.0, 1.5, 20.0)), r.choice((0.0, 4.0))) for i in range(3000)]
-    df = spark.createDataFrame(scored, "row long, doc_id long, text_key long, n_tokens long, s_good double, s_low double, s_toxic double")
-    domain = {i: (2 if x[6] and r.random() < 0.8 else 1 if x[5] > 10 else 0) for i, x in enumerate(scored) if i % 2}
-    held = spark.createDataFrame(list(domain.items()), "doc_id long, domain int")
-    prior = np.array([0.7, 0.2, 0.1])
-    got = {x["row"]: [x["p_good"], x["p_low"], x["p_toxic"]] for x in mixing.posteriors(df, held, list(np.log(prior))).collect()}
-    bins = lambda v, bounds: sum(v > b for b in bounds)
-    wide = [(bins(x[5], mixing.EVIDENCE), bins(x[6], mixing.EVIDENCE)) for x in scored]
-    fine = [(*w, bins(x[3], mixing.LENGTHS)) for w, x in zip(wide, scored, strict=True)]
-
-    def share(keys, key, parent):
-        n = np.bincount([domain[i] for i in domain if keys[i] == key], minlength=3)
-        return (n + mixing.SHRINK * parent) / (n.sum() + mixing.SHRINK)
-
-    for i in range(0, 3000, 37):
-        assert np.allclose(got[i], share(fine, fine[i], share(wide, wide[i], prior)))
+def test_posteriors_are_the_optimum_of_the_weighted_likelihood(spark):
+    """Of the calibration: no step lessens the penalised loss, a sample stands for all its domain, and columns equal numpy."""
+    r = np.random.default_rng(9)
+    domain = r.choice(3, 3000, p=(0.7, 0.2, 0.1))
+    scored = [(i, i, int(r.integers(1, 500)), *map(float, r.gamma(1 + 2 * (domain[i] == np.arange(3)), 2.0))) for i in range(3000)]
+    df = spark.createDataFrame(scored, "row long, doc_id long, n_tokens long, s_good double, s_low double, s_toxic double")
+    held = spark.createDataFrame([(i, int(domain[i])) for i in range(0, 3000, 2)], "doc_id long, domain int")
+    priors = list(np.log([0.7, 0.2, 0.1]))
+    x = np.array([mixing.traits(dict(zip(df.columns, s, strict=True))) for s in scored])
+    w = mixing.calibrate(x[::2], domain[::2], np.ones(1500), priors)
+
+    def loss(w):
+        odds = np.c_[np.zeros(1500), x[::2] @ w.T]
+        ridge = np.r_[0.01, np.full(4, mixing.RIDGE)]
+        base = np.zeros_like(w)
+        base[:, 0] = [priors[1] - priors[0], priors[2] - priors[0]]
+        return (np.log(np.exp(odds).sum(axis=1)) - odds[np.arange(1500), domain[::2]]).sum() + (ridge * (w - base) ** 2).sum() / 2
+
+    assert all(loss(w + 0.01 * d.reshape(w.shape)) > loss(w) for d in np.vstack([np.eye(10), -np.eye(10)]))
+    odds = np.c_[np.zeros(3000), x @ w.T]
+    want = np.exp(odds) / np.exp(odds).sum(axis=1, keepdims=True)
+    got = mixing.posteriors(df, held, priors).toPandas().sort_values("row")
+    assert np.allclose(got[["p_good", "p_low", "p_toxic"]], want)
+    some = mixing.posteriors(df, held, priors, max_labelled=100).toPandas().sort_values("row")
+    assert abs(some[["p_good", "p_low", "p_toxic"]].to_numpy() - want).mean() < 0.05
 
 
 def test_copies_count_once_in_training(spark):
