@@ -49,15 +49,17 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def with_copies(mixed: DataFrame) -> DataFrame:
     """``mixed`` with ``copies``: how often a document is to be seen, by its rate.
 
-    A rate counts relative to that of good documents (the rate that nine of ten of them don't
-    exceed), so these stay, once each; toxic ones are thinned, and documents of a domain that
-    is short of tokens are seen again. The whole part of a rate is certain and the rest is drawn by the hash of id and
-    text, so the expected tokens of the domains stand to each other as the fit has them.
+    A rate counts relative to the mean rate of good tokens. Documents that are more likely
+    good than not stay, at least once; of the others the whole part of a rate is certain and
+    the rest is drawn by the hash of id and text, so toxic ones are thinned, and documents of
+    a domain that is short of tokens are seen again.
     """
-    one = mixed.filter("n_tokens > 0 and p_good > 0.5").agg(F.percentile_approx("rate", 0.9, 10_000)).first()[0] or 1.0
+    good = F.col("n_tokens") * F.col("p_good")
+    one = mixed.agg(F.sum(good * F.col("rate")) / F.sum(good)).first()[0] or 1.0
     rate = F.col("rate") / one
     draw = F.shiftrightunsigned(F.xxhash64(F.lit("mixing"), "doc_id", "text_key"), 11) / float(1 << 53)
-    return mixed.withColumn("copies", (F.floor(rate) + (draw < rate - F.floor(rate)).cast("int")).cast("int"))
+    drawn = F.floor(rate) + (draw < rate - F.floor(rate)).cast("int")
+    return mixed.withColumn("copies", F.when(F.col("p_good") > 0.5, F.greatest(F.floor(rate), F.lit(1))).otherwise(drawn).cast("int"))
 
 
 def thinned(mixed: DataFrame) -> DataFrame:
