@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusengine.functions import text as T
+from corpusengine.operators.vector_index import dimension_of, usable
 from corpusengine.session import materialize
 
 RRF_K = 60
@@ -34,13 +35,21 @@ def vector_search(queries: DataFrame, vectors: DataFrame, k: int = 10) -> DataFr
     Queries come to the driver in blocks of at most ``MAX_QUERY_BLOCK_MB``, each broadcast for
     one pass over the vectors; where there are several, a block's hits are written before
     the next one comes. Every batch of vectors gives its own top-k per query, so the shuffle
-    carries k rows a batch and query.
+    carries k rows a batch and query. With a ``document_id`` in both tables, a query that has
+    one finds rows of that document only. Vectors that are null, of another dimension than
+    most, without length or with an element that is no number are left out, and such queries
+    find nothing. Ids keep their types.
     """
-    blocks = _query_blocks(queries.select("query_id", "tenant", unit(F.col("embedding")).alias("e")))
+    dimension = dimension_of(vectors)
+    vectors, queries = (df.filter(usable(F.col("embedding"), dimension)) for df in (vectors, queries))
+    if "document_id" not in queries.columns or "document_id" not in vectors.columns:
+        vectors, queries = (df.withColumn("document_id", F.lit(None).cast("long")) for df in (vectors, queries))
+    blocks = _query_blocks(queries.select("query_id", "tenant", "document_id", unit(F.col("embedding")).alias("e")))
+    kinds = f"query_id {queries.schema['query_id'].dataType.simpleString()}, doc_id {vectors.schema['doc_id'].dataType.simpleString()}, score double"
     block, found = next(blocks, []), None
     while True:
         after = next(blocks, None)
-        hits = _search_block(block, vectors, k)
+        hits = _search_block(block, vectors, k, kinds)
         if after is None:
             break
         hits = materialize(hits)
@@ -57,13 +66,13 @@ def _query_blocks(queries: DataFrame) -> Iterator[list[tuple]]:
         if block and held + size > MAX_QUERY_BLOCK_MB * 1_000_000:
             yield block
             block, held = [], 0
-        block.append((r["query_id"], r["tenant"], np.array(r["e"], dtype=float)))
+        block.append((r["query_id"], r["tenant"], np.array(r["e"], dtype=float), r["document_id"]))
         held += size
     if block:
         yield block
 
 
-def _search_block(rows: list[tuple], vectors: DataFrame, k: int) -> DataFrame:
+def _search_block(rows: list[tuple], vectors: DataFrame, k: int, schema: str) -> DataFrame:
     block = vectors.sparkSession.sparkContext.broadcast(rows)
 
     def local(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -76,17 +85,21 @@ def _search_block(rows: list[tuple], vectors: DataFrame, k: int) -> DataFrame:
             m = np.vstack(df["embedding"].to_numpy()).astype(float)
             n = np.linalg.norm(m, axis=1, keepdims=True)
             m = (m / np.where(n > 0, n, 1)).T
-            doc, own = df["doc_id"].to_numpy(), df["tenant"].to_numpy()
+            doc, own, of = df["doc_id"].to_numpy(), df["tenant"].to_numpy(), df["document_id"].to_numpy()
+            # a number for each id in its order, as ids may be texts
+            order = np.unique(doc, return_inverse=True)[1]
             # scores of some queries at once, so that they stay within a worker's memory
             some = max(1, MAX_SCORES // len(df))
             for start in range(0, len(ids), some):
                 s = np.where(tenants[start : start + some, None] == own[None, :], q[start : start + some] @ m, -np.inf)
                 for i, row in enumerate(np.round(s, 6), start):
-                    top = np.lexsort((doc, -row))[:k]
+                    if (only := block.value[i][3]) is not None:
+                        row = np.where(of == only, row, -np.inf)
+                    top = np.lexsort((order, -row))[:k]
                     top = top[np.isfinite(row[top])]
                     yield pd.DataFrame({"query_id": ids[i], "doc_id": doc[top], "score": row[top]})
 
-    return vectors.select("doc_id", "tenant", "embedding").mapInPandas(local, "query_id long, doc_id long, score double")
+    return vectors.select("doc_id", "tenant", "document_id", "embedding").mapInPandas(local, schema)
 
 
 def fuse(vector: DataFrame, keyword: DataFrame, keys: list[str]) -> DataFrame:

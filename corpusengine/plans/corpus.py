@@ -5,6 +5,8 @@ The tenant of a document is its source; the questions are the benchmark's texts.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,10 +16,14 @@ from corpusengine.operators import context as X
 from corpusengine.operators import evaluate as M
 from corpusengine.operators import index as I
 from corpusengine.operators import retrieval as R
+from corpusengine.operators.stored_index import StoredIndex
+from corpusengine.operators.vector_index import VectorIndex
 from corpusengine.sources import maintenance as K
-from corpusengine.session import table
+from corpusengine.session import scratch_dir, table
 
 TOP = 5
+#: Cells of the vector index that a query looks into.
+PROBES = 16
 WORDS_SQL = r"regexp_extract_all(lower(coalesce({t}, '')), '([\p{{L}}\p{{N}}_]+)', 1)"
 
 
@@ -246,6 +252,50 @@ VECTOR = """SELECT * FROM (SELECT q.vec_id AS query_id, v.vec_id AS doc_id, roun
 FROM embeddings q, embeddings v WHERE q.vec_id % 20 = 0) WHERE rank <= 10"""
 
 
+def stored_index_search(spark, d):
+    """The keyword search over a stored index, by blocks."""
+    index = StoredIndex(spark, f"{scratch_dir(spark)}/{uuid.uuid4().hex}")
+    index.write(chunks(spark, d))
+    return index.search(questions(spark, d), TOP)
+
+
+def _kept_up_index(spark, d) -> StoredIndex:
+    """All documents but every fifth are indexed; then the others come, every seventh is written anew and every eleventh deleted."""
+    index = StoredIndex(spark, f"{scratch_dir(spark)}/{uuid.uuid4().hex}")
+    every = chunks(spark, d)
+    index.write(every.filter("doc_id % 5 <> 0"))
+    index.write(every.filter("doc_id % 5 = 0"), every.filter("doc_id % 11 = 0"))
+    index.write(every.filter("doc_id % 7 = 0").withColumn("text", F.concat(F.lit("revised edition "), "text")), every.filter("doc_id % 11 = 0"))
+    index.write(every.limit(0), every.filter("doc_id % 11 = 0"))
+    return index
+
+
+def kept_up_search(spark, d):
+    return _kept_up_index(spark, d).search(questions(spark, d), TOP)
+
+
+KEPT_UP = "documents AS (SELECT doc_id, source, CASE WHEN doc_id % 7 = 0 THEN 'revised edition ' || text ELSE text END AS text FROM main.documents WHERE doc_id % 11 <> 0)"
+KEPT_UP_SEARCH = f"WITH {KEPT_UP}, {BM25} SELECT query_id, tenant, doc_id, 0 AS chunk_index, score, rank::INT AS rank FROM k WHERE rank <= {TOP}"
+
+
+def kept_up_stats(spark, d):
+    index = _kept_up_index(spark, d)
+    per = index.postings().groupBy("tenant").agg(F.count("*").alias("n_postings"), F.sum("tf").alias("n_words"))
+    terms = index.frequencies().groupBy("tenant").agg(F.count("*").alias("n_terms"), F.max("df").alias("max_df"))
+    return per.join(terms, "tenant").join(index.stats().select("tenant", "n", F.round("avgdl", 6).alias("avgdl")), "tenant")
+
+
+KEPT_UP_STATS = INDEX.replace("WITH c AS", f"WITH {KEPT_UP}, c AS")
+
+
+def vector_index_search(spark, d):
+    """The same queries as the exact search, against a partitioned index of all vectors."""
+    v = _vectors(spark, d)
+    index = VectorIndex.build(v, f"{scratch_dir(spark)}/{uuid.uuid4().hex}")
+    q = v.filter("doc_id % 20 = 0").select(F.col("doc_id").alias("query_id"), "tenant", "embedding")
+    return index.search(q, 10, probes=PROBES)
+
+
 def _question_vectors(spark, d):
     """A benchmark item's vector is the embedding with its number."""
     return table(spark, d, "embeddings").join(table(spark, d, "benchmark"), F.col("vec_id") == F.col("item_id")).select(F.col("item_id").alias("query_id"), F.lit("all").alias("tenant"), "embedding")
@@ -348,6 +398,10 @@ QUERIES = {
     "r_keyword_stemmed": (keyword_topk_stemmed, None),
     "r_keyword_scoped": (keyword_scoped, SCOPED),
     "r_vector_topk": (vector_topk, VECTOR),
+    "r_vector_index": (vector_index_search, None),
+    "r_index_search": (stored_index_search, KEYWORD),
+    "r_index_kept_up": (kept_up_stats, KEPT_UP_STATS),
+    "r_index_kept_up_search": (kept_up_search, KEPT_UP_SEARCH),
     "r_hybrid_search": (hybrid_search, HYBRID),
     "r_grades": (retrieval_grades, GRADES),
     "r_document_resolution": (document_resolution, None),

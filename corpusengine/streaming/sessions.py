@@ -54,14 +54,14 @@ def _decided(requests: DataFrame, flag: str) -> str:
 
 
 def cache_hits(requests: DataFrame, seconds: float = CACHE_SECONDS) -> DataFrame:
-    """``requests`` (key, request_id, ts) with ``hit``. A miss stores its answer for ``seconds`` from then; hits don't extend it."""
+    """``requests`` (key, request_id, ts) with ``hit``. A miss stores its answer for ``seconds`` from then; hits don't extend it. A request without a time is a miss that stores nothing."""
     life = pd.Timedelta(seconds=seconds)
 
     def walk(rows: Iterator[tuple]) -> Iterator[tuple]:
         until = None
         for key, request, t in rows:
-            hit = until is not None and t < until
-            until = until if hit else t + life
+            hit = None not in (until, t) and t < until
+            until = until if hit or t is None else t + life
             yield key, request, hit
 
     return walk_groups(requests.select("key", "request_id", "ts"), ["key"], ["ts", "request_id"], walk, _decided(requests, "hit"))
@@ -85,15 +85,15 @@ def clear_prefix(stores: DataFrame, prefix: str) -> DataFrame:
 
 
 def rate_limit(requests: DataFrame, most: int, seconds: float) -> DataFrame:
-    """``requests`` (key, request_id, ts) with ``allowed``: fewer than ``most`` accepted in the window before; rejected ones don't count."""
+    """``requests`` (key, request_id, ts) with ``allowed``: fewer than ``most`` accepted in the window before; rejected ones don't count. A request without a time is accepted and doesn't count."""
     window = pd.Timedelta(seconds=seconds)
 
     def walk(rows: Iterator[tuple]) -> Iterator[tuple]:
         taken: list = []
         for key, request, t in rows:
-            taken = [x for x in taken if x > t - window]
-            allowed = len(taken) < most
-            if allowed:
+            taken = taken if t is None else [x for x in taken if x > t - window]
+            allowed = t is None or len(taken) < most
+            if allowed and t is not None:
                 taken.append(t)
             yield key, request, allowed
 
