@@ -41,7 +41,6 @@ DOMAINS = ("good", "low", "toxic")
 #: Share of all tokens that each domain shall have.
 TARGETS = {"good": 0.90, "low": 0.08, "toxic": 0.02}
 WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
-SIGNS, CAPITALS = "!#$%&*+/<=>?@\\^_|~", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 N_BUCKETS = 1 << 18
 #: Least log-likelihood ratio of a word that tells domains apart: about what the best of as many chance words as there are buckets reaches.
 MIN_RATIO = 24.0
@@ -65,8 +64,9 @@ def features(text: Column) -> Column:
     size = F.length(body)
     distinct = F.array_distinct(words)
     traits = {
-        "signs": share(size - F.length(F.translate(body, SIGNS, "")), size),
-        "capitals": share(size - F.length(F.translate(body, CAPITALS, "")), size),
+        # what is neither in a word nor the blank after it
+        "signs": share(size - F.length(F.array_join(words, " ")), size),
+        "capitals": share(F.size(F.split(body, "[A-Z]")) - 1, size),
         "distinct": share(F.size(distinct), F.size(words)),
         "length": F.floor(F.log2(F.size(words) + 1.0)),
     }
