@@ -38,12 +38,14 @@ def vector_search(queries: DataFrame, vectors: DataFrame, k: int = 10) -> DataFr
     carries k rows a batch and query. With a ``document_id`` in both tables, a query that has
     one finds rows of that document only. Vectors that are null, of another dimension than
     most, without length or with an element that is no number are left out, and such queries
-    find nothing. Ids keep their types.
+    find nothing; so are rows and queries without an id. Ids keep their types.
     """
     dimension = dimension_of(vectors)
-    vectors, queries = (df.filter(usable(F.col("embedding"), dimension)) for df in (vectors, queries))
+    vectors, queries = (df.filter(usable(F.col("embedding"), dimension) & F.col(key).isNotNull()) for df, key in ((vectors, "doc_id"), (queries, "query_id")))
     if "document_id" not in queries.columns or "document_id" not in vectors.columns:
-        vectors, queries = (df.withColumn("document_id", F.lit(None).cast("long")) for df in (vectors, queries))
+        vectors, queries = (df.withColumn("document_id", F.lit(None).cast("string")) for df in (vectors, queries))
+    # compared as texts, since pandas turns whole numbers next to nulls into floats
+    vectors, queries = (df.withColumn("document_id", F.col("document_id").cast("string")) for df in (vectors, queries))
     blocks = _query_blocks(queries.select("query_id", "tenant", "document_id", unit(F.col("embedding")).alias("e")))
     kinds = f"query_id {queries.schema['query_id'].dataType.simpleString()}, doc_id {vectors.schema['doc_id'].dataType.simpleString()}, score double"
     block, found = next(blocks, []), None
@@ -66,7 +68,7 @@ def _query_blocks(queries: DataFrame) -> Iterator[list[tuple]]:
         if block and held + size > MAX_QUERY_BLOCK_MB * 1_000_000:
             yield block
             block, held = [], 0
-        block.append((r["query_id"], r["tenant"], np.array(r["e"], dtype=float), r["document_id"]))
+        block.append((r["query_id"], r["tenant"], np.array(r["e"], dtype=float), r.asDict().get("document_id")))
         held += size
     if block:
         yield block

@@ -9,8 +9,8 @@ the partitions of probed cells are read. With as many probes as cells the answer
 
 Defined results: vectors that are null, of another dimension than most, without length, or
 with an element that is null or no number are not indexed, and such queries find nothing;
-rows without a tenant are found by queries without one; ids may have any type that can be
-compared; a query with a ``document_id`` finds rows of that document only; repeated rows are
+nor are rows without an id, and queries without one find nothing; rows without a tenant are
+found by queries without one; ids may have any type that can be compared; a query with a ``document_id`` finds rows of that document only; repeated rows are
 found each; ties go to the smaller id. An empty table gives no hits.
 """
 
@@ -89,7 +89,7 @@ class VectorIndex:
     def build(vectors: DataFrame, path: str, cells: int | None = None) -> VectorIndex:
         """Writes ``vectors`` (doc_id, tenant, embedding, optional document_id) to ``path``; by default as many cells as the square root of the rows."""
         dimension = dimension_of(vectors)
-        good = vectors.filter(usable(F.col("embedding"), dimension))
+        good = vectors.filter(usable(F.col("embedding"), dimension) & F.col("doc_id").isNotNull())
         if "document_id" not in good.columns:
             good = good.withColumn("document_id", F.col("doc_id"))
         good = good.select("doc_id", "tenant", "document_id", "embedding")
@@ -117,7 +117,7 @@ class VectorIndex:
             return spark.createDataFrame([], schema + ", rank int")
         if "document_id" not in queries.columns:
             queries = queries.withColumn("document_id", F.lit(None).cast(kinds["document_id"]))
-        asked = queries.filter(usable(F.col("embedding"), self.dimension)).select("query_id", "tenant", "document_id", "embedding")
+        asked = queries.filter(usable(F.col("embedding"), self.dimension) & F.col("query_id").isNotNull()).select("query_id", "tenant", "document_id", "embedding")
         sent = nearest_cells(asked, self.centers, probes).withColumn("cell", F.explode("cells")).drop("cells")
         per_cell = {r["cell"]: r["count"] for r in sent.groupBy("cell").count().collect()}
         probed = sorted(c for c in per_cell if c in self.sizes)
@@ -139,14 +139,15 @@ class VectorIndex:
                 for i in range(len(ids)):
                     score = np.round(m @ e[i], 6)
                     allowed = own == tenants[i] if tenants[i] is not None else np.array([x is None for x in own])
-                    if not pd.isna(only[i]):
+                    if only[i] is not None:
                         allowed &= of == only[i]
                     some = np.flatnonzero(allowed)
                     top = some[np.lexsort((order[some], -score[some]))[:k]]
                     parts.append(pd.DataFrame({"query_id": np.repeat(ids[i : i + 1], len(top)), "doc_id": doc[top], "score": score[top]}))
             return pd.concat(parts) if parts else pd.DataFrame({"query_id": [], "doc_id": [], "score": []})
 
-        some = ["tenant", "document_id", "embedding"]
+        # documents are compared as texts, since pandas turns whole numbers next to nulls into floats
+        some = ["tenant", F.col("document_id").cast("string").alias("document_id"), "embedding"]
         found = sent.select("query_id", *some, *keys).groupBy(*keys).cogroup(stored.select("doc_id", *some, *keys).groupBy(*keys)).applyInPandas(best, schema)
         w = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
         return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)

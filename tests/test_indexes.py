@@ -106,6 +106,13 @@ def test_vector_search_of_one_document_and_of_nothing(spark, tmp_path):
     exact = vector_search(queries, table, 4)
     assert rows(index.search(queries, 4, probes=9)) == rows(exact)
     assert exact.filter("query_id % 2 = 0 and doc_id % 7 <> 3").count() == 0
+    # ids of 54 bits stay apart next to nulls, and rows without ids are left out
+    big = 9007199254740992
+    twins = spark.createDataFrame([(big + k, "a", [1.0, 0.1 * k], None if k == 3 else big + k) for k in range(4)] + [(None, "a", [1.0, 0.0], 1)], "doc_id long, tenant string, embedding array<double>, document_id long")
+    asked = spark.createDataFrame([(big + 1, "a", [1.0, 0.0], big + 1), (big + 2, "a", [1.0, 0.0], None), (None, "a", [1.0, 0.0], None)], "query_id long, tenant string, embedding array<double>, document_id long")
+    want = sorted([(big + 1, big + 1, 1)] + [(big + 2, big + k, k + 1) for k in range(3)])
+    for found in (vector_search(asked, twins, 3), VectorIndex.build(twins, str(tmp_path / "twins"), cells=2).search(asked, 3, probes=2)):
+        assert sorted((r["query_id"], r["doc_id"], r["rank"]) for r in found.collect()) == want
     empty = VectorIndex.build(table.limit(0), str(tmp_path / "none"))
     assert empty.search(queries, 4).count() == 0 and vector_search(queries, table.limit(0), 4).count() == 0 and vector_search(queries.limit(0), table, 4).count() == 0
 
