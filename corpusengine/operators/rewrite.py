@@ -42,12 +42,60 @@ def diverged(old: Column, new: Column, least: float = 0.4) -> Column:
     return sequence_ratio(F.lower(old), F.lower(new)) < least
 
 
+def prior_candidates(pairs: DataFrame, history: DataFrame, ratio: float = 0.35, margin: float = 0.10) -> DataFrame:
+    """(conv_id, words of a rewrite, words of a turn, least): what may be as alike as ``least``, by a prefix join.
+
+    Words are ordered by the number of the conversation's turns that hold them, rare ones
+    first. Sets of n and m words that share ``least`` of their union share a word among the
+    first n - ceil(least n) + 1 of the one and m - ceil(ratio m) + 1 of the other, differ in
+    length by that factor at most, and have enough words left from the first shared one on. A rewrite's ``least`` lies above its likeness to its own
+    question, so most need few of their words; equal word sets of a conversation meet once.
+    """
+    asked = _asked(pairs, ratio, margin).select("conv_id", "_new", "least").groupBy("conv_id", "_new").agg(F.min("least").alias("least"))
+    told = _told(history).select("conv_id", "_turn").distinct()
+    counts = told.select("conv_id", F.explode("_turn").alias("word")).groupBy("conv_id", "word").agg(F.count("*").alias("df"))
+
+    def prefixes(sets: DataFrame, words: str, least) -> DataFrame:
+        one = sets.select("*", F.explode(words).alias("word")).join(counts, ["conv_id", "word"], "left")
+        ranked = one.groupBy(*sets.columns).agg(F.sort_array(F.collect_list(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "word"))).alias("_by"))
+        n = F.size(words)
+        first = F.slice("_by", 1, (n - F.ceil(least * n - 1e-9) + 1).cast("int"))
+        return ranked.select(*sets.columns, F.posexplode(F.transform(first, lambda x: x["word"])).alias(f"{words}_at", "word"))
+
+    new, turn = prefixes(asked, "_new", F.col("least")), prefixes(told, "_turn", F.lit(ratio))
+    n, m = F.size("_new"), F.size("_turn")
+    fits = (m >= F.col("least") * n - 1e-9) & (n >= F.col("least") * m - 1e-9)
+    left = 1 + F.least(n - 1 - F.col("_new_at"), m - 1 - F.col("_turn_at"))
+    fits &= left >= F.col("least") / (1 + F.col("least")) * (n + m) - 1e-9
+    return new.join(turn, ["conv_id", "word"]).filter(fits).select("conv_id", "_new", "_turn", "least").distinct()
+
+
+def _asked(pairs: DataFrame, ratio: float, margin: float) -> DataFrame:
+    """Pairs with the sorted content words of their rewrite and the likeness that a turn must reach."""
+    new = F.array_sort(T.content_words(F.col("rewritten")))
+    own = T.overlap_ratio(F.col("_new"), T.content_words(F.col("original")))
+    asked = pairs.select("id", "conv_id", "at", "original", new.alias("_new")).withColumn("_own", own)
+    return asked.withColumn("least", F.greatest(F.lit(ratio), F.col("_own") + margin)).filter((F.size("_new") > 0) & (F.col("least") <= 1))
+
+
+def _told(history: DataFrame) -> DataFrame:
+    told = history.select("conv_id", "seq", "content", F.array_sort(T.content_words(F.col("content"))).alias("_turn"))
+    return told.filter(F.size("_turn") > 0)
+
+
 def prior_matches(pairs: DataFrame, history: DataFrame, ratio: float = 0.35, margin: float = 0.10) -> DataFrame:
-    """(id, prior): the first earlier turn that a rewrite resembles more than its own question."""
-    met = pairs.join(history, "conv_id").filter(F.col("seq") < F.col("at"))
-    own = T.overlap_ratio(T.content_words(F.col("rewritten")), T.content_words(F.col("original")))
-    like = T.overlap_ratio(T.content_words(F.col("rewritten")), T.content_words(F.col("content")))
-    return met.filter((like >= ratio) & (like > own + margin)).groupBy("id").agg(F.min_by("content", "seq").alias("prior"))
+    """(id, prior): the first earlier turn that a rewrite resembles more than its own question.
+
+    A set-similarity join within conversations: only pairs of word sets that
+    ``prior_candidates`` finds are compared. Of turns of one ``seq`` the smallest text counts;
+    pairs of one id are one. Nulls match nothing, texts without content words neither.
+    """
+    met = prior_candidates(pairs, history, ratio, margin)
+    alike = met.withColumn("_like", T.overlap_ratio(F.col("_new"), F.col("_turn"))).filter((F.col("_like") >= ratio)).drop("least")
+    # the turns that matter are few by now: each alike set's rows, earlier than the question
+    found = _asked(pairs, ratio, margin).join(alike, ["conv_id", "_new"]).filter(F.col("_like") > F.col("_own") + margin)
+    found = found.join(_told(history), ["conv_id", "_turn"]).filter(F.col("seq") < F.col("at"))
+    return found.groupBy("id").agg(F.min(F.struct("seq", "content"))["content"].alias("prior"))
 
 
 def gate(pairs: DataFrame, history: DataFrame | None = None) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from corpusengine.functions import text as T
 from corpusengine.operators import context as X
 from corpusengine.operators import evaluate as M
 from corpusengine.operators import rewrite as P
@@ -34,6 +35,15 @@ def evicted(spark, d):
 EVICTED = f"SELECT conv_id, '(unsummarized excerpt) ' || string_agg(role || ': ' || substr(text, 1, 100), '; ' ORDER BY turn) AS summary, count(*) AS n_evicted FROM ({BACK}) WHERE NOT (back = 1 OR (back <= 10 AND s <= 1200)) GROUP BY conv_id"
 
 
+def eviction_steps(spark, d):
+    return D.eviction_log(conversations(spark, d))
+
+
+STEPS = f"""WITH m AS (SELECT *, {TOK} AS k, row_number() OVER w AS n, sum({TOK}) OVER (w ROWS UNBOUNDED PRECEDING) AS s FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn, role, text)),
+e AS (SELECT a.conv_id, a.turn, a.role, a.text, min_by(b.turn, b.n) AS evicted_at FROM m a JOIN m b ON a.conv_id = b.conv_id AND b.n > a.n AND (b.n - a.n >= 10 OR b.s - a.s + a.k > 1200) GROUP BY a.conv_id, a.n, a.turn, a.role, a.text)
+SELECT conv_id, evicted_at, '(unsummarized excerpt) ' || string_agg(role || ': ' || substr(text, 1, 100), '; ' ORDER BY turn, role, text) AS summary, count(*) AS n_evicted FROM e GROUP BY conv_id, evicted_at"""
+
+
 def history(spark, d):
     return X.history_text(conversations(spark, d), 300)
 
@@ -178,6 +188,27 @@ def rewrite_verdicts(spark, d):
     return P.gate(_pairs(spark, d), h).groupBy("reject_reason").agg(F.count("*").alias("n"))
 
 
+def prior_turns(spark, d):
+    """Each question's next one held against all turns before it; its likeness counts from 0.1 on, as free prose shares few words."""
+    h = conversations(spark, d).filter("role <> 'system'").select("conv_id", F.col("turn").alias("seq"), F.col("text").alias("content"))
+    return P.prior_matches(_pairs(spark, d), h, ratio=0.1, margin=0.02)
+
+
+def _content(text):
+    stop = ", ".join(f"'{w}'" for w in T.STOPWORDS)
+    return f"list_distinct(list_filter(regexp_extract_all(lower(coalesce({text}, '')), '[a-z0-9]+'), lambda x: x NOT IN ({stop})))"
+
+
+def _like(a, b):
+    return f"CASE WHEN len({a}) = 0 OR len({b}) = 0 THEN 0.0::DOUBLE ELSE len(list_intersect({a}, {b}))::DOUBLE / len(list_distinct(list_concat({a}, {b}))) END"
+
+
+PRIOR = f"""WITH p AS (SELECT u.conv_id * 1000 + u.turn AS id, u.conv_id, u.turn AS at, {_content("n.text")} AS r, {_content("u.text")} AS o FROM conversations u JOIN conversations n ON n.conv_id = u.conv_id AND n.turn = u.turn + 2 AND n.role = 'user' WHERE u.role = 'user'),
+h AS (SELECT conv_id, turn AS seq, text AS content, {_content("text")} AS c FROM conversations WHERE role <> 'system'),
+m AS (SELECT id, seq, content, {_like("r", "c")} AS alike, {_like("r", "o")} AS own FROM p JOIN h ON p.conv_id = h.conv_id AND h.seq < p.at)
+SELECT id, arg_min(content, (seq, content)) AS prior FROM m WHERE alike >= 0.1::DOUBLE AND alike > own + 0.02::DOUBLE GROUP BY id"""
+
+
 def answer_grounding(spark, d):
     """Each assistant turn checked against the question that it answers."""
     c = conversations(spark, d)
@@ -214,6 +245,7 @@ CHANGES = "WITH e AS (SELECT *, CASE WHEN event_type = 'click' THEN 'retrieval'
 QUERIES = {
     "d_bounded_memory": (bounded_memory, MEMORY),
     "d_evicted": (evicted, EVICTED),
+    "d_eviction_steps": (eviction_steps, STEPS),
     "d_user_sessions": (user_sessions, SESSIONS),
     "d_query_cache": (query_cache, CACHE),
     "d_rate_limits": (rate_limits, RATES),
@@ -229,6 +261,7 @@ QUERIES = {
     "k_preferences": (preferences, PREFS),
     "p_rewrite_gates": (rewrite_gates, REWRITE),
     "p_rewrite_verdicts": (rewrite_verdicts, None),
+    "p_prior_turns": (prior_turns, PRIOR),
     "v_answer_checks": (answer_grounding, None),
     "v_grounding_score": (answer_grounding_score, GROUND),
     "v_retry_decisions": (change_flags, CHANGES),

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import Any
 
 import pandas as pd
@@ -11,11 +11,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from corpusengine.functions.text import estimate_tokens
+from corpusengine.operators.hooks import call_rows
 from corpusengine.operators.ordered import walk_groups
 
 MAX_MESSAGES, MAX_TOKENS = 10, 1200
 CACHE_SECONDS = 3600
 SESSION = "24 hours"
+SESSION_MICROS = 24 * 3600 * 1_000_000
 
 
 def bounded_memory(messages: DataFrame, key: str = "conv_id", order: str = "turn", text: str = "text") -> DataFrame:
@@ -34,6 +36,43 @@ def evicted_summary(messages: DataFrame, key: str = "conv_id", order: str = "tur
     return gone.groupBy(key).agg(F.concat(F.lit("(unsummarized excerpt) "), F.array_join(parts, "; ")).alias("summary"), F.count("*").alias("n_evicted"))
 
 
+def evictions(messages: DataFrame, key: str = "conv_id", order: str = "turn", text: str = "text") -> DataFrame:
+    """Messages that fall out of memory, with ``evicted_at``: the ``order`` of the message whose coming pushes them out.
+
+    A message goes with the first later one that makes more than MAX_MESSAGES from it on, or
+    more than MAX_TOKENS; as that one stays, only the next MAX_MESSAGES rows can be it. So the
+    step comes from running sums in one window of bounded reach. Rows of equal ``order`` come
+    by role and text; rows without a key are one conversation.
+    """
+    w = Window.partitionBy(key).orderBy(order, "role", text)
+    df = messages.withColumn("_sum", F.sum(estimate_tokens(F.col(text))).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    df = df.withColumn("_before", F.col("_sum") - estimate_tokens(F.col(text)))
+    df = df.withColumn("_next", F.collect_list(F.struct(F.col(order).alias("o"), F.col("_sum").alias("s"))).over(w.rowsBetween(1, MAX_MESSAGES)))
+    over = F.filter("_next", lambda x: x["s"] - F.col("_before") > MAX_TOKENS)
+    step = F.coalesce(F.get(over, F.lit(0)), F.get("_next", F.lit(MAX_MESSAGES - 1)))
+    return df.withColumn("_step", step).filter("_step is not null").withColumn("evicted_at", F.col("_step")["o"]).drop("_sum", "_before", "_next", "_step")
+
+
+def eviction_log(messages: DataFrame, summarize: Callable[[list[list[str]]], list[str]] | None = None, key: str = "conv_id", order: str = "turn", text: str = "text") -> DataFrame:
+    """One row per step that evicts: key, ``evicted_at``, ``summary``, ``n_evicted`` and, with ``summarize``, ``error``.
+
+    The fallback summary is an excerpt of what goes, in its order. ``summarize`` is asked for
+    many steps in one call, each a list of "role: text" lines; a step that it fails on keeps
+    the excerpt, and the failure in ``error``. A step evicts MAX_MESSAGES messages at most.
+    """
+    line = lambda x, most: F.concat_ws(": ", x["r"], x["t"] if most is None else F.substring(x["t"], 1, most))
+    gone = evictions(messages, key, order, text)
+    # nulls in a struct keep their rows; collect_list drops only null elements
+    held = F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), F.col("role").alias("r"), F.col(text).alias("t"))))
+    steps = gone.groupBy(key, "evicted_at").agg(held.alias("_held"))
+    excerpt = F.concat(F.lit("(unsummarized excerpt) "), F.array_join(F.transform("_held", lambda x: line(x, 100)), "; "))
+    steps = steps.withColumns({"summary": excerpt, "n_evicted": F.size("_held").cast("long")})
+    if summarize is None:
+        return steps.drop("_held")
+    asked = call_rows(steps.withColumn("_held", F.transform("_held", lambda x: line(x, None))), summarize, ["_held"], "_said")
+    return asked.withColumn("summary", F.coalesce("_said", "summary")).drop("_held", "_said")
+
+
 def sessions(events: DataFrame, key: str, ts: str = "ts") -> DataFrame:
     """Sessions that end a day after their last event; works on streams with a watermark."""
     return events.groupBy(key, F.session_window(ts, SESSION).alias("s")).agg(F.count("*").alias("n")).select(key, F.col("s.start").alias("started"), F.col("s.end").alias("expires"), "n")
@@ -167,31 +206,122 @@ class QueryCache(StatefulProcessor):
 
 
 class SessionMemory(StatefulProcessor):
-    """Streaming bounded memory per conversation over (conv_id, turn, role, text): emits what each batch evicts."""
+    """Streaming bounded memory per conversation over (conv_id, turn, role, text): emits what each batch evicts.
 
-    def __init__(self, ttl_ms: int | None = None):
-        self.ttl_ms = ttl_ms
+    With ``expires``, rows have ``us`` too, their event time in microseconds, and the stream
+    runs in event time: a conversation's memory ends ``expires`` microseconds after its last
+    message, by a timer when the watermark passes, or when a message comes that much later.
+    What ends so is not an eviction.
+    """
+
+    def __init__(self, ttl_ms: int | None = None, expires: int | None = None):
+        self.ttl_ms, self.expires = ttl_ms, expires
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
         self.held = handle.getListState("held", "turn long, role string, text string", ttlDurationMs=self.ttl_ms)
+        if self.expires:
+            self.last = handle.getValueState("last", "us long")
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
         held, gone = [tuple(r) for r in self.held.get()], []
+        last = self.last.get()[0] if self.expires and self.last.exists() else None
         size = lambda m: max(1, len(m[2]) // 4) if m[2] else 0
         for m in pd.concat(list(rows)).sort_values("turn").itertuples():
+            if self.expires:
+                held = [] if last is not None and m.us > last + self.expires else held
+                last = m.us if last is None else max(last, m.us)
             held.append((int(m.turn), m.role, m.text))
             while len(held) > 1 and (len(held) > MAX_MESSAGES or sum(map(size, held)) > MAX_TOKENS):
                 gone.append(held.pop(0))
         self.held.put(held)
-        yield pd.DataFrame({"conv_id": key[0], "turn": pd.Series([g[0] for g in gone], dtype="int64"), "role": [g[1] for g in gone]})
+        if self.expires:
+            self.last.update((int(last),))
+            set_timer(self.handle, last + self.expires)
+        if gone:
+            yield pd.DataFrame({"conv_id": key[0], "turn": pd.Series([g[0] for g in gone], dtype="int64"), "role": pd.Series([g[1] for g in gone], dtype=object)})
+
+    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
+        self.held.clear()
+        self.last.clear()
+        return iter([])
 
     def close(self) -> None:
         pass
 
 
-def stream(requests: DataFrame, key: str, processor: StatefulProcessor, schema: str, mode: str = "append") -> DataFrame:
+class SessionClock(StatefulProcessor):
+    """Sessions in event time per key over (key, ts, us): each is emitted once, when the watermark passes its end, and its state goes.
+
+    Rows may come in any order within the watermark's delay: several sessions of a key can be
+    open and grow together. State is three numbers an open session, whatever its events.
+    """
+
+    def __init__(self, gap: int = SESSION_MICROS):
+        self.gap, self.ttl_ms = gap, None
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.open = handle.getListState("open", "started long, last long, n long")
+
+    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
+        spans = [tuple(r) for r in self.open.get()]
+        for df in rows:
+            counts = df["us"].value_counts()
+            spans = self.joined(spans + [(int(t), int(t), int(n)) for t, n in counts.items()])
+        self.open.put(spans)
+        set_timer(self.handle, min(last for _, last, _ in spans) + self.gap)
+        return iter([])
+
+    def joined(self, spans: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+        out: list[tuple[int, int, int]] = []
+        for started, last, n in sorted(spans):
+            if out and started <= out[-1][1] + self.gap:
+                out[-1] = (out[-1][0], max(out[-1][1], last), out[-1][2] + n)
+            else:
+                out.append((started, last, n))
+        return out
+
+    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
+        now = timerValues.getCurrentWatermarkInMs() * 1000
+        spans = [tuple(r) for r in self.open.get()]
+        over, left = [s for s in spans if s[1] + self.gap <= now], [s for s in spans if s[1] + self.gap > now]
+        if left:
+            self.open.put(left)
+            set_timer(self.handle, min(last for _, last, _ in left) + self.gap)
+        else:
+            self.open.clear()
+        if over:
+            yield pd.DataFrame({"key": key[0], "started": pd.Series([s[0] for s in over], dtype="int64"), "last": pd.Series([s[1] for s in over], dtype="int64"), "n": pd.Series([s[2] for s in over], dtype="int64")})
+
+    def close(self) -> None:
+        pass
+
+
+def set_timer(handle: StatefulProcessorHandle, micros: int) -> None:
+    """The key's only event-time timer, at the millisecond in which ``micros`` has passed."""
+    for at in list(handle.listTimers()):
+        handle.deleteTimer(at)
+    handle.registerTimer(-(-int(micros) // 1000))
+
+
+def session_stream(events: DataFrame, key: str, ts: str = "ts", delay: str = "1 hour", gap: int = SESSION_MICROS) -> DataFrame:
+    """The rows of ``sessions`` from a stream, each once its end is ``delay`` behind the newest event.
+
+    A row no newer than the watermark is late and is left out, as is one without a time.
+    """
+    kind = events.schema[key].dataType.simpleString()
+    timed = events.filter(F.col(ts).isNotNull()).select(F.col(key).alias("key"), F.col(ts).cast("timestamp").alias("ts")).withWatermark("ts", delay)
+    timed = timed.withColumn("us", F.unix_micros("ts"))
+    out = stream(timed, "key", SessionClock(gap), f"key {kind}, started long, last long, n long", event_time=True)
+    return out.select(F.col("key").alias(key), F.timestamp_micros("started").alias("started"), F.timestamp_micros(F.col("last") + gap).alias("expires"), "n")
+
+
+def stream(requests: DataFrame, key: str, processor: StatefulProcessor, schema: str, mode: str = "append", event_time: bool = False) -> DataFrame:
     """A stateful operator on a stream; state is kept per key in the checkpoint, which survives lost executors.
 
-    With a processor's ``ttl_ms`` the state of idle keys ends by processing time; decisions follow event time.
+    With a processor's ``ttl_ms`` the state of idle keys ends by processing time; decisions
+    follow event time. With ``event_time`` the requests need a watermark, and timers end state.
     """
-    return requests.groupBy(key).transformWithStateInPandas(processor, schema, mode, "ProcessingTime" if processor.ttl_ms else "none")
+    clock = "EventTime" if event_time else "ProcessingTime" if processor.ttl_ms else "none"
+    return requests.groupBy(key).transformWithStateInPandas(processor, schema, mode, clock)

@@ -200,3 +200,52 @@ def test_vector_search_answers_any_number_of_queries(spark, monkeypatch):
     assert [len(b) for b in retrieval._query_blocks(queries.select("query_id", "tenant", retrieval.unit(F.col("embedding")).alias("e")))] == [25, 25, 10]
     assert {tuple(x) for x in retrieval.vector_search(queries, vectors, 3).collect()} == whole and len(whole) == 180
     assert retrieval.vector_search(queries.limit(0), vectors, 3).count() == 0
+
+
+def test_prior_turns_equal_comparing_all_and_meet_few(spark):
+    from corpusengine.functions import text as T
+    from corpusengine.operators import rewrite
+
+    rng = random.Random(11)
+    # words of a Zipf-like spread; a third of the rewrites repeat most of an earlier turn
+    words = [f"w{int(rng.paretovariate(0.7)) % 400}" for _ in range(4000)]
+    say = lambda k: " ".join(rng.sample(words, k))
+    turns = [(c, t, rng.choice([None, "", "the of"]) if rng.random() < 0.05 else say(rng.randrange(3, 18))) for c in range(3) for t in range(150)] + [(0, 7, "aaa bbb"), (0, 7, "bbb aaa"), (None, 1, "aaa bbb")]
+    pairs = []
+    for k in range(240):
+        c, at = rng.randrange(3), rng.randrange(150)
+        said = [x for a, t, x in turns if a == c and t < at and x]
+        new = " ".join(rng.choice(said).split()[1:] + ["more"]) if said and k % 3 == 0 else say(6)
+        pairs.append((k, c, at, say(6) if k % 4 else new, new))
+    pairs += [(300, 0, 20, "ccc", "aaa bbb"), (301, 0, 20, None, None), (302, None, 20, "ccc", "aaa bbb"), (303, 0, 20, "aaa bbb", "aaa bbb"), (304, 0, 20, "ccc", "of the")]
+    p = spark.createDataFrame(pairs, "id long, conv_id long, at long, original string, rewritten string")
+    h = spark.createDataFrame(turns, "conv_id long, seq long, content string")
+    got = {tuple(r) for r in rewrite.prior_matches(p, h).collect()}
+    own = T.overlap_ratio(T.content_words(F.col("rewritten")), T.content_words(F.col("original")))
+    like = T.overlap_ratio(T.content_words(F.col("rewritten")), T.content_words(F.col("content")))
+    every = p.join(h, "conv_id").filter("seq < at")
+    want = {tuple(r) for r in every.filter((like >= 0.35) & (like > own + 0.10)).groupBy("id").agg(F.min(F.struct("seq", "content"))["content"].alias("prior")).collect()}
+    assert got == want and len(got) > 40 and (300, "aaa bbb") in got and not {301, 302, 303, 304} & {i for i, _ in got}
+    # candidates don't know of turns' places, so they stand against all turns of the conversation
+    assert rewrite.prior_candidates(p, h).count() < 0.2 * p.join(h, "conv_id").count()
+    assert rewrite.prior_matches(p, h.limit(0)).count() == rewrite.prior_matches(p.limit(0), h).count() == 0
+
+
+def test_a_failing_row_costs_that_row_only(spark):
+    from corpusengine.operators.hooks import call_rows
+
+    rows = spark.createDataFrame([(2**53 + 1, "a", "x"), (None, "b", "x"), (3, "bad", "x"), (4, None, "x")], "id long, text string, error string").coalesce(1)
+    calls = spark.sparkContext.accumulator(0)
+
+    def judge(texts):
+        calls.add(1)
+        if "bad" in texts:
+            raise ValueError("no verdict")
+        return [None if t is None else float(len(t)) for t in texts]
+
+    got = call_rows(rows, judge, ["text"], "score", "double", tries=3).collect()
+    assert [(r["id"], r["text"], r["score"]) for r in got] == [(2**53 + 1, "a", 1.0), (None, "b", 1.0), (3, "bad", None), (4, None, None)]
+    assert [r["error"] for r in got] == [None, None, "ValueError('no verdict')", None] and calls.value == 1 + 1 + 1 + 3 + 1
+    assert call_rows(rows, lambda t: t[:1], ["text"], "said").filter("error is null").count() == 4
+    assert call_rows(rows, lambda t: [object()] * len(t), ["text"], "said").filter("error is not null and said is null").count() == 4
+    assert call_rows(rows.limit(0), judge, ["text"], "score", "double").count() == 0
