@@ -75,6 +75,11 @@ def confidence(base: Column, has_docs: Column, mean_score: Column, tool_only: Co
     return F.when(grounded, value).otherwise(F.least(value, F.lit(0.3)))
 
 
+def final_confidence(value: Column, base: Column, usable: Column, factor: float = 0.3) -> Column:
+    """``value``, or where no document and no tool result is usable, ``factor`` of the plan's confidence."""
+    return F.when(F.coalesce(usable, F.lit(False)), value).otherwise(base * factor)
+
+
 def tool_line(kind: Column, name: Column, n: Column, value: Column, error: Column) -> Column:
     """One line per tool result, null when it failed or is empty."""
     return F.when(error.isNotNull(), None).when(kind == "database", F.format_string("[Database Result] %s: %d record(s).", name, n)).when(kind == "calculator", F.concat(F.lit("[Calculator Result] "), value)).when(value != "", F.concat(F.lit("["), F.initcap(kind), F.lit(" Result] "), value))

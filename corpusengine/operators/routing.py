@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusengine.functions.text import first_true
+from corpusengine.operators.retrieval import match_titles
 
 
 class Rule(NamedTuple):
@@ -66,20 +67,35 @@ def fits(rule: Rule, question: Column) -> Column:
     return F.coalesce(out, F.lit(False))
 
 
-def route(questions: DataFrame, rules=RULES, question: str = "question", fallback=FALLBACK, after_active=AFTER_ACTIVE, active: str | None = None) -> DataFrame:
+def route(questions: DataFrame, rules=RULES, question: str = "question", fallback=FALLBACK, after_active=AFTER_ACTIVE, active: str | None = None, title: str | None = None, titles_after: str = "document") -> DataFrame:
     """``questions`` with rule, source and confidence of the first rule that fits.
 
     Then the fallback's; then documents, where the column ``active`` says that the tenant has
-    some; then ``after_active``; else documents by default.
+    some; then ``after_active``; else documents by default. Where the column ``title`` names
+    a document of the tenant (``with_titles``), documents are asked right after the rule
+    ``titles_after``, at the front in a table without that rule.
     """
     q = F.col(question)
     of = lambda name, source, c: F.struct(F.lit(name).alias("rule"), F.lit(source).alias("source"), F.lit(c).alias("confidence"))
     row = lambda r: (fits(r, q), of(r.name, r.source, r.confidence))
     has = [] if active is None else [(F.coalesce(F.col(active), F.lit(False)), of("active_documents", "documents", 0.5))]
-    picked = first_true([*map(row, rules), *map(row, fallback), *has, *map(row, after_active)], None)
+    table = list(map(row, rules))
+    if title is not None:
+        at = next((k + 1 for k, r in enumerate(rules) if r.name == titles_after), 0)
+        table.insert(at, (F.col(title).isNotNull(), of("title_match", "documents", 0.95)))
+    picked = first_true([*table, *map(row, fallback), *has, *map(row, after_active)], None)
     return questions.withColumn("_r", F.coalesce(picked, of("default", "documents", 0.5))).select("*", "_r.*").drop("_r")
 
 
+def with_titles(questions: DataFrame, labels: DataFrame) -> DataFrame:
+    """``questions`` (query_id, tenant, question) with ``title``: the tenant's first label that the question names, else null.
+
+    ``labels`` (tenant, label, ord) are those of ``recent_labels``, at most 20 a tenant; every
+    row of a repeated ``query_id`` gets the id's first label.
+    """
+    return questions.drop("title").join(match_titles(questions, labels).withColumnRenamed("label", "title"), "query_id", "left")
+
+
 def has_arithmetic(question: Column) -> Column:
     """An operation word and two numbers."""
     return question.rlike(r"(?i)\b(add|sum|plus|minus|subtract|multiply|times|divide|average|difference|total)\b") & (F.size(F.regexp_extract_all(question, F.lit(r"(\d+(?:\.\d+)?)"), F.lit(1))) >= 2)

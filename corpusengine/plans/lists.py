@@ -11,7 +11,8 @@ from corpusengine.operators import chunking as C
 from corpusengine.operators import context as X
 from corpusengine.operators import index as I
 from corpusengine.operators import retrieval as R
-from corpusengine.plans import corpus
+from corpusengine.operators import routing as Q
+from corpusengine.plans import corpus, judged
 from corpusengine.sources import files as S
 from corpusengine.sources import maintenance as K
 from corpusengine.sources import tables as G
@@ -140,6 +141,29 @@ TITLES = f"""WITH {LABELS}, q AS (SELECT p_brand AS tenant, p_partkey AS query_i
 SELECT query_id, min_by(label, ord) AS label FROM (SELECT query_id, label, ord, list_intersect(q.w, x.w) AS b FROM q JOIN x USING (tenant)) WHERE len(b) >= 2 AND len(list_filter(b, lambda t: length(t) >= 4)) > 0 GROUP BY query_id"""
 
 
+ASKS = ("is the {} in stock", "weather in Paris about {}", "list the users of {}", "explain {}", "is {} in my document", "latest news today")
+
+
+def title_routes(spark, d):
+    """Routes of questions that name, or don't name, a document of their tenant, on the table of titles."""
+    k = F.col("p_partkey")
+    asks = F.get(F.array(*map(F.lit, ASKS)), (k % len(ASKS)).cast("int"))
+    asked = table(spark, d, "part").select(F.col("p_brand").alias("tenant"), k.alias("query_id"), F.replace(asks, F.lit("{}"), F.col("p_name")).alias("question"))
+    found = Q.with_titles(asked, R.recent_labels(_registry(spark, d)))
+    return Q.route(found, title="title").select("query_id", "title", "rule", "source", "confidence")
+
+
+def _title_routes() -> str:
+    rules = [(judged._fits(r), r.name, r.source, r.confidence) for r in (*Q.RULES, *Q.FALLBACK, *Q.AFTER_ACTIVE)]
+    rules.insert([r[1] for r in rules].index("document") + 1, ("title IS NOT NULL", "title_match", "documents", 0.95))
+    pick = lambda k, default: "CASE " + " ".join(f"WHEN {x[0]} THEN {x[k] if k == 3 else judged.quoted(x[k])}" for x in rules) + f" ELSE {default} END"
+    asks = "[" + ", ".join(judged.quoted(a) for a in ASKS) + "]"
+    return f"""WITH {LABELS}, q0 AS (SELECT p_brand AS tenant, p_partkey AS query_id, replace({asks}[p_partkey % {len(ASKS)} + 1], '{{}}', p_name) AS q FROM part), q1 AS (SELECT *, {corpus._cw("q")} AS w FROM q0), x AS (SELECT tenant, label, ord, {corpus._cw("label")} AS w FROM rl),
+t AS (SELECT query_id, min_by(label, ord) AS title FROM (SELECT query_id, label, ord, list_intersect(q1.w, x.w) AS b FROM q1 JOIN x USING (tenant)) WHERE len(b) >= 2 AND len(list_filter(b, lambda t: length(t) >= 4)) > 0 GROUP BY query_id),
+m AS (SELECT q0.query_id, q, title FROM q0 LEFT JOIN t USING (query_id))
+SELECT query_id, title, {pick(1, "'default'")} AS rule, {pick(2, "'documents'")} AS source, ({pick(3, "0.5")})::DOUBLE AS confidence FROM m"""
+
+
 def latest_metadata(spark, d):
     return R.latest_metadata(_registry(spark, d))
 
@@ -218,11 +242,11 @@ def answer_states(spark, d):
     docs, web, routed, tool = k % 2 == 0, F.col("o_orderstatus") == "F", k % 3 == 0, k % 5 == 0
     c = X.confidence(F.col("o_totalprice") / 700000, docs, F.col("o_custkey") % 100 / 100, tool, F.col("o_orderpriority") != "5-LOW")
     authors = F.when(tool, F.array(F.lit("A"), F.col("o_orderstatus"))).otherwise(F.array().cast("array<string>"))
-    return o.select("o_orderkey", X.sufficiency(docs, web, routed).alias("evidence"), F.round(c, 9).alias("confidence"), X.metadata_text(F.col("o_orderpriority"), authors, F.array(F.lit("U"))).alias("metadata"))
+    return o.select("o_orderkey", X.sufficiency(docs, web, routed).alias("evidence"), F.round(c, 9).alias("confidence"), F.round(X.final_confidence(c, F.col("o_totalprice") / 700000, docs | tool), 9).alias("final_confidence"), X.metadata_text(F.col("o_orderpriority"), authors, F.array(F.lit("U"))).alias("metadata"))
 
 
 STATES = r"""SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN CASE WHEN o_orderstatus = 'F' THEN 'documents only, web failed' ELSE 'enough' END WHEN o_orderkey % 3 = 0 THEN CASE WHEN o_orderstatus = 'F' THEN 'nothing found, web failed' ELSE 'nothing found in documents' END WHEN o_orderstatus = 'F' THEN 'web failed' ELSE 'no evidence needed' END AS evidence,
-round(CASE WHEN o_orderpriority = '5-LOW' THEN least(c, 0.3) ELSE c END, 9) AS confidence, 'Title: ' || o_orderpriority || CASE WHEN o_orderkey % 5 = 0 THEN chr(10) || 'Authors: A, ' || o_orderstatus ELSE '' END || chr(10) || 'Affiliations: U' AS metadata
+round(CASE WHEN o_orderpriority = '5-LOW' THEN least(c, 0.3) ELSE c END, 9) AS confidence, round(CASE WHEN o_orderkey % 2 <> 0 AND o_orderkey % 5 <> 0 THEN o_totalprice / 700000 * 0.3::DOUBLE WHEN o_orderpriority = '5-LOW' THEN least(c, 0.3) ELSE c END, 9) AS final_confidence, 'Title: ' || o_orderpriority || CASE WHEN o_orderkey % 5 = 0 THEN chr(10) || 'Authors: A, ' || o_orderstatus ELSE '' END || chr(10) || 'Affiliations: U' AS metadata
 FROM (SELECT *, CASE WHEN o_orderkey % 2 = 0 THEN least(1.0::DOUBLE, 0.5 * o_totalprice / 700000 + 0.5 * (o_custkey % 100 / 100)) WHEN o_orderkey % 5 = 0 THEN greatest(o_totalprice / 700000, 0.85) ELSE o_totalprice / 700000 END AS c FROM orders)"""
 
 # --- text ---------------------------------------------------------------------------------
@@ -439,6 +463,7 @@ QUERIES = {
     "r_admitted_queries": (admitted_queries, ADMITTED),
     "r_recent_labels": (recent_labels, RECENT),
     "r_title_matches": (title_matches, TITLES),
+    "q_title_routes": (title_routes, _title_routes()),
     "r_latest_metadata": (latest_metadata, METADATA),
     "r_messages": (found_messages, MESSAGES),
     "x_source_cards": (source_cards, CARDS),
