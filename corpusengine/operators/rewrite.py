@@ -7,11 +7,16 @@ from pyspark.sql import functions as F
 
 from corpusengine.functions import text as T
 from corpusengine.functions.similarity import sequence_ratio
+from corpusengine.session import materialize
 
 # Technology names that a rewrite must not add.
 TECH = r"\b(sql|postgresql|postgres|mysql|mongodb|nosql|redis|graphql|sqlite|oracle|mariadb|cassandra|dynamodb|firebase|supabase)\b"
 
 
+#: Hash buckets in which words are counted to order them by rarity; a bound of what goes to the driver.
+RARITY = 4096
+
+
 def unusable(new: Column) -> Column:
     t = F.lower(F.trim(F.coalesce(new, F.lit(""))))
     return (F.length(t) < 3) | t.rlike("^(rules:|system:|i cannot|i can't)")
@@ -42,45 +47,47 @@ def diverged(old: Column, new: Column, least: float = 0.4) -> Column:
     return sequence_ratio(F.lower(old), F.lower(new)) < least
 
 
-def prior_candidates(pairs: DataFrame, history: DataFrame, ratio: float = 0.35, margin: float = 0.10) -> DataFrame:
-    """(conv_id, words of a rewrite, words of a turn, least): what may be as alike as ``least``, by a prefix join.
+def prior_candidates(asked: DataFrame, told: DataFrame, ratio: float = 0.35) -> DataFrame:
+    """(conv_id, new_key, turn_key) of ``asked_words`` and ``told_words`` that may be as alike as ``least``, by a prefix join.
 
-    Words are ordered by the number of the conversation's turns that hold them, rare ones
-    first. Sets of n and m words that share ``least`` of their union share a word among the
-    first n - ceil(least n) + 1 of the one and m - ceil(ratio m) + 1 of the other, differ in
-    length by that factor at most, and have enough words left from the first shared one on. A rewrite's ``least`` lies above its likeness to its own
-    question, so most need few of their words; equal word sets of a conversation meet once.
+    Words are put in an order by the number of turns that hold them, rare ones first, counted
+    in RARITY buckets of their hash, so that the order needs no join. Sets of n and m words
+    that share ``least`` of their union share a word among the first n - ceil(least n) + 1 of
+    the one and m - ceil(ratio m) + 1 of the other, differ in length by that factor at most,
+    and have enough words left from the first shared one on. A rewrite's ``least`` lies above
+    its likeness to its own question, so most need few of their words. Words and sets go by
+    their hashes: equal ones may make a candidate more, never one less.
     """
-    asked = _asked(pairs, ratio, margin).select("conv_id", "_new", "least").groupBy("conv_id", "_new").agg(F.min("least").alias("least"))
-    told = _told(history).select("conv_id", "_turn").distinct()
-    counts = told.select("conv_id", F.explode("_turn").alias("word")).groupBy("conv_id", "word").agg(F.count("*").alias("df"))
+    bucket = lambda w: F.pmod(F.xxhash64(w), F.lit(RARITY)).cast("int")
+    found = dict(told.select(F.explode("turn_words").alias("w")).groupBy(bucket("w").alias("b")).count().collect())
+    rarity = F.split(F.lit(",".join(str(found.get(b, 0)) for b in range(RARITY))), ",").cast("array<bigint>")
 
-    def prefixes(sets: DataFrame, words: str, least) -> DataFrame:
-        one = sets.select("*", F.explode(words).alias("word")).join(counts, ["conv_id", "word"], "left")
-        ranked = one.groupBy(*sets.columns).agg(F.sort_array(F.collect_list(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "word"))).alias("_by"))
-        n = F.size(words)
-        first = F.slice("_by", 1, (n - F.ceil(least * n - 1e-9) + 1).cast("int"))
-        return ranked.select(*sets.columns, F.posexplode(F.transform(first, lambda x: x["word"])).alias(f"{words}_at", "word"))
+    def prefixes(sets: DataFrame, name: str, least: Column) -> DataFrame:
+        n = F.size(f"{name}_words")
+        order = F.array_sort(F.transform(f"{name}_words", lambda w: F.struct(F.get(rarity, bucket(w)).alias("df"), w.alias("w"))))
+        first = F.slice(order, 1, (n - F.ceil(least * n - 1e-9) + 1).cast("int"))
+        kept = [c for c in ("conv_id", f"{name}_key", "least") if c in sets.columns]
+        return sets.select(*kept, n.alias(f"{name}_n"), F.posexplode(F.transform(first, lambda x: F.xxhash64(x["w"]))).alias(f"{name}_at", "word"))
 
-    new, turn = prefixes(asked, "_new", F.col("least")), prefixes(told, "_turn", F.lit(ratio))
-    n, m = F.size("_new"), F.size("_turn")
-    fits = (m >= F.col("least") * n - 1e-9) & (n >= F.col("least") * m - 1e-9)
-    left = 1 + F.least(n - 1 - F.col("_new_at"), m - 1 - F.col("_turn_at"))
-    fits &= left >= F.col("least") / (1 + F.col("least")) * (n + m) - 1e-9
-    return new.join(turn, ["conv_id", "word"]).filter(fits).select("conv_id", "_new", "_turn", "least").distinct()
+    met = prefixes(asked, "new", F.col("least")).join(prefixes(told, "turn", F.lit(ratio)), ["conv_id", "word"])
+    n, m, least = F.col("new_n"), F.col("turn_n"), F.col("least")
+    left = 1 + F.least(n - 1 - F.col("new_at"), m - 1 - F.col("turn_at"))
+    fits = (m >= least * n - 1e-9) & (n >= least * m - 1e-9) & (left >= least / (1 + least) * (n + m) - 1e-9)
+    return met.filter(fits).select("conv_id", "new_key", "turn_key").distinct()
 
 
-def _asked(pairs: DataFrame, ratio: float, margin: float) -> DataFrame:
-    """Pairs with the sorted content words of their rewrite and the likeness that a turn must reach."""
-    new = F.array_sort(T.content_words(F.col("rewritten")))
-    own = T.overlap_ratio(F.col("_new"), T.content_words(F.col("original")))
-    asked = pairs.select("id", "conv_id", "at", "original", new.alias("_new")).withColumn("_own", own)
-    return asked.withColumn("least", F.greatest(F.lit(ratio), F.col("_own") + margin)).filter((F.size("_new") > 0) & (F.col("least") <= 1))
+def asked_words(pairs: DataFrame, ratio: float = 0.35, margin: float = 0.10) -> DataFrame:
+    """(id, conv_id, at, new_words, new_key, own, least): words of each rewrite, and how alike a turn must be; without those that no turn can reach."""
+    own = T.overlap_ratio(F.col("new_words"), T.content_words(F.col("original")))
+    asked = pairs.filter("conv_id is not null").select("id", "conv_id", "at", "original", F.array_sort(T.content_words(F.col("rewritten"))).alias("new_words"))
+    asked = asked.filter(F.size("new_words") > 0).withColumn("own", own).withColumn("least", F.greatest(F.lit(ratio), F.col("own") + margin))
+    return asked.filter("least <= 1").withColumn("new_key", F.xxhash64("new_words")).drop("original")
 
 
-def _told(history: DataFrame) -> DataFrame:
-    told = history.select("conv_id", "seq", "content", F.array_sort(T.content_words(F.col("content"))).alias("_turn"))
-    return told.filter(F.size("_turn") > 0)
+def told_words(history: DataFrame) -> DataFrame:
+    """(conv_id, turn_words, turn_key, seq): the different word sets of each conversation and where each comes first."""
+    told = history.filter("conv_id is not null").select("conv_id", "seq", F.array_sort(T.content_words(F.col("content"))).alias("turn_words"))
+    return told.filter(F.size("turn_words") > 0).groupBy("conv_id", "turn_words").agg(F.min("seq").alias("seq")).withColumn("turn_key", F.xxhash64("turn_words"))
 
 
 def prior_matches(pairs: DataFrame, history: DataFrame, ratio: float = 0.35, margin: float = 0.10) -> DataFrame:
@@ -90,12 +97,14 @@ def prior_matches(pairs: DataFrame, history: DataFrame, ratio: float = 0.35, mar
     ``prior_candidates`` finds are compared. Of turns of one ``seq`` the smallest text counts;
     pairs of one id are one. Nulls match nothing, texts without content words neither.
     """
-    met = prior_candidates(pairs, history, ratio, margin)
-    alike = met.withColumn("_like", T.overlap_ratio(F.col("_new"), F.col("_turn"))).filter((F.col("_like") >= ratio)).drop("least")
-    # the turns that matter are few by now: each alike set's rows, earlier than the question
-    found = _asked(pairs, ratio, margin).join(alike, ["conv_id", "_new"]).filter(F.col("_like") > F.col("_own") + margin)
-    found = found.join(_told(history), ["conv_id", "_turn"]).filter(F.col("seq") < F.col("at"))
-    return found.groupBy("id").agg(F.min(F.struct("seq", "content"))["content"].alias("prior"))
+    asked, told = materialize(asked_words(pairs, ratio, margin)), materialize(told_words(history))
+    met = materialize(prior_candidates(asked, told, ratio)).join(asked, ["conv_id", "new_key"]).join(told, ["conv_id", "turn_key"]).filter(F.col("seq") < F.col("at"))
+    like = T.overlap_ratio(F.col("new_words"), F.col("turn_words"))
+    found = materialize(met.filter((like >= ratio) & (like > F.col("own") + margin)).select("id", "conv_id", "seq", "turn_words"))
+    first = found.groupBy("id").agg(F.min("seq").alias("seq"))
+    texts = found.join(first, ["id", "seq"]).join(history.select("conv_id", "seq", "content"), ["conv_id", "seq"])
+    # all words alike, said so that the join does not take it for a key and split every text of the history
+    return texts.filter(T.overlap_ratio(T.content_words(F.col("content")), F.col("turn_words")) >= 1).groupBy("id").agg(F.min("content").alias("prior"))
 
 
 def gate(pairs: DataFrame, history: DataFrame | None = None) -> DataFrame:

@@ -227,7 +227,7 @@ def test_prior_turns_equal_comparing_all_and_meet_few(spark):
     want = {tuple(r) for r in every.filter((like >= 0.35) & (like > own + 0.10)).groupBy("id").agg(F.min(F.struct("seq", "content"))["content"].alias("prior")).collect()}
     assert got == want and len(got) > 40 and (300, "aaa bbb") in got and not {301, 302, 303, 304} & {i for i, _ in got}
     # candidates don't know of turns' places, so they stand against all turns of the conversation
-    assert rewrite.prior_candidates(p, h).count() < 0.2 * p.join(h, "conv_id").count()
+    assert rewrite.prior_candidates(rewrite.asked_words(p), rewrite.told_words(h)).count() < 0.2 * p.join(h, "conv_id").count()
     assert rewrite.prior_matches(p, h.limit(0)).count() == rewrite.prior_matches(p.limit(0), h).count() == 0
 
 
