@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 from typing import Any, NamedTuple
 
 from pyspark.sql import SparkSession
-from pyspark.sql.functions import udtf
 from pyspark.sql.types import DoubleType, StringType
 
 from corpusengine.functions.similarity import porter
-from corpusengine.operators.chunking import chunk_text, tokens_of
+from corpusengine.operators.text_chunks import register_chunks
 
 
 class Entry(NamedTuple):
@@ -40,15 +39,6 @@ class Registry:
             return {"error": repr(e)}
 
 
-@udtf(returnType="chunk_index int, text string, tokens int")
-class Chunks:
-    """``LATERAL chunks(text)``: the recursive chunks of a text."""
-
-    def eval(self, text: str) -> Iterator[tuple[int, str, int]]:
-        for i, c in enumerate(chunk_text(text)):
-            yield i, c, tokens_of(c)
-
-
 def _ratio(a: str, b: str) -> float:
     from difflib import SequenceMatcher
 
@@ -60,8 +50,7 @@ def register(spark: SparkSession) -> Registry:
     found = Registry()
     found.add("porter_stem", "stem of a lower-case word", porter, "word")
     found.add("sequence_ratio", "Ratcliff/Obershelp similarity of two texts", _ratio, "a", "b")
-    found.add("chunks", "recursive chunks of a text", chunk_text, "text")
     spark.udf.register("porter_stem", lambda w: None if w is None else porter(w), StringType())
     spark.udf.register("sequence_ratio", _ratio, DoubleType())
-    spark.udtf.register("chunks", Chunks)
+    register_chunks(spark)
     return found

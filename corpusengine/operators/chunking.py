@@ -1,18 +1,14 @@
-"""Chunkers: one document in, many rows out. Scale-out is by document."""
+"""Chunkers of pages, tables and figures: one document in, many rows out. Long texts: ``text_chunks``."""
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusengine.operators.ordered import walk_groups
 
-SEPARATORS = ("\n\n", "\n", ". ", "? ", "! ", "; ", ", ", " ")
-CHUNK = "doc_id long, chunk_index int, text string, tokens int"
 NUMBERISH = r"[0-9%.,\-/±()\[\]\s]"
 
 
@@ -29,89 +25,6 @@ def is_table_line(line: Column) -> Column:
     return is_data_row(line) | ((F.length(line) < 45) & ~line.endswith("."))
 
 
-def _pieces(text: str, limit: int, level: int = 0) -> Iterator[str]:
-    text = text.strip()
-    if not text:
-        return
-    if tokens_of(text) <= limit:
-        yield text
-    elif level == len(SEPARATORS):
-        yield from (text[i : i + 4 * limit] for i in range(0, len(text), 4 * limit))
-    else:
-        mark = SEPARATORS[level]
-        parts = text.split(mark)
-        for i, part in enumerate(parts):
-            yield from _pieces(part + (mark.rstrip() if i < len(parts) - 1 else ""), limit, level + 1)
-
-
-def _merged(pieces: Iterator[str], limit: int, overlap: int) -> Iterator[str]:
-    held: list[str] = []
-    for piece in pieces:
-        if held and sum(map(tokens_of, held)) + tokens_of(piece) > limit:
-            yield " ".join(held)
-            tail, size = [], 0
-            for old in reversed(held):
-                size += tokens_of(old)
-                if size > overlap:
-                    break
-                tail.insert(0, old)
-            held = tail
-        held.append(piece)
-    if held:
-        yield " ".join(held)
-
-
-def _blocks(text: str) -> Iterator[tuple[str, bool]]:
-    """Prose and table blocks in order; a table opens with ``Table N:`` and ends at prose or a second blank line after data."""
-    data = lambda s: len(re.sub(NUMBERISH, "", s)) / max(len(s), 1) < 0.35
-    prose, table, seen, blank = [], [], False, 0
-    for line in text.split("\n"):
-        bare = line.strip()
-        if table:
-            row = data(bare) if bare else False
-            blank = blank + 1 if not bare else 0
-            inside = (blank < 2 or not seen) if not bare else row or not seen or len(bare) < 45 and not bare.endswith(".")
-            if inside:
-                seen = seen or row
-                table.append(line)
-                continue
-            yield "\n".join(table).strip(), True
-            table, seen, blank = [], False, 0
-        if re.match(r"Table \d+:", bare):
-            if prose:
-                yield "\n".join(prose), False
-            prose, table = [], [line]
-        else:
-            prose.append(line)
-    if table:
-        yield "\n".join(table).strip(), True
-    if prose:
-        yield "\n".join(prose), False
-
-
-def chunk_text(text: str | None, max_tokens: int = 150, overlap: int = 50, max_table: int = 1000) -> list[str]:
-    """Recursive chunks of one text; tables up to ``max_table`` tokens stay whole."""
-    text = re.sub("[ \t]+", " ", (text or "").replace("\r\n", "\n")).strip()
-    out = []
-    for block, table in _blocks(text):
-        if table and tokens_of(block) <= max_table:
-            out.append(block)
-        else:
-            out += _merged(_pieces(block, max_tokens), max_tokens, overlap)
-    return [c for c in out if c]
-
-
-def chunk_documents(docs: DataFrame, max_tokens: int = 150, overlap: int = 50) -> DataFrame:
-    """(doc_id, chunk_index, text, tokens) of every document."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for df in batches:
-            rows = [(d, i, c, tokens_of(c)) for d, t in zip(df["doc_id"], df["text"], strict=True) for i, c in enumerate(chunk_text(t, max_tokens, overlap))]
-            yield pd.DataFrame(rows, columns=["doc_id", "chunk_index", "text", "tokens"])
-
-    return docs.select("doc_id", "text").mapInPandas(run, CHUNK)
-
-
 def hard_split(docs: DataFrame, max_tokens: int = 150) -> DataFrame:
     """Windows of ``4 * max_tokens`` characters, natively: doc_id, chunk_index, text."""
     step = 4 * max_tokens

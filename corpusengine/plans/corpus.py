@@ -16,6 +16,7 @@ from corpusengine.operators import context as X
 from corpusengine.operators import evaluate as M
 from corpusengine.operators import index as I
 from corpusengine.operators import retrieval as R
+from corpusengine.operators import text_chunks as TC
 from corpusengine.operators.stored_index import StoredIndex
 from corpusengine.operators.vector_index import VectorIndex
 from corpusengine.sources import maintenance as K
@@ -115,7 +116,53 @@ CACHE_KEYS = "SELECT conv_id, turn, 'querycache:' || md5(lower(conv_id || ':' ||
 
 
 def chunk_documents(spark, d):
-    return C.chunk_documents(docs(spark, d))
+    return TC.chunk_documents(docs(spark, d))
+
+
+def _chunk_sql() -> str:
+    """Splitting by lists, merging by recursion over the pieces; `documents` holds no tables."""
+    blanks = "'" + "".join(chr(n) for n in (*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)) + "'"
+    tokens = "(CASE WHEN {0} = '' THEN 0 ELSE greatest(1, length({0}) // 4) END)".format
+    levels = [f"p0 AS (SELECT doc_id, [{{'s': trim(regexp_replace(replace(coalesce(text, ''), chr(13) || chr(10), chr(10)), '[ \\t]+', ' ', 'g'), {blanks}), 't': ''}}] AS p FROM documents)"]
+    for i, mark in enumerate(("\n\n", "\n", ". ", "? ", "! ", "; ", ", ", " ")):
+        cut = f"list_filter(list_transform(string_split(x.s, '{mark}'), lambda s, i: {{'s': trim(s, {blanks}), 't': CASE WHEN i < len(string_split(x.s, '{mark}')) THEN '{mark}' ELSE x.t END}}), lambda q: q.s <> '')"
+        keep = f"CASE WHEN {tokens('x.s')} <= 150 THEN [x] ELSE {cut} END" if i else cut
+        levels.append(f"p{i + 1} AS (SELECT doc_id, flatten(list_transform(p, lambda x: {keep})) AS p FROM p{i})")
+    return f"""WITH RECURSIVE {", ".join(levels)},
+hard AS (SELECT doc_id, flatten(list_transform(p, lambda x: CASE WHEN {tokens('x.s')} <= 150 THEN [x.s || x.t]
+  ELSE list_transform(range(0, (length(x.s) - 1) // 600 + 1), lambda j: substr(x.s, j * 600 + 1, 600) || CASE WHEN j = (length(x.s) - 1) // 600 THEN x.t ELSE '' END) END)) AS p FROM p8),
+x AS (SELECT doc_id, unnest(p) AS x, generate_subscripts(p, 1) AS n FROM hard),
+w AS (SELECT doc_id, n, [x] AS held, {tokens('x')} AS k, NULL::VARCHAR AS done FROM x WHERE n = 1
+UNION ALL SELECT w.doc_id, x.n, CASE WHEN k + {tokens('x')} <= 150 THEN list_append(held, x) ELSE list_append(held[len(held) - o + 1:], x) END,
+  CASE WHEN k + {tokens('x')} <= 150 THEN k + {tokens('x')} ELSE greatest(1, length(array_to_string(list_append(held[len(held) - o + 1:], x), '')) // 4) END,
+  CASE WHEN k + {tokens('x')} > 150 THEN array_to_string(held, '') END
+FROM (SELECT *, list_max(list_filter(range(0, len(held) + 1), lambda j: coalesce(list_sum(list_transform(held[len(held) - j + 1:], lambda h: {tokens('h')})), 0) <= 50)) AS o FROM w) w JOIN x ON x.doc_id = w.doc_id AND x.n = w.n + 1),
+c AS (SELECT doc_id, n, 0 AS l, done FROM w WHERE done IS NOT NULL
+UNION ALL SELECT doc_id, max(n), 1, array_to_string(arg_max(held, n), '') FROM w GROUP BY doc_id)
+SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY n, l) - 1)::INT AS chunk_index, trim(done, {blanks}) AS text, {tokens('done')}::INT AS tokens FROM c WHERE trim(done, {blanks}) <> ''"""
+
+
+CHUNKS = _chunk_sql()
+
+
+def table_blocks(spark, d):
+    """Reports of orders, each with a table of its lines that ends in one of three ways."""
+    line = F.concat_ws(" ", "l_linenumber", F.floor("l_quantity"), F.floor("l_extendedprice"))
+    rows = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("l_linenumber", line.alias("x")))), lambda s: s["x"]), "\n")
+    kind = F.col("l_orderkey") % 3
+    after = F.when(kind == 0, BREAK).when(kind == 1, PROSE).otherwise(F.concat(F.lit("Table 2: total\n"), F.col("n").cast("string")))
+    orders = table(spark, d, "lineitem").groupBy("l_orderkey").agg(rows.alias("rows"), F.count("*").alias("n"))
+    reports = orders.select(F.col("l_orderkey").alias("doc_id"), F.concat(F.lit(f"{INTRO}Table 1: lines\nquantity and price of each\n"), "rows", F.lit("\n"), after).alias("text"))
+    return TC.table_blocks(reports)
+
+
+INTRO = "The order was sent in parts, as the table below says.\n"
+BREAK = "\n\nshort text"
+PROSE = "The lines above are all that was ordered, and nothing of them came back later."
+TABLE_BLOCKS = f"""WITH t AS (SELECT l_orderkey AS doc_id, count(*) AS n, 'Table 1: lines\nquantity and price of each\n' || string_agg(l_linenumber || ' ' || floor(l_quantity)::BIGINT || ' ' || floor(l_extendedprice)::BIGINT, '\n' ORDER BY l_linenumber, l_linenumber || ' ' || floor(l_quantity)::BIGINT || ' ' || floor(l_extendedprice)::BIGINT) AS rows FROM lineitem GROUP BY l_orderkey)
+SELECT doc_id, 0 AS block, false AS whole, '{INTRO}' AS text FROM t UNION ALL SELECT doc_id, 1, true, rows FROM t
+UNION ALL SELECT doc_id, 2, false, CASE doc_id % 3 WHEN 0 THEN '\nshort text' ELSE '{PROSE}' END FROM t WHERE doc_id % 3 < 2
+UNION ALL SELECT doc_id, 3, true, 'Table 2: total\n' || n FROM t WHERE doc_id % 3 = 2"""
 
 
 def hard_split(spark, d):
@@ -384,7 +431,8 @@ QUERIES = {
     "k_point_ids": (point_ids, POINT_IDS),
     "k_replace_reindexed": (replace_reindexed, REPLACED),
     "k_latest_uploads": (latest_uploads, UPLOADS),
-    "c_chunk_documents": (chunk_documents, None),
+    "c_chunk_documents": (chunk_documents, CHUNKS),
+    "c_table_blocks": (table_blocks, TABLE_BLOCKS),
     "c_hard_split": (hard_split, HARD),
     "c_page_items": (page_items, PAGE_ITEMS),
     "c_page_sections": (page_sections, PAGE_SECTIONS),

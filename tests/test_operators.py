@@ -51,17 +51,6 @@ def test_porter_and_registry(spark):
     assert spark.sql("select c.tokens from (select 'a b c' t) d, lateral chunks(t) c").first()["tokens"] == 1
 
 
-def test_chunker():
-    assert chunking.chunk_text("") == [] and chunking.chunk_text("short") == ["short"]
-    text = " ".join(f"Sentence number {i} is here." for i in range(400))
-    parts = chunking.chunk_text(text)
-    assert len(parts) > 1 and all(chunking.tokens_of(p) <= 200 for p in parts)
-    assert all(f"number {i} " in " ".join(parts) for i in range(400))
-    assert all(chunking.tokens_of(p) <= 200 for p in chunking.chunk_text("x" * 9000))
-    table = "Before it.\nTable 1: scores\n1.0 2.0 3.0\n4.0 5.0 6.0\nThis is a long line of prose that clearly ends the table block above it."
-    assert any(p.startswith("Table 1: scores") and p.endswith("6.0") for p in chunking.chunk_text(table))
-
-
 def test_structured_chunks(spark):
     t = spark.createDataFrame([(1, 0, None, "cap", ["m", "a", "a"], [["x", "1", "2"], ["y", "3", "4"]])], "doc_id int, seq int, heading string, caption string, columns array<string>, rows array<array<string>>")
     assert [r["text"] for r in chunking.table_rows(t).orderBy("row").collect()] == ["Table: cap\nRow [x]: a=1, a (2)=2", "Table: cap\nRow [y]: a=3, a (2)=4"]
