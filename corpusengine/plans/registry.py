@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusengine.plans import corpus, judged, lists, runlog
+from corpusengine.plans import corpus, judged, lists, runlog, versions
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -16,7 +16,7 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _all() -> dict[str, tuple[Query, str | None]]:
-    return {**corpus.QUERIES, **runlog.QUERIES, **lists.QUERIES, **judged.QUERIES}
+    return {**corpus.QUERIES, **runlog.QUERIES, **lists.QUERIES, **judged.QUERIES, **versions.QUERIES}
 
 
 def queries() -> dict[str, Query]:
