@@ -131,6 +131,23 @@ def number_checks(spark, d):
 
 NUMBERS = "SELECT DISTINCT l_orderkey, CASE WHEN l_orderkey % 3 = 0 THEN 0 ELSE 1 END AS n_numbers, l_orderkey % 3 <> 2 AS grounded FROM lineitem"
 
+
+def field_checks(spark, d):
+    """Answers about a field of an order's rows: right, of the other field, of no row, or from a source that needs no ground."""
+    k, line = F.col("l_orderkey"), F.col("l_linenumber")
+    row = F.format_string("Row [Item %s]: precision=%d, recall=%d", F.char(64 + line), F.col("l_quantity").cast("int"), (k * 7 + line * line) % 50)
+    li = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.array_join(F.array_sort(F.collect_list(row)), "\n").alias("rows"), F.max(F.col("l_quantity").cast("int")).alias("q"))
+    question = F.when(k % 3 == 0, "What is the precision of it?").when(k % 3 == 1, "Which Recall has it?").otherwise("And how much is it?")
+    answer = F.concat(F.lit("It is "), F.when(k % 2 == 0, F.col("q")).otherwise(k % 50).cast("string"), F.lit("."))
+    source = F.when(k % 5 == 0, "calculator").when(k % 5 < 4, "documents")
+    got = li.select("l_orderkey", answer.alias("a"), "rows", question.alias("question"), source.alias("source"))
+    return got.select("l_orderkey", V.numbers_grounded(F.col("a"), F.col("rows"), F.col("question"), strict=True, source=F.col("source"), fields=V.FIELDS).alias("grounded"))
+
+
+FIELD_CHECKS = """WITH r AS (SELECT l_orderkey AS k, list(l_quantity::INT) AS p, list((l_orderkey * 7 + l_linenumber * l_linenumber) % 50) AS r, max(l_quantity::INT) AS q FROM lineitem GROUP BY 1),
+a AS (SELECT *, CASE WHEN k % 2 = 0 THEN q ELSE k % 50 END AS v FROM r)
+SELECT k AS l_orderkey, k % 5 = 0 OR k % 3 <> 1 AND list_contains(p, v) OR k % 3 <> 0 AND list_contains(r, v) AS grounded FROM a"""
+
 # --- evaluation ---------------------------------------------------------------------------
 
 SAID = ("", " The paper does not mention it.", " I could not find\nthat.", " There is no relevant information.", " I am not sure.")
@@ -265,6 +282,7 @@ QUERIES = {
     "v_verdicts": (verdicts, VERDICTS),
     "v_evidence_texts": (evidence_texts, EVIDENCE),
     "v_number_checks": (number_checks, NUMBERS),
+    "v_field_checks": (field_checks, FIELD_CHECKS),
     "m_answer_scores": (answer_scores, SCORES),
     "m_cache_trials": (cache_trials, CACHE),
     "m_routing_report": (routing_report, ROUTING),

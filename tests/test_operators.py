@@ -238,3 +238,35 @@ def test_a_failing_row_costs_that_row_only(spark):
     assert call_rows(rows, lambda t: t[:1], ["text"], "said").filter("error is null").count() == 4
     assert call_rows(rows, lambda t: [object()] * len(t), ["text"], "said").filter("error is not null and said is null").count() == 4
     assert call_rows(rows.limit(0), judge, ["text"], "score", "double").count() == 0
+
+
+def test_numbers_stand_in_the_field_that_was_asked_for(spark):
+    rows = "Row [Moshi (Ours)]: S→S=84.1, S→T=70.2, Lat.=1.5\nRow [Baseline]: s->s=60.0, s->t=84.1\nThe wer of both was 5.5. Nothing else was measured."
+    cases = [
+        ("It is 84.1", rows, "S → S of Moshi?", "documents", True),
+        ("It is 70.2", rows, "s->s of Moshi?", "documents", False),
+        ("It is 70.2", rows, "s-t of Moshi?", "documents", True),
+        ("It is 84.1", rows, "s->t of Moshi?", "documents", False),
+        ("It is 84.1", rows, "s->t of Baseline?", "documents", True),
+        ("It is 1.5 and 84.1", rows, "the latency?", "documents", False),
+        ("It is 1.5", rows, "the latency?", "documents", True),
+        ("It is 1.5", rows, "how much?", "documents", True),
+        ("It is 99", rows, "how much?", "Calculator", True),
+        ("It is 99", rows, "how much?", None, False),
+        ("None.", rows, "the latency?", None, True),
+        (None, None, None, None, True),
+        ("It is 3", "It was 3 in all.", None, None, True),
+        ("It is 5.5", "Moshi has a wer of 5.5.", "the wer of Moshi?", None, True),
+        ("It is 5.5", "Moshi has a bleu of 5.5.", "the wer of Moshi?", None, False),
+    ]
+    df = spark.createDataFrame([(i, *c) for i, c in enumerate(cases)], "i int, a string, c string, q string, s string, want boolean")
+    ok = validate.numbers_grounded(F.col("a"), F.col("c"), F.col("q"), strict=True, source=F.col("s"), fields=validate.FIELDS, asked_only=True)
+    wrong = df.withColumn("got", ok).filter("not (got <=> want)").collect()
+    assert wrong == []
+
+
+def test_messages_newest_first_with_the_total(spark):
+    m = spark.createDataFrame([(k, 0, k % 7, "Hello" if k % 2 else None) for k in range(40)], "conv_id long, turn int, ts long, text string")
+    got = retrieval.search_messages(m, "hell", count=3).collect()
+    assert [(r["conv_id"], r["ts"], r["total"]) for r in got] == [(13, 6, 20), (27, 6, 20), (5, 5, 20)]
+    assert retrieval.search_messages(m, "nothing").collect() == []
