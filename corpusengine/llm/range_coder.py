@@ -1,27 +1,33 @@
 """Adaptive context-mixing range coder for blocks of token ids, many blocks in step.
 
-A block is coded on its own, from an empty model. For each id the model has three
-predictions: the id that last followed the last two ids (order 2), the one that last
-followed the last id (order 1), each with a confidence, and the frequencies of the ids seen
-so far (order 0, refreshed when an eighth of the ids is new, every 16 ids at first). Adaptive counts, kept per pair of
-confidences, mix them into the probabilities of four events: order 2 is right, order 1 is
-right, the id has been seen, the id is new. The event is coded, then for a seen id its
-place among the frequencies, for a new one the id itself.
+A block is coded on its own, from an empty model. Its ids are numbered in the order in which
+they first come. For each id the model has three predictions: the number that last followed
+the last two (order 2), the one that last followed the last one (order 1), each with a
+confidence, and the frequencies of the numbers so far (order 0, refreshed when an eighth of
+the ids is new, every 16 ids at first; a number that came since counts once). Adaptive
+counts, kept per pair of confidences, mix them into the probabilities of four events: order 2
+is right, order 1 is right, the id has been seen, the id is new. The event is coded, then for
+a seen id its place among the frequencies, for a new one the id itself.
 
 The coder keeps a 48-bit range and emits 16 bits at most once a step; carries stay in the
 emitted digits and are settled at the end. All state is an array with one row per block, so
-numpy does a step of every block at once; the decoder runs the same model.
+numpy does a step of every block at once; the decoder runs the same model. Blocks go by
+falling length, so those that have ended drop off the end of the arrays. In front of the
+digits stands how many ids a block has that differ.
 """
 
 from __future__ import annotations
 
+from itertools import pairwise
+
 import numpy as np
 
 BLOCK = 8192
 ONE, LIMIT, STEP = 1 << 16, 1 << 12, 24
-SIZE1, SIZE2 = 1 << 12, 1 << 13
-FULL, LOW = np.uint64(1 << 48), np.uint64(1 << 32)
-MASK, S16, S32 = np.uint64((1 << 32) - 1), np.uint64(16), np.uint64(32)
+SIZE2 = 1 << 13
+FULL, LOW, MASK = 1 << 48, 1 << 32, (1 << 32) - 1
+#: A prediction that is never right.
+NONE = 1 << 24
 
 
 def refreshes(n: int) -> list[int]:
@@ -32,67 +38,66 @@ def refreshes(n: int) -> list[int]:
     return at
 
 
+def slot2(last: np.ndarray, before: np.ndarray) -> np.ndarray:
+    return (last * 2654435761 + before * 2246822519 >> 9) & (SIZE2 - 1)
+
+
 class Model:
-    """Predictions of ``k`` blocks in step."""
-
-    def __init__(self, k: int, n: int):
-        self.k, self.rows = k, np.arange(k)
-        self.next1, self.sure1 = np.zeros(k * SIZE1, np.uint16), np.zeros(k * SIZE1, np.int8)
-        self.next2, self.sure2 = np.zeros(k * SIZE2, np.uint16), np.zeros(k * SIZE2, np.int8)
-        self.events = np.ones((4, k * 16), np.int64)
-        self.seen = np.zeros((k, n), np.uint16)
-        self.last, self.before = np.zeros(k, np.int64), np.zeros(k, np.int64)
-        self.n_sorted = 0
-
-    def refresh(self, s: int) -> None:
-        """Frequencies of the ``s`` ids so far: sorted, with the ends of each id's run."""
-        self.sorted = np.sort(self.seen[:, :s], axis=1)
-        at = np.arange(s, dtype=np.int32)
-        starts = np.ones((self.k, s), bool)
-        starts[:, 1:] = self.sorted[:, 1:] != self.sorted[:, :-1]
-        self.low = np.maximum.accumulate(np.where(starts, at, 0), axis=1)
-        ends = np.ones((self.k, s), bool)
-        ends[:, :-1] = starts[:, 1:]
-        self.high = np.minimum.accumulate(np.where(ends, at + 1, s)[:, ::-1], axis=1)[:, ::-1]
-        self.n_sorted = s
-
-    def runs(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Ends of the runs of ``ids`` (blocks by steps) among the frequencies."""
-        lane = (self.rows << 16)[:, None]
-        flat, wanted = (lane | self.sorted).ravel(), (lane | ids).ravel()
-        base = np.repeat(self.rows * self.n_sorted, ids.shape[1])
-        shape = ids.shape
-        return (np.searchsorted(flat, wanted) - base).reshape(shape), (np.searchsorted(flat, wanted, "right") - base).reshape(shape)
-
-    def predict(self) -> np.ndarray:
-        """Bounds of the events' cumulative frequencies, out of ``ONE``: five rows, a column per block."""
-        self.at1 = self.rows * SIZE1 + ((self.last * 40503 >> 4) & (SIZE1 - 1))
-        self.at2 = self.rows * SIZE2 + (((self.last * 2654435761 + self.before * 2246822519) >> 9) & (SIZE2 - 1))
-        self.id1, self.c1 = self.next1[self.at1], self.sure1[self.at1]
-        self.id2, self.c2 = self.next2[self.at2], self.sure2[self.at2]
-        self.mix = self.rows * 16 + self.c2 * 4 + self.c1
-        a, b, c, d = (plane[self.mix] for plane in self.events)
-        b = a + b
-        c = b + c
-        self.total = c + d
-        scale = ((ONE - 4) << 16) // self.total
-        bounds = np.empty((5, self.k), np.int64)
-        bounds[0], bounds[4] = 0, ONE
-        for k, x in ((1, a), (2, b), (3, c)):
-            bounds[k] = (x * scale >> 16) + k
-        return bounds
-
-    def update(self, s: int, ids: np.ndarray, event: np.ndarray) -> None:
-        self.events[event, self.mix] += STEP
-        full = self.mix[self.total > LIMIT - STEP]
+    """Predictions of ``k`` blocks in step, of at most ``n_known`` numbers each."""
+
+    def __init__(self, k: int, n_known: int):
+        self.n_known = n_known
+        # a number, and its confidence in the last two bits
+        self.next1, self.next2 = np.full(k * n_known, NONE, np.int32), np.full(k * SIZE2, NONE, np.int32)
+        self.events = np.ones((4, k * 16), np.int32)
+        self.counts = np.zeros(k * n_known, np.int32)
+        self.rows = np.arange(k)
+        self.bounds = np.zeros((5, k), np.int64)
+        self.narrow(k)
+
+    def narrow(self, k: int) -> None:
+        """From now on only the first ``k`` blocks are at work."""
+        self.k, self.rows = k, self.rows[:k]
+        self.base1, self.base2, self.base16 = self.rows * self.n_known, self.rows * SIZE2, self.rows * 16
+        self.bounds = np.zeros((5, k), np.int64)
+
+    def refresh(self, since: np.ndarray) -> None:
+        """Frequencies with the numbers ``since`` the last time (steps by blocks)."""
+        size = self.k * self.n_known
+        self.counts = self.counts[:size]
+        self.counts += np.bincount((since + self.base1).ravel(), minlength=size).astype(np.int32)
+        self.low = np.cumsum(self.counts.reshape(self.k, -1), axis=1, dtype=np.int32).ravel() - self.counts
+
+    def predict(self, last: np.ndarray, slot: np.ndarray) -> None:
+        """Bounds of the events' cumulative counts: five rows, a column per block."""
+        self.at1, self.at2 = self.base1 + last, self.base2 + slot
+        self.found1, self.found2 = self.next1.take(self.at1), self.next2.take(self.at2)
+        self.sure1, self.sure2 = self.found1 & 3, self.found2 & 3
+        self.id1, self.id2 = self.found1 >> 2, self.found2 >> 2
+        self.mix = (self.sure2 * 4 + self.sure1) + self.base16
+        now, to = self.events.take(self.mix, axis=1), self.bounds
+        to[1] = now[0]
+        for j in (1, 2, 3):
+            np.add(to[j], now[j], out=to[j + 1])
+
+    def update(self, ids: np.ndarray, event: np.ndarray) -> None:
+        flat, at = self.events.reshape(-1), event * self.events.shape[1] + self.mix
+        flat[at] = flat.take(at) + STEP
+        full = self.mix[self.bounds[4] > LIMIT - STEP]
         if full.size:
             self.events[:, full] = (self.events[:, full] + 1) >> 1
-        for following, sure, at, guess, c in ((self.next1, self.sure1, self.at1, self.id1, self.c1), (self.next2, self.sure2, self.at2, self.id2, self.c2)):
-            right = guess == ids
-            following[at] = np.where(right | (c > 0), guess, ids)
-            sure[at] = np.where(right, np.minimum(c + 1, 3), np.maximum(c - 1, 0))
-        self.seen[:, s] = ids
-        self.before, self.last = self.last, ids.astype(np.int64)
+        fresh = (ids << 2).astype(np.int32)
+        for following, at, found, sure, guess in ((self.next1, self.at1, self.found1, self.sure1, self.id1), (self.next2, self.at2, self.found2, self.sure2, self.id2)):
+            following[at] = np.where(guess == ids, found + (sure < 3), np.where(sure > 0, found - 1, fresh))
+
+
+def numbered(ids: np.ndarray, room: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of ids in the order in which they first come, and which of them come first; ``room`` has a place for each id."""
+    at = np.arange(len(ids), dtype=np.int32)
+    room[ids[::-1]] = at[::-1]
+    first = room[ids]
+    new = first == at
+    return (np.cumsum(new, dtype=np.int32) - 1)[first], new
 
 
 def encode_blocks(blocks: list[np.ndarray]) -> list[bytes]:
@@ -100,52 +105,90 @@ def encode_blocks(blocks: list[np.ndarray]) -> list[bytes]:
     k, n = len(blocks), max(map(len, blocks), default=0)
     if not n:
         return [b""] * k
-    ids = np.zeros((k, n), np.uint16)
-    for i, b in enumerate(blocks):
-        ids[i, : len(b)] = b
-    model, rows, lengths = Model(k, n), np.arange(k), np.array(list(map(len, blocks)))
-    low, size = np.zeros(k, np.uint64), np.full(k, FULL)
-    digits, used, shortest = np.zeros((k, 2 * n + 3), np.uint32), np.zeros(k, np.int64), lengths.min()
-
-    def put(start, width, total, done):
-        nonlocal low, size
-        if done is not None:  # a block that has ended codes nothing more
-            start, width, total = np.where(done, 0, start), np.where(done, 1, width), np.where(done, 1, total)
-        start, width, total = start.astype(np.uint64), width.astype(np.uint64), np.asarray(total, np.uint64)
-        part = size // total
-        low = low + part * start
-        size = part * width
-        if (small := np.flatnonzero(size < LOW)).size:
-            digits[small, used[small]] = low[small] >> S32
-            used[small] += 1
-            low[small] = (low[small] & MASK) << S16
-            size[small] <<= S16
-
-    points = refreshes(n)
-    since, upto = 0, 0
-    for s in range(n):
-        if s == upto:
-            since, upto = s, points[points.index(s) + 1]
-            if s:
-                model.refresh(s)
-            lows, highs = model.runs(ids[:, s:upto]) if s else (np.zeros((k, upto), np.int64),) * 2
-        x, lo, hi = ids[:, s], lows[:, s - since], highs[:, s - since]
-        bounds = model.predict()
-        event = np.where(x == model.id2, 0, np.where(x == model.id1, 1, np.where(hi > lo, 2, 3)))
-        start, end = bounds[event, rows], bounds[event + 1, rows]
-        done = None if s < shortest else s >= lengths
-        put(start, end - start, ONE, done)
-        is_seen, is_new = event == 2, event == 3
-        put(np.where(is_seen, lo, np.where(is_new, x, 0)), np.where(is_seen, hi - lo, 1), np.where(is_seen, model.n_sorted, np.where(is_new, ONE, 1)), done)
-        model.update(s, x, event)
+    order = sorted(range(k), key=lambda i: -len(blocks[i]))
+    lengths = np.array([len(blocks[i]) for i in order])
+    ids, numbers, new = np.zeros((k, n), np.uint16), np.zeros((k, n), np.int32), np.zeros((k, n), bool)
+    room = np.zeros(ONE, np.int32)
+    for row, i in enumerate(order):
+        size = lengths[row]
+        ids[row, :size] = blocks[i]
+        numbers[row, :size], new[row, :size] = numbered(blocks[i], room)
+    ids, numbers, new = (np.ascontiguousarray(x.T) for x in (ids, numbers, new))
+    distinct = new.sum(axis=0)
+    model = Model(k, int(distinct.max()))
+    all_low, all_size, all_used = np.zeros(k, np.int64), np.full(k, FULL), np.zeros(k, np.int64)
+    digits = np.zeros((k, 2 * n + 3), np.uint32)
+    flat, width = digits.reshape(-1), digits.shape[1]
+
+    def emit(low, size, used, small):
+        now = low[small]
+        flat[small * width + used[small]] = now >> 32
+        used[small] += 1
+        low[small] = (now & MASK) << 16
+        size[small] <<= 16
+
+    known = np.zeros(k, np.int64)
+    zero = np.zeros(k, np.int64)
+    for since, upto in pairwise(refreshes(n)):
+        # who is at work at the segment's start; those that end within it drop off step by step
+        m = int((lengths > since).sum())
+        model.narrow(m)
+        now, first = numbers[since:upto, :m], new[since:upto, :m]
+        if since:
+            model.refresh(numbers[before_at:since, :m])
+            in_table = now < known[:m]
+            at = np.where(in_table, now, 0) + model.base1
+            start = np.where(in_table, model.low.take(at), now - known[:m] + since)
+            wide = np.where(in_table, model.counts.take(at), 1)
+        else:
+            start, wide = now - known[:m], np.ones(now.shape, np.int32)
+        came = np.cumsum(first, axis=0)
+        total = np.where(first, ONE, came + since)
+        start, wide = np.where(first, ids[since:upto, :m], start).astype(np.int64), np.where(first, 1, wide).astype(np.int64)
+        known[:m] += came[-1]
+        before_at = since
+        one = np.concatenate([numbers[since - 1 : upto - 1, :m], np.zeros((0, m), np.int32)]) if since else np.concatenate([np.zeros((1, m), np.int32), now[:-1]])
+        two = np.concatenate([np.zeros((min(2, upto), m), np.int32), now[:-2]])[: upto - since] if not since else numbers[since - 2 : upto - 2, :m]
+        slots = slot2(one.astype(np.int64), two.astype(np.int64))
+        low, size, used, lane = all_low[:m], all_size[:m], all_used[:m], model.rows
+        for j in range(upto - since):
+            if lengths[m - 1] <= since + j:
+                m = int((lengths > since + j).sum())
+                model.narrow(m)
+                low, size, used, lane = all_low[:m], all_size[:m], all_used[:m], model.rows
+            x = now[j, :m]
+            model.predict(one[j, :m], slots[j, :m])
+            event = np.where(x == model.id2, 0, np.where(x == model.id1, 1, 2 + first[j, :m]))
+            at = event * m + lane
+            begin = model.bounds.take(at)
+            part = size // model.bounds[4]
+            low += part * begin
+            np.multiply(part, model.bounds.take(at + m) - begin, out=size)
+            small = np.flatnonzero(size < LOW)
+            if small.size:
+                emit(low, size, used, small)
+            rest = np.flatnonzero(event > 1)
+            if rest.size:
+                part = size[rest] // total[j].take(rest)
+                low[rest] += part * start[j].take(rest)
+                part *= wide[j].take(rest)
+                size[rest] = part
+                small = rest[part < LOW]
+                if small.size:
+                    emit(low, size, used, small)
+            model.update(x, event)
+    rows = np.arange(k)
     for _ in range(3):
-        digits[rows, used] = low >> S32
-        used += 1
-        low = (low & MASK) << S16
-    for at in range(int(used.max()) - 1, 0, -1):
+        digits[rows, all_used] = all_low >> 32
+        all_used += 1
+        all_low = (all_low & MASK) << 16
+    for at in range(int(all_used.max()) - 1, 0, -1):
         digits[:, at - 1] += digits[:, at] >> 16
         digits[:, at] &= 0xFFFF
-    return [digits[i, : used[i]].astype("<u2").tobytes() for i in range(k)]
+    out = [b""] * k
+    for row, i in enumerate(order):
+        out[i] = int(distinct[row]).to_bytes(2, "little") + digits[row, : all_used[row]].astype("<u2").tobytes()
+    return out
 
 
 def decode_blocks(coded: list[bytes], lengths: list[int]) -> list[np.ndarray]:
@@ -153,48 +196,80 @@ def decode_blocks(coded: list[bytes], lengths: list[int]) -> list[np.ndarray]:
     k, n = len(coded), max(lengths, default=0)
     if not n:
         return [np.zeros(0, np.uint16) for _ in coded]
-    parts = [np.frombuffer(c, "<u2") for c in coded]
-    most = max(map(len, parts)) + 1
-    digits = np.zeros((k, most), np.uint16)
+    order = sorted(range(k), key=lambda i: -lengths[i])
+    sizes = np.array([lengths[i] for i in order])
+    parts = [np.frombuffer(coded[i], "<u2") for i in order]
+    width = max(map(len, parts)) + 1
+    digits = np.zeros((k, width), np.int64)
     for i, p in enumerate(parts):
-        digits[i, : len(p)] = p
-    model, rows = Model(k, n), np.arange(k)
-    first = digits[:, :3].astype(np.uint64)
-    code = first[:, 0] << S32 | first[:, 1] << S16 | first[:, 2]
-    size, used = np.full(k, FULL), np.full(k, 3)
-
-    def slot(total):
-        return np.minimum(code // (size // total), total - np.uint64(1)).astype(np.int64)
-
-    def take(start, width, total):
-        nonlocal code, size
-        part = size // total
-        code = code - part * start
-        size = part * width
-        if (small := np.flatnonzero(size < LOW)).size:
-            # a block that has ended reads on past its digits, and nobody reads what it says
-            code[small] = code[small] << S16 | digits[small, np.minimum(used[small], most - 1)]
-            size[small] <<= S16
-            used[small] += 1
-
-    one, points = np.uint64(ONE), set(refreshes(n))
-    for s in range(n):
-        if s and s in points:
-            model.refresh(s)
-        bounds = model.predict()
-        place = slot(one)
-        event = (place >= bounds[1]).astype(np.int64) + (place >= bounds[2]) + (place >= bounds[3])
-        start, end = bounds[event, rows], bounds[event + 1, rows]
-        take(start.astype(np.uint64), (end - start).astype(np.uint64), one)
-        is_seen, is_new = event == 2, event == 3
-        total = np.where(is_seen, max(model.n_sorted, 1), np.where(is_new, ONE, 1)).astype(np.uint64)
-        place = slot(total)
-        first, width, ids = np.where(is_new, place, 0), np.ones(k, np.int64), np.where(event == 0, model.id2, np.where(event == 1, model.id1, place)).astype(np.uint16)
-        if model.n_sorted:
-            at = np.where(is_seen, place, 0)
-            lo, hi = model.low[rows, at], model.high[rows, at]
-            first, width = np.where(is_seen, lo, first), np.where(is_seen, hi - lo, 1)
-            ids = np.where(is_seen, model.sorted[rows, at], ids)
-        take(first.astype(np.uint64), width.astype(np.uint64), total)
-        model.update(s, ids, event)
-    return [model.seen[i, :m].copy() for i, m in enumerate(lengths)]
+        digits[i, : len(p) - 1] = p[1:]
+    flat = digits.reshape(-1)
+    model = Model(k, max(1, max(int(p[0]) for p in parts if len(p))))
+    ids, seen = np.zeros(k * model.n_known, np.uint16), np.zeros((n, k), np.int32)
+    all_code, all_size, all_used = digits[:, 0] << 32 | digits[:, 1] << 16 | digits[:, 2], np.full(k, FULL), np.full(k, 3)
+    last, before, known = (np.zeros(k, np.int64) for _ in range(3))
+
+    def fill(code, size, used, small):
+        code[small] = code[small] << 16 | flat[small * width + np.minimum(used[small], width - 1)]
+        size[small] <<= 16
+        used[small] += 1
+
+    for since, upto in pairwise(refreshes(n)):
+        m = int((sizes > since).sum())
+        model.narrow(m)
+        if since:
+            model.refresh(seen[before_at:since, :m])
+            table = np.repeat(np.tile(np.arange(model.n_known, dtype=np.uint16), m), model.counts)
+        before_at, before_known = since, known.copy()
+        for s in range(since, upto):
+            if s == since or sizes[m - 1] <= s:
+                m = int((sizes > s).sum())
+                model.narrow(m)
+                code, size, used, lane = all_code[:m], all_size[:m], all_used[:m], model.rows
+                last, before = last[:m], before[:m]
+            model.predict(last, slot2(last, before))
+            bounds = model.bounds
+            part = size // bounds[4]
+            place = np.minimum(code // part, bounds[4] - 1)
+            event = (place >= bounds[1]).astype(np.int64) + (place >= bounds[2]) + (place >= bounds[3])
+            at = event * m + lane
+            begin = bounds.take(at)
+            code -= part * begin
+            np.multiply(part, bounds.take(at + m) - begin, out=size)
+            small = np.flatnonzero(size < LOW)
+            if small.size:
+                fill(code, size, used, small)
+            x = np.where(event == 0, model.id2, model.id1).astype(np.int64)
+            rest = np.flatnonzero(event > 1)
+            if rest.size:
+                new, had, had_then = event[rest] == 3, known[rest], before_known[rest]
+                total = np.where(new, ONE, np.maximum(had - had_then + since, 1))
+                part = size[rest] // total
+                place = np.minimum(code[rest] // part, total - 1)
+                number, wide = place + (had_then - since), 1
+                if since:
+                    in_table = ~new & (place < since)
+                    number = np.where(in_table, table.take(rest * since + np.minimum(place, since - 1)), number)
+                    at = rest * model.n_known + np.where(in_table, number, 0)
+                    begin, wide = np.where(in_table, model.low.take(at), place), np.where(in_table, model.counts.take(at), 1)
+                else:
+                    begin = place
+                if new.any():
+                    number = np.where(new, had, number)
+                    lanes = rest[new]
+                    ids[lanes * model.n_known + had[new]] = place[new]
+                    known[lanes] += 1
+                x[rest] = number
+                code[rest] -= part * begin
+                part *= wide
+                size[rest] = part
+                small = rest[part < LOW]
+                if small.size:
+                    fill(code, size, used, small)
+            seen[s, :m] = x
+            model.update(x, event)
+            before, last = last, x
+    out = [np.zeros(0, np.uint16)] * k
+    for row, i in enumerate(order):
+        out[i] = ids[row * model.n_known + seen[: sizes[row], row]]
+    return out

@@ -9,7 +9,7 @@ import numpy as np
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from corpusengine.llm import byte_bpe, exact_dedup, jaccard_join, mixing, quality_rules, rows, suffix_dedup, tool_calls, url_filter
+from corpusengine.llm import byte_bpe, exact_dedup, jaccard_join, mixing, quality_rules, range_coder, rows, suffix_dedup, token_files, tool_calls, url_filter
 
 SCHEMA = "conv_id string, turn long, call_id string, name string, arguments map<string,string>, after array<string>"
 
@@ -265,3 +265,48 @@ def test_pipeline_equals_brute_force(spark, tmp_path):
     for x in out:
         assert np.frombuffer(x["ids"], "<u4").tolist() == same.encode_ordinary(texts[x["doc_id"]])
         assert x["decoded_sha256"] == hashlib.sha256(texts[x["doc_id"]].encode()).hexdigest()
+
+
+def test_range_coder_of_uneven_blocks():
+    r = np.random.default_rng(5)
+    made = [r.integers(0, 300, n) for n in (1, 15, 16, 17, 143, 144, 145, 4000)] + [np.arange(8192)[::-1] * 8, np.full(8192, 65535), np.minimum(r.zipf(1.2, 8192), 65535)]
+    blocks = [b.astype(np.uint16) for b in made]
+    coded = range_coder.encode_blocks(blocks)
+    assert all((a == b).all() for a, b in zip(blocks, range_coder.decode_blocks(coded, [len(b) for b in blocks]), strict=True))
+    assert all(range_coder.encode_blocks([b]) == [c] for b, c in zip(blocks, coded, strict=True))
+    # an id that came since the frequencies were refreshed is no new one
+    few = [np.array([9000, 17, 40000, 9000, 40000, 17, 17, 9000, 40000, 40000, 17, 9000], np.uint16)]
+    assert len(range_coder.encode_blocks(few)[0]) < 2 + 6 + 2 * 6
+
+
+def test_token_ids_by_ranks_equal_the_library():
+    from tokenizers import Tokenizer
+
+    r = random.Random(4)
+    encoder = token_files.WordEncoder(open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8").read())
+    letters = "abcdeinghtors'svelm 012.,!?<|>#$-_ß×÷éÈÿÞþñ µª\t\n\r\x0b\x1c\x85\xa0İσΣ日🙂é"
+    texts = ["".join(r.choice(part) for _ in range(r.randint(0, 30))) for part in (letters, letters[:30], "abcdefghijklmnopqrstuvwxyzéß ", "'stmdrevl a!1É\t") for _ in range(2000)]
+    texts += ["", " ", "'", "'s", "a'", "'re've'll", "!'s", "''s's", "ÿ ß ÿß", "<|startoftext|>", "a<|endoftext|>b <|ENDOFTEXT|>", "x" * 5000]
+    want = [np.array(e.ids, "<u2").tobytes() for e in encoder.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    assert [x for k in range(0, len(texts), 256) for x in encoder.encode(texts[k : k + 256])] == want
+    assert 0.3 < sum(map(encoder.is_plain, texts)) / len(texts) < 1 and not encoder.is_plain("<|startoftext|>")
+
+
+def test_token_ids_of_a_tokenizer_that_keeps_blanks():
+    from tokenizers import Tokenizer
+
+    content = open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8").read()
+    texts = ["two words", "a  b\n\nc", "", " the end "]
+    want = [np.array(e.ids, "<u2").tobytes() for e in Tokenizer.from_str(content).encode_batch(texts, add_special_tokens=False)]
+    assert token_files.WordEncoder(content).encode(texts) == want
+
+
+def test_merges_that_ranks_dont_give_are_left_to_the_library():
+    spec = json.loads(open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8").read())
+    assert token_files.plain_ranks(spec)
+    merges, vocab = spec["model"]["merges"], spec["model"]["vocab"]
+    # a token whose own merge joins another pair than its merges by rank end in
+    k = next(i for i, (a, b) in enumerate(merges) if len(a) > 1 and not b.endswith("</w>") and a[:-1] in vocab and a[-1] + b in vocab and (a + b).isascii() and (a + b).isalpha())
+    merges[k] = [merges[k][0][:-1], merges[k][0][-1] + merges[k][1]]
+    assert token_files.plain_ranks(spec) is None
+    assert token_files.plain_ranks(spec | {"model": spec["model"] | {"dropout": 0.1}}) is None
