@@ -56,10 +56,14 @@ def words_of(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(WORD), F.lit(0))
 
 
-def features(text: Column) -> Column:
-    """Distinct words of a text, and four traits of its shape as words that no text has."""
+def features(text: Column, words: Column | None = None) -> Column:
+    """Distinct words of a text, and four traits of its shape as words that no text has.
+
+    ``words`` is a column of ``words_of(text)``: where this is used in a lambda or in an
+    ``explode``, words that are an expression are found anew at each use.
+    """
     body = F.coalesce(text, F.lit(""))
-    words = words_of(text)
+    words = words_of(text) if words is None else words
     share = lambda part, whole: F.floor(20 * part / F.greatest(whole, F.lit(1)))
     size = F.length(body)
     distinct = F.array_distinct(words)
@@ -104,6 +108,13 @@ def sizes_of(labelled: DataFrame) -> list[int]:
     return [sizes.get(k, 0) for k in range(len(DOMAINS))]
 
 
+def sampled_words(docs: DataFrame, sample: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """(domain, doc_id, copy, b) of the documents of ``sample`` (doc_id, domain): the least word triple, and the buckets of the words."""
+    seen = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).join(F.broadcast(sample.select("doc_id", "domain")), "doc_id")
+    seen = seen.withColumn("words", words_of(F.col("text")))
+    return seen.select("domain", "doc_id", least_triple(F.col("words")).alias("copy"), F.transform(features(F.col("text"), F.col("words")), bucket).alias("b"))
+
+
 def train(docs: DataFrame, labelled: DataFrame, text: str = "text", doc_id: str = "doc_id", max_labelled: int = 20_000) -> tuple[list[float], DataFrame]:
     """Log priors of all labelled documents, and the weights of the word buckets that tell domains apart.
 
@@ -115,10 +126,8 @@ def train(docs: DataFrame, labelled: DataFrame, text: str = "text", doc_id: str
     sample = materialize(sample_of(labelled, max_labelled))
     sizes = sizes_of(labelled)
     priors = [math.log((x + 1) / (sum(sizes) + len(sizes))) for x in sizes]
-    seen = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).join(F.broadcast(sample.select("doc_id", "domain")), "doc_id")
-    seen = materialize(seen.select("domain", "doc_id", words_of(F.col("text")).alias("words"), F.transform(features(F.col("text")), bucket).alias("b")))
-    one = seen.select("domain", least_triple(F.col("words")).alias("copy"), F.struct("doc_id", "b").alias("d"))
-    one = materialize(one.groupBy("domain", "copy").agg(F.min("d").alias("d")).select("domain", "d.b"))
+    seen = materialize(sampled_words(docs, sample, text, doc_id))
+    one = materialize(seen.groupBy("domain", "copy").agg(F.min(F.struct("doc_id", "b")).alias("d")).select("domain", "d.b"))
     found = {r["domain"]: r["count"] for r in one.groupBy("domain").count().collect()}
     n = [found.get(k, 0) for k in range(len(DOMAINS))]
     words = one.select("domain", F.explode_outer("b").alias("b"))
@@ -150,7 +159,9 @@ def evidence(docs: DataFrame, weights: DataFrame, text: str = "text", doc_id: st
     """(row, doc_id, text_key, carried columns, n_tokens, s_<domain>...) of every document; whole texts, one thin row shuffled each."""
     keys = ["row", "doc_id", "text_key", *carry, "n_tokens"]
     body = F.col(text)
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(doc_id).alias("doc_id"), F.xxhash64(body).alias("text_key"), *carry, F.size(words_of(body)).cast("long").alias("n_tokens"), features(body).alias("w"))
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(doc_id).alias("doc_id"), F.xxhash64(body).alias("text_key"), *carry, body.alias("body"), words_of(body).alias("words"))
+    words = F.col("words")
+    rows = rows.select(*keys[:-1], F.size(words).cast("long").alias("n_tokens"), features(F.col("body"), words).alias("w"))
     rows = rows.select(*keys, F.explode_outer("w").alias("w"))
     met = rows.withColumn("b", bucket(F.col("w"))).drop("w").join(F.broadcast(weights), "b", "left")
     return met.groupBy(*keys).agg(*[F.coalesce(F.sum(f"w{k}"), F.lit(0.0)).alias(f"s_{d}") for k, d in enumerate(DOMAINS)])

@@ -310,3 +310,11 @@ def test_merges_that_ranks_dont_give_are_left_to_the_library():
     merges[k] = [merges[k][0][:-1], merges[k][0][-1] + merges[k][1]]
     assert token_files.plain_ranks(spec) is None
     assert token_files.plain_ranks(spec | {"model": spec["model"] | {"dropout": 0.1}}) is None
+
+
+def test_mixing_finds_the_words_of_a_text_once(spark):
+    docs = spark.createDataFrame([(1, "some words, Some"), (2, None)], "doc_id long, text string")
+    weights = spark.createDataFrame([(1, 0.5, 0.0, 0.0)], "b int, w0 double, w1 double, w2 double")
+    sample = spark.createDataFrame([(1, 0)], "doc_id long, domain int")
+    for made in (mixing.evidence(docs, weights), mixing.sampled_words(docs, sample)):
+        assert made._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all(") == 1
