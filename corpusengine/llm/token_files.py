@@ -31,8 +31,8 @@ from corpusengine.llm.alignment import byte_of_character
 from corpusengine.llm.range_coder import BLOCK, decode_blocks, encode_blocks
 from corpusengine.session import materialize, small_batches
 
-#: Blocks coded in step; entries and length of the cache of encoded chunks; bounds a worker's memory.
-LANES, CACHE_ENTRIES, CACHE_CHARS = 768, 200_000, 48
+#: Blocks coded in step; entries and length of the cache of encoded chunks; characters of plain texts encoded together, and one text more; bounds a worker's memory.
+LANES, CACHE_ENTRIES, CACHE_CHARS, TOGETHER = 768, 200_000, 48, 1 << 20
 #: What word_bpe_49k.json does to a text before its merges, and the mark of a word's last character.
 NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -147,6 +147,11 @@ class WordEncoder:
         return self.merge is not None and PLAIN.fullmatch(text) is not None and not self.added.search(text)
 
     def encode_plain(self, texts: list[str]) -> list[bytes]:
+        at = np.cumsum([len(t) + 1 for t in texts]) // TOGETHER
+        cuts = [0, *(np.flatnonzero(np.diff(at)) + 1).tolist(), len(texts)]
+        return [x for a, b in pairwise(cuts) for x in self.encode_together(texts[a:b])]
+
+    def encode_together(self, texts: list[str]) -> list[bytes]:
         text = np.frombuffer(f" {' '.join(texts)} ".lower().encode("latin-1"), np.uint8)
         ends = word_ends(text)
         marked = np.where(ends, AT_END[text], np.where(KINDS[text] > 0, text, 32)).tobytes().decode("latin-1")

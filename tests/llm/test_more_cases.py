@@ -292,6 +292,14 @@ def test_token_ids_by_ranks_equal_the_library():
     assert 0.3 < sum(map(encoder.is_plain, texts)) / len(texts) < 1 and not encoder.is_plain("<|startoftext|>")
 
 
+def test_token_ids_of_long_texts_go_in_parts():
+    encoder = token_files.WordEncoder(open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8").read())
+    r = random.Random(6)
+    texts = [words(r, n) for n in (300_000, 5, 0, 150_000, 150_000, 3)]
+    assert sum(map(len, texts)) > 2 * token_files.TOGETHER
+    assert encoder.encode(texts) == encoder.encode_chunks(texts)
+
+
 def test_token_ids_of_a_tokenizer_that_keeps_blanks():
     from tokenizers import Tokenizer
 
