@@ -32,7 +32,11 @@ from corpusengine.llm.range_coder import BLOCK, decode_blocks, encode_blocks
 from corpusengine.session import materialize, small_batches
 
 #: Blocks coded in step; entries and length of the cache of encoded chunks; characters of plain texts encoded together, and one text more; bounds a worker's memory.
-LANES, CACHE_ENTRIES, CACHE_CHARS, TOGETHER = 768, 200_000, 48, 1 << 20
+LANES, CACHE_ENTRIES, CACHE_CHARS, TOGETHER = 384, 200_000, 48, 1 << 20
+#: Words of plain texts that are remembered: bits of their number, most bytes and most ids.
+WORD_BITS, WORD_BYTES, WORD_IDS = 18, 16, 8
+#: Bytes of the words' two keys, by length.
+KEY_BYTES = np.array([[(1 << 8 * min(max(n - k, 0), 8)) - 1 for k in (0, 8)] for n in range(WORD_BYTES + 1)], np.uint64)
 #: What word_bpe_49k.json does to a text before its merges, and the mark of a word's last character.
 NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -126,7 +130,9 @@ class WordEncoder:
     One that drops blanks and never looks across them gives a text the ids of its chunks
     between blanks one after another, so chunks are encoded once and looked up afterwards;
     any other gets whole texts. Plain texts are cut into words by the tokenizer's pattern
-    and merged by ranks, many in one call; others are left to the tokenizers library.
+    and merged by ranks, many in one call, where they aren't found among the words met before,
+    of which a table of fixed size keeps the last of each hash, compared in full; other texts
+    are left to the tokenizers library.
     """
 
     def __init__(self, content: str):
@@ -141,6 +147,8 @@ class WordEncoder:
             self.merge = tiktoken.Encoding("words", pat_str=MARKED, mergeable_ranks=ranks, special_tokens={})
             self.added = re.compile("|".join(re.escape(x["content"]) for x in spec["added_tokens"]) or r"(?!)")
             self.ends_word = np.zeros(max(ranks.values()) + 1, bool)
+            self.words, self.word_sizes = np.zeros((2, 1 << WORD_BITS), np.uint64), np.zeros(1 << WORD_BITS, np.uint8)
+            self.word_ids = np.zeros((1 << WORD_BITS, WORD_IDS), np.uint16)
             self.ends_word[[k for t, k in spec["model"]["vocab"].items() if t.endswith(END) and k < len(self.ends_word)]] = True
 
     def is_plain(self, text: str) -> bool:
@@ -152,18 +160,48 @@ class WordEncoder:
         return [x for a, b in pairwise(cuts) for x in self.encode_together(texts[a:b])]
 
     def encode_together(self, texts: list[str]) -> list[bytes]:
-        text = np.frombuffer(f" {' '.join(texts)} ".lower().encode("latin-1"), np.uint8)
-        ends = word_ends(text)
-        marked = np.where(ends, AT_END[text], np.where(KINDS[text] > 0, text, 32)).tobytes().decode("latin-1")
-        ids = self.merge.encode_to_numpy(marked, disallowed_special=())
+        text = np.frombuffer(f" {' '.join(texts)} {chr(0) * WORD_BYTES}".lower().encode("latin-1"), np.uint8)
+        ends, inside = word_ends(text), KINDS[text] > 0
+        starts, stops = np.flatnonzero(inside[1:] & (ends[:-1] | ~inside[:-1])) + 1, np.flatnonzero(ends) + 1
+        short, keys, slots = self.keys_of(text, starts, stops - starts)
+        met = short & (self.words[0].take(slots) == keys[0]) & (self.words[1].take(slots) == keys[1])
+        sizes, new = np.where(met, self.word_sizes.take(slots), 0).astype(np.int64), np.flatnonzero(~met)
+        fresh, sizes[new] = self.merged(text, starts[new], stops[new])
+        at = np.concatenate(([0], np.cumsum(sizes)))
+        ids = self.word_ids.reshape(-1).take(np.repeat(slots * WORD_IDS - at[:-1], sizes) + np.arange(at[-1]), mode="clip")
+        ids[np.repeat(~met, sizes)] = fresh
+        self.remember(short[new], keys[:, new], slots[new], sizes[new], fresh)
         # a text's ids end with its last word
-        words = np.cumsum(ends)[np.cumsum([len(t) + 1 for t in texts])]
-        stops = np.append(0, np.flatnonzero(self.ends_word[ids]) + 1)
-        if len(stops) != words[-1] + 1:
+        raw, cuts = ids.astype("<u2").tobytes(), 2 * at[np.searchsorted(stops, np.cumsum([len(t) + 1 for t in texts]), "right")]
+        return [raw[a:b] for a, b in pairwise([0, *cuts.tolist()])]
+
+    def keys_of(self, text: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Which words have at most ``WORD_BYTES`` bytes; these bytes as two keys a word, and its place in the table."""
+        keys = np.lib.stride_tricks.sliding_window_view(text, WORD_BYTES)[starts].view("<u8")
+        keys = (keys & KEY_BYTES[np.minimum(sizes, WORD_BYTES)]).T
+        mixed = keys[0] * np.uint64(0x9E3779B97F4A7C15) ^ keys[1] * np.uint64(0xC2B2AE3D27D4EB4F)
+        mixed = (mixed ^ mixed >> np.uint64(29)) * np.uint64(0x165667B19E3779F9) >> np.uint64(64 - WORD_BITS)
+        return sizes <= WORD_BYTES, keys, mixed.astype(np.int64)
+
+    def merged(self, text: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words by ranks, and how many each has."""
+        at = np.concatenate(([0], np.cumsum(stops - starts)))
+        marked, last = text[np.repeat(starts - at[:-1], stops - starts) + np.arange(at[-1])], at[1:] - 1
+        marked[last] = AT_END[marked[last]]
+        ids = self.merge.encode_to_numpy(marked.tobytes().decode("latin-1"), disallowed_special=())
+        ends = np.flatnonzero(self.ends_word[ids]) + 1
+        if len(ends) != len(starts):
             raise ValueError("words and ids don't match")
-        raw = ids.astype("<u2").tobytes()
-        at = [0, *(2 * stops[words]).tolist()]
-        return [raw[a:b] for a, b in pairwise(at)]
+        return ids, np.diff(ends, prepend=0)
+
+    def remember(self, short: np.ndarray, keys: np.ndarray, slots: np.ndarray, sizes: np.ndarray, ids: np.ndarray) -> None:
+        """Put words with their ids into the table, one a slot."""
+        kept = np.flatnonzero(short & (sizes <= WORD_IDS))
+        slots, one = np.unique(slots[kept], return_index=True)
+        kept = kept[one]
+        self.words[:, slots], self.word_sizes[slots] = keys[:, kept], sizes[kept]
+        places = (np.cumsum(sizes) - sizes)[kept, None] + np.arange(WORD_IDS)
+        self.word_ids[slots] = ids.take(places, mode="clip") if len(kept) else 0
 
     def encode_chunks(self, texts: list[str]) -> list[bytes]:
         if len(self.cache) > CACHE_ENTRIES:

@@ -279,6 +279,45 @@ def test_range_coder_of_uneven_blocks():
     assert len(range_coder.encode_blocks(few)[0]) < 2 + 6 + 2 * 6
 
 
+def test_sections_of_a_block_go_in_step(monkeypatch):
+    steps, predict = [], range_coder.Model.predict
+    monkeypatch.setattr(range_coder.Model, "predict", lambda self, *a: steps.append(1) or predict(self, *a))
+    block = np.minimum(np.random.default_rng(3).zipf(1.2, 8192), 65535).astype(np.uint16)
+    coded = range_coder.encode_blocks([block, block[:100]])
+    assert len(steps) <= 8192 // 16
+    assert all((a == b).all() for a, b in zip([block, block[:100]], range_coder.decode_blocks(coded, [8192, 100]), strict=True))
+    assert len(steps) <= 2 * 8192 // 16
+
+
+def test_range_coder_of_repeated_and_rare_ids():
+    r = np.random.default_rng(9)
+    blocks = [np.where(np.arange(n) == at, 7, 0) for n, at in ((8192, 0), (8192, 8191), (8192, 4000), (5000, 17), (300, 299), (2, 1))]
+    blocks += [np.tile([0, 65535], 4096), np.tile(np.arange(100), 81), np.sort(r.integers(0, 65536, 8192)), r.integers(0, 2, 4097), np.repeat(r.integers(0, 49152, 64), 128), np.arange(8192)]
+    blocks = [b.astype(np.uint16) for b in blocks]
+    coded = range_coder.encode_blocks(blocks)
+    assert all((a == b).all() for a, b in zip(blocks, range_coder.decode_blocks(coded, [len(b) for b in blocks]), strict=True))
+    assert all(range_coder.encode_blocks([b]) == [c] for b, c in zip(blocks, coded, strict=True))
+    assert max(map(len, coded[:6])) < 100 and len(coded[6]) < 200
+
+
+def test_words_met_before_are_not_merged_again(monkeypatch):
+    from tokenizers import Tokenizer
+
+    content = open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8").read()
+    r = random.Random(8)
+    texts = [words(r, 50) + " sixteen" + "x" * 9 + " sixteen" + "x" * 10 + " sixteen" + "x" * 9 + "y can't 12 é, " + "qzj" * 5 for _ in range(20)]
+    want = [np.array(e.ids, "<u2").tobytes() for e in Tokenizer.from_str(content).encode_batch(texts, add_special_tokens=False)]
+    encoder, merged = token_files.WordEncoder(content), []
+    rest = encoder.merged
+    monkeypatch.setattr(encoder, "merged", lambda text, starts, stops: merged.append(int((stops - starts).sum())) or rest(text, starts, stops), raising=False)
+    assert encoder.encode(texts) == want == encoder.encode(texts)
+    assert len(merged) == 2 and merged[1] < merged[0] / 3  # words too long for the table only
+    # words that share a place in the table are told apart
+    monkeypatch.setattr(token_files, "WORD_BITS", 2)
+    crowded = token_files.WordEncoder(content)
+    assert [crowded.encode(texts), crowded.encode(texts[:3])] == [want, want[:3]]
+
+
 def test_token_ids_by_ranks_equal_the_library():
     from tokenizers import Tokenizer
 
