@@ -15,7 +15,7 @@ STOPWORDS = (
 ).split()
 WORD = r"([\p{L}\p{N}_]+)"
 PLAIN_WORD = r"([a-z0-9]+)"
-PERSONAL, QUANTIFIER, ACRONYM = r"(?i)\b(my|our|i|me)\b", r"\b(one|two|three|four|five|six|seven|eight|nine|ten|\d+)\b", r"\b([A-Z]{2,6})\b"
+PERSONAL, QUANTIFIER, ACRONYM = r"(?i)\b(my|our|i|me)\b", r"\b(one|two|three|four|five|six|seven|eight|nine|ten|\d+)\b", r"(?<![\p{L}\p{N}_])([A-Z]{2,6})(?![\p{L}\p{N}_])"
 
 
 def decimal_points(text: Column) -> Column:

@@ -17,22 +17,32 @@ TECH = r"\b(sql|postgresql|postgres|mysql|mongodb|nosql|redis|graphql|sqlite|ora
 RARITY = 4096
 
 
+#: An edge of a word of ASCII letters, digits and _, as SQL engines take \b; Java's \b counts every letter as part of a word.
+ASCII_EDGE = r"(?:(?<=\w)(?!\w)|(?<!\w)(?=\w))"
+
+
+def _lower(text: Column) -> Column:
+    """Character by character, so that a capital I with a dot becomes one letter, as in SQL."""
+    return F.lower(F.replace(text, F.lit("İ"), F.lit("i")))
+
+
 def unusable(new: Column) -> Column:
-    t = F.lower(F.trim(F.coalesce(new, F.lit(""))))
-    return (F.length(t) < 3) | t.rlike("^(rules:|system:|i cannot|i can't)")
+    t = F.regexp_replace(F.coalesce(new, F.lit("")), r"^\p{Zs}+|\p{Zs}+\z", "")
+    return (F.length(t) < 3) | _lower(t).rlike("^(rules:|system:|i cannot|i can't)")
 
 
-def dropped_personal(old: Column, new: Column) -> Column:
-    return old.rlike(T.PERSONAL) & ~new.rlike(T.PERSONAL)
+def dropped_personal(old: Column, new: Column, edge: str = r"\b") -> Column:
+    pattern = T.PERSONAL.replace(r"\b", edge)
+    return old.rlike(pattern) & ~new.rlike(pattern)
 
 
 def _missing(old: Column, new: Column, pattern: str, lower: bool) -> Column:
-    found = lambda t: F.regexp_extract_all(F.lower(t) if lower else t, F.lit(pattern), F.lit(1))
+    found = lambda t: F.regexp_extract_all(_lower(t) if lower else t, F.lit(pattern), F.lit(1))
     return F.size(F.array_except(found(old), found(new))) > 0
 
 
-def dropped_quantifier(old: Column, new: Column) -> Column:
-    return _missing(old, new, T.QUANTIFIER, True)
+def dropped_quantifier(old: Column, new: Column, edge: str = r"\b") -> Column:
+    return _missing(old, new, T.QUANTIFIER.replace(r"\b", edge), True)
 
 
 def dropped_acronym(old: Column, new: Column) -> Column:
@@ -43,6 +53,12 @@ def invented_technology(old: Column, new: Column) -> Column:
     return _missing(new, old, TECH, True)
 
 
+def first_technology(old: Column, new: Column, edge: str = r"\b") -> Column:
+    """Technology is named where none was; narrower than ``invented_technology``, which asks of each name. A long s counts as s, as it does in SQL."""
+    pattern = "(?i)" + TECH.replace("s", "[sſ]").replace(r"\b", edge)
+    return new.rlike(pattern) & ~old.rlike(pattern)
+
+
 def diverged(old: Column, new: Column, least: float = 0.4) -> Column:
     return sequence_ratio(F.lower(old), F.lower(new)) < least
 
