@@ -327,7 +327,7 @@ KEPT_UP_SEARCH = f"WITH {KEPT_UP}, {BM25} SELECT query_id, tenant, doc_id, 0 AS
 
 def kept_up_stats(spark, d):
     index = _kept_up_index(spark, d)
-    per = index.postings().groupBy("tenant").agg(F.count("*").alias("n_postings"), F.sum("tf").alias("n_words"))
+    per = index.sizes()
     terms = index.frequencies().groupBy("tenant").agg(F.count("*").alias("n_terms"), F.max("df").alias("max_df"))
     return per.join(terms, "tenant").join(index.stats().select("tenant", "n", F.round("avgdl", 6).alias("avgdl")), "tenant")
 
