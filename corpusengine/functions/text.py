@@ -72,9 +72,11 @@ def field_token(name: Column) -> Column:
 def number_token(number: Column) -> Column:
     """A number as text of ten significant digits at most (minus signs, percent and commas unified), null if it is none or not finite.
 
-    Without trailing zeros; with an exponent below 1e-4 and from 1e10 on.
+    Without trailing zeros; with an exponent below 1e-4 and from 1e10 on. Texts that have ten
+    digits at most, and no zero in front, lose trailing zeros as they stand; others are parsed.
     """
-    value = F.translate(F.regexp_replace(F.trim(number), "[−–]", "-"), ",%", "").try_cast("double")
+    bare = F.translate(F.trim(number), "−–,%", "--")
+    value = bare.try_cast("double")
     value = F.when(F.abs(value) < float("inf"), value)
     shown = F.format_string("%.9e", F.abs(value))
     digits = F.concat(F.substring(shown, 1, 1), F.substring(shown, 3, 9))
@@ -84,7 +86,9 @@ def number_token(number: Column) -> Column:
     small = F.concat(F.lit("0."), F.repeat(F.lit("0"), -power - 1), digits)
     scientific = F.concat(cut(F.substring_index(shown, "e", 1)), F.lit("e"), F.substring_index(shown, "e", -1))
     plain = F.when(value == 0, "0").when((power < -4) | (power >= 10), scientific).when(power >= 0, cut(large)).otherwise(cut(small))
-    return F.when(value.isNotNull(), F.concat(F.when(value < 0, "-").otherwise(""), plain))
+    parsed = F.when(value.isNotNull(), F.concat(F.when(value < 0, "-").otherwise(""), plain))
+    pointed, whole = bare.rlike(r"^-?[1-9](?=[\d.]{1,10}\z)\d*\.\d*\z"), bare.rlike(r"^-?[1-9]\d{0,9}\z")
+    return F.when(pointed, F.rtrim(F.rtrim(bare, F.lit("0")), F.lit("."))).when(whole, bare).otherwise(parsed)
 
 
 def without_references(text: Column) -> Column:

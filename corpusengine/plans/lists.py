@@ -268,7 +268,8 @@ NAMES = "SELECT c_custkey, c_custkey % 3 = 1 AS email_ok, c_mktsegment AS entity
 def number_tokens(spark, d):
     li = table(spark, d, "lineitem")
     n = F.concat(F.when(F.col("l_linenumber") % 2 == 0, "−").otherwise(""), F.format_number(F.col("l_extendedprice"), 2), F.when(F.col("l_linenumber") % 3 == 0, "%").otherwise(""))
-    return li.select("l_orderkey", "l_linenumber", "l_suppkey", T.number_token(n).alias("token"), T.without_references(F.concat(F.lit("see Table "), F.col("l_linenumber").cast("string"), F.lit(" for it"))).alias("plain"))
+    # the text is a column, made once and not once a use
+    return li.select("l_orderkey", "l_linenumber", "l_suppkey", n.alias("number")).select("l_orderkey", "l_linenumber", "l_suppkey", T.number_token(F.col("number")).alias("token"), T.without_references(F.concat(F.lit("see Table "), F.col("l_linenumber").cast("string"), F.lit(" for it"))).alias("plain"))
 
 
 NUMBERS = "SELECT l_orderkey, l_linenumber, l_suppkey, CASE WHEN l_linenumber % 2 = 0 THEN '-' ELSE '' END || regexp_replace(l_extendedprice::DECIMAL(15,2)::VARCHAR, '\\.?0*$', '') AS token, 'see  for it' AS plain FROM lineitem".replace("\\\\", "\\")
