@@ -226,7 +226,7 @@ class StoredIndex:
             forward = self.read("forward", [segment]).drop("segment", "part")
         average = forward.groupBy("tenant").agg((F.sum(F.col("dl") * F.col("copies")) / F.sum("copies")).alias("avgdl"))
         tasks = -(-(forward.agg(F.sum("dl")).first()[0] or 0) // RUN) or 1
-        weighed = forward.coalesce(tasks).join(F.broadcast(average), "tenant").select(*key, "terms", "tfs", gain(F.lit(1), F.col("dl"), F.col("avgdl")).alias("unit"))
+        weighed = forward.filter("dl > 0").coalesce(tasks).join(F.broadcast(average), "tenant").select(*key, "terms", "tfs", gain(F.lit(1), F.col("dl"), F.col("avgdl")).alias("unit"))
         schema = ", ".join(x for x in TABLES["blocks"].format(id=rows.schema["doc_id"].dataType.simpleString()).split(", ")[:-2])
         put(weighed.mapInArrow(cut(BLOCK), schema).withColumn("bucket", self._bucket("tenant", "term")), "blocks", "bucket")
         change = lambda df, sign: df.groupBy("tenant").agg((sign * F.sum("copies")).alias("n"), (sign * F.sum(F.col("dl") * F.col("copies"))).alias("dl"))
